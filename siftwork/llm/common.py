@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,6 +46,13 @@ def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of frames that nothing refers to any more; by itself it waits for the
+    driver's next full collection, and a finished phase would hold its disk until then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts_for(df: DataFrame, bytes_per_part: int = 64 << 20) -> int:
     """Hash parts for an exchange: at least the session's shuffle partitions, more if the input is larger."""
     spark = df.sparkSession

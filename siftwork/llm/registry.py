@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import bpe, packing, quality, substring_dedup
 
 QUERIES = {
+    "op1_hilbert_packing": packing.query,
     "op5_substring_dedup": substring_dedup.query,
+    "op6_suffix_quality": quality.query,
+    "op8_tree_bpe": bpe.query,
 }
 ORACLES: dict[str, str] = {}
