@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, substring_dedup
+from . import bpe, minhash, packing, quality, substring_dedup
 
 QUERIES = {
     "op1_hilbert_packing": packing.query,
+    "op2_minhash_near_dedup": minhash.query,
     "op5_substring_dedup": substring_dedup.query,
     "op6_suffix_quality": quality.query,
     "op8_tree_bpe": bpe.query,
