@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, packing, quality, substring_dedup
+from . import bpe, langid, line_dedup, minhash, packing, quality, substring_dedup
 
 QUERIES = {
     "op1_hilbert_packing": packing.query,
     "op2_minhash_near_dedup": minhash.query,
     "op5_substring_dedup": substring_dedup.query,
     "op6_suffix_quality": quality.query,
+    "op7_byte_cnn_langid": langid.query,
     "op8_tree_bpe": bpe.query,
+    "op9_line_dedup": line_dedup.query,
+}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": line_dedup.ORACLE,
 }
-ORACLES: dict[str, str] = {}
