@@ -1,16 +1,58 @@
-"""The corpus pipeline: STAGES applied one after another, each written and read again."""
+"""The corpus pipeline: STAGES applied one after another, each written and read again.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one the packed pieces. Stages judge what their
+predecessor kept. A text that a stage changes keeps its row, and n_chars follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwork.llm import common, langid, line_dedup, minhash, packing, secrets
+
+#: A text whose language is less certain than this is close to a guess among four languages, and is rejected.
+MIN_SCORE = 0.3
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter and those whose language can't be told."""
+    known = docs.select("doc_id", "text", "lang")
+    judged = langid.with_language(docs.drop("lang_pred", "score"), langid.trained(known))
+    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that repeat in many documents; all documents stay."""
+    return _counted(line_dedup.drop_repeated_lines(docs).select(*docs.columns))
 
-STAGES: list = []
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; all documents stay."""
+    return _counted(secrets.redacted(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language), ("line_dedup", lines), ("minhash_near_dedup", near_duplicates), ("secret_scan", redact), ("packing", pack)]
+#: Language ID is a trained network and packing needs a tokenizer, which SQL can't express; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siftwork.llm import common
-
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = common.cut(stage(spark, docs, sf_dir), f"pipeline-{name}")

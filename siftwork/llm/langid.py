@@ -137,28 +137,45 @@ def has_letter(text: str) -> bool:
     return any(m[0].isalpha() for m in LETTER.finditer(text))
 
 
+def judged(texts: list[bytes | None], model: ByteConvNet | None) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    x, langs, scores = [], ["und"] * len(texts), [0.0] * len(texts)
+    for t in texts:
+        ok = bool(t) and model is not None and has_letter(t.decode())
+        x.append(windows_of(t) if ok else np.empty((0, WINDOW), np.uint8))
+    if any(map(len, x)):
+        prob = model.predict(np.concatenate(x)).astype(np.float64)
+        at = 0
+        for i, n in enumerate(map(len, x)):
+            if n:
+                mean = prob[at : at + n].mean(0)
+                best = int(mean.argmax())
+                langs[i], scores[i] = model.labels[best], float(min(1.0, max(0.0, mean[best])))
+            at += n
+    return langs, scores
+
+
+def with_language(docs: DataFrame, model: ByteConvNet | None) -> DataFrame:
+    """docs with all its columns, lang_pred and score."""
+    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in c.grouped(batch):
+                langs, scores = judged(texts, model)
+                names = [*part.schema.names, "lang_pred", "score"]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def predict(docs: DataFrame, model: ByteConvNet | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row."""
 
     def run(batches):
         for batch in batches:
             for part, texts in c.grouped(batch):
-                x, counts, lettered = [], [], []
-                for t in texts:
-                    ok = bool(t) and model is not None and has_letter(t.decode())
-                    lettered.append(ok)
-                    x.append(windows_of(t) if ok else np.empty((0, WINDOW), np.uint8))
-                    counts.append(len(x[-1]))
-                langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-                if any(lettered):
-                    prob = model.predict(np.concatenate(x)).astype(np.float64)
-                    at = 0
-                    for i, n in enumerate(counts):
-                        if n:
-                            mean = prob[at : at + n].mean(0)
-                            best = int(mean.argmax())
-                            langs[i], scores[i] = model.labels[best], float(min(1.0, max(0.0, mean[best])))
-                        at += n
+                langs, scores = judged(texts, model)
                 yield c.rows_of(OUT, [part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), langs, scores])
 
     return docs.select(F.col("doc_id").cast("long"), F.expr(HELD_OUT).alias("held_out"), F.col("text").cast("string")).mapInArrow(run, OUT_DDL)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, line_dedup, minhash, packing, quality, substring_dedup
+from . import ann, bpe, langid, line_dedup, minhash, packing, quality, secrets, substring_dedup, warc
 
 QUERIES = {
     "op1_hilbert_packing": packing.query,
     "op2_minhash_near_dedup": minhash.query,
+    "op3_secret_scan": secrets.query,
+    "op4_warc_salvage": warc.query,
     "op5_substring_dedup": substring_dedup.query,
     "op6_suffix_quality": quality.query,
     "op7_byte_cnn_langid": langid.query,
     "op8_tree_bpe": bpe.query,
     "op9_line_dedup": line_dedup.query,
+    "op10_adaptive_ann": ann.query,
 }
 ORACLES: dict[str, str] = {
+    "op4_warc_salvage": warc.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
