@@ -1,0 +1,133 @@
+"""Runs of a staged plan: validation, gates, failure and re-runs.
+
+A plan is an ordered list of stages over DataFrames. Stages run one at a time in plan order once their inputs are there. A gate holds a
+stage's result for an answer; only a courtesy gate may time out. A critical stage that fails ends the run, an optional one is
+skipped. Changing a stage's parameters makes it and everything that depends on it pending again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from typing import Any
+
+SHAPES = (("ingest", "dedup", "curate", "style", "deliver"), ("ingest", "curate", "style", "deliver"))
+GATES = ("off", "courtesy", "required")
+MAX_COUNT = 50
+
+
+class PlanError(ValueError):
+    pass
+
+
+@dataclass
+class Stage:
+    name: str
+    run: Callable[[dict[str, Any], dict[str, Any]], Any]  # inputs by name, parameters -> result
+    inputs: tuple[str, ...] = ()
+    critical: bool = True
+
+
+@dataclass
+class StagePlan:
+    name: str
+    params: dict[str, Any] = field(default_factory=dict)
+    gate: str = "off"
+
+
+def validate_plan(plan: list[StagePlan]) -> None:
+    """The stage list has one of two shapes, gates are known, curate's count is a whole number from 1 to 50 or, exactly if
+    its gate is required, null."""
+    names = tuple(s.name for s in plan)
+    if names not in SHAPES:
+        raise PlanError(f"stages {names}")
+    for s in plan:
+        if s.gate not in GATES:
+            raise PlanError(f"gate {s.gate!r} of {s.name}")
+        for k in ("ai", "dedup"):
+            if k in s.params and not isinstance(s.params[k], bool):
+                raise PlanError(f"{k} of {s.name} isn't true or false")
+    curate = plan[names.index("curate")]
+    count = curate.params.get("count")
+    if (count is None) != (curate.gate == "required"):
+        raise PlanError("count is left open exactly if the gate of curate is required")
+    if count is not None and (isinstance(count, bool) or not isinstance(count, int) or not 1 <= count <= MAX_COUNT):
+        raise PlanError(f"count {count!r}")
+
+
+@dataclass
+class Run:
+    plan: list[StagePlan]
+    stages: dict[str, Stage]
+    states: dict[str, str] = field(default_factory=dict)  # pending, waiting, done, skipped, failed
+    outputs: dict[str, Any] = field(default_factory=dict)
+    status: str = "active"  # active, waiting, done, failed, cancelled
+    errors: dict[str, str] = field(default_factory=dict)
+    waiting: str | None = None
+
+    def __post_init__(self):
+        for s in self.plan:
+            self.states.setdefault(s.name, "pending")
+
+    def advance(self) -> str:
+        """Runs pending stages until a gate, a failure or the end; the run's status."""
+        while self.status == "active":
+            spec = next((s for s in self.plan if self.states[s.name] == "pending"), None)
+            if spec is None:
+                self.status = "done"
+                break
+            stage = self.stages[spec.name]
+            missing = [i for i in stage.inputs if self.states.get(i) not in ("done", "skipped")]
+            if missing:
+                self._failed(spec.name, stage, f"needs {', '.join(missing)}")
+                continue
+            try:
+                self.outputs[spec.name] = stage.run({i: self.outputs.get(i) for i in stage.inputs}, spec.params)
+            except Exception as e:  # a stage's failure is the run's state
+                self._failed(spec.name, stage, str(e))
+                continue
+            if spec.gate == "off":
+                self.states[spec.name] = "done"
+            else:
+                self.states[spec.name], self.status, self.waiting = "waiting", "waiting", spec.name
+        return self.status
+
+    def _failed(self, name: str, stage: Stage, why: str) -> None:
+        self.errors[name] = why
+        self.states[name] = "failed" if stage.critical else "skipped"
+        if stage.critical:
+            self.status = "failed"
+
+    def answer(self, accept: bool = True) -> str:
+        if self.status != "waiting":
+            raise PlanError("no gate is open")
+        name, self.waiting = self.waiting, None
+        self.states[name] = "done"
+        self.status = "active" if accept else "cancelled"
+        return self.advance()
+
+    def timed_out(self) -> str:
+        """A courtesy gate lets the run go on, a required one keeps waiting."""
+        if self.status == "waiting" and next(s for s in self.plan if s.name == self.waiting).gate == "courtesy":
+            return self.answer()
+        return self.status
+
+    def downstream(self, name: str) -> set[str]:
+        found = {name}
+        for s in self.plan:
+            if found & set(self.stages[s.name].inputs):
+                found.add(s.name)
+        return found
+
+    def adjust(self, name: str, **params: Any) -> str:
+        """New parameters: the stage and all that depends on it run again."""
+        next(s for s in self.plan if s.name == name).params.update(params)
+        for n in self.downstream(name):
+            self.states[n] = "pending"
+            self.outputs.pop(n, None)
+        self.status, self.waiting = "active", None
+        return self.advance()
+
+    def cancel(self) -> None:
+        if self.status in ("active", "waiting"):
+            self.status, self.waiting = "cancelled", None
