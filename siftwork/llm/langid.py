@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as c
 
@@ -157,7 +158,7 @@ def judged(texts: list[bytes | None], model: ByteConvNet | None) -> tuple[list[s
 
 def with_language(docs: DataFrame, model: ByteConvNet | None) -> DataFrame:
     """docs with all its columns, lang_pred and score."""
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
