@@ -184,7 +184,7 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("vec_id").alias("image_id"),
         (F.col("vec_id") % 3).alias("project_id"),
-        F.when(F.col("vec_id") % 17 != 0, F.expr("vec_id * 4 + (vec_id div 40) * 100")).alias("captured_at"),
+        F.when(F.col("vec_id") % 17 != 0, F.expr("vec_id * 4 + (vec_id div 400) * 100")).alias("captured_at"),
         F.when(F.col("vec_id") % 23 != 0, h).alias("hash"),
     )
 
@@ -197,7 +197,7 @@ VIEWS = {
     "tags": """tags AS (SELECT row_number() OVER (ORDER BY name) AS tag_id, name, row_number() OVER (ORDER BY name) % 2 = 1 AS is_ordered, name = 'error' AS is_system FROM (SELECT DISTINCT event_type AS name FROM events))""",
     "image_tags": """image_tags AS (SELECT i.image_id, i.project_id, t.tag_id, i.ts_us % 1000003 AS position, i.ts_us // 60000000 AS tagged_at FROM items i JOIN tags t ON t.name = i.event_type)""",
     "evaluations": """evaluations AS (SELECT DISTINCT doc_id AS image_id, quality = 0 OR toxic = 1 AS unusable FROM labels)""",
-    "shots": """shots AS (SELECT vec_id AS image_id, vec_id % 3 AS project_id, CASE WHEN vec_id % 17 <> 0 THEN vec_id * 4 + (vec_id // 40) * 100 END AS captured_at,
+    "shots": """shots AS (SELECT vec_id AS image_id, vec_id % 3 AS project_id, CASE WHEN vec_id % 17 <> 0 THEN vec_id * 4 + (vec_id // 400) * 100 END AS captured_at,
       CASE WHEN vec_id % 23 <> 0 THEN list_transform(range(64), lambda i: embedding[i + 1] > embedding[(i + 1) % 64 + 1]) END AS bits FROM embeddings)""",
 }
 
