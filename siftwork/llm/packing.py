@@ -19,6 +19,7 @@ null; extra columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from itertools import chain
@@ -33,7 +34,7 @@ from . import common as c
 
 LENGTH, END_ID, VOCABULARY = 2048, 1, "word_bpe_49k.json"
 BUCKETS, DIMS, BITS, SEED = 256, 3, 10, 20240501
-MEMO = 300_000
+MEMO = 1_000_000
 TOKENS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("ids", pa.binary())])
 TOKENS_DDL = "doc_id bigint, key bigint, ids binary"
 PIECES = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_tokens", pa.int64()), ("sequence_length", pa.int64())]
@@ -46,6 +47,7 @@ class WordEncoder:
     """Texts -> packed ids, with a bounded memory of words."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -60,25 +62,23 @@ class WordEncoder:
         which the ids of a joined text are told apart; if they can't be, and for all others, each word is encoded alone."""
         plain = [w for w in words if w.isalpha()]
         alone = [w for w in words if not w.isalpha()]
-        for i in range(0, len(plain), 1000):
-            some = plain[i : i + 1000]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+        lots = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        for some, coded in zip(lots, self.tok.encode_batch_fast([" ".join(x) for x in lots], add_special_tokens=False) if lots else []):
+            ids = np.array(coded.ids, np.int64)
             last = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.empty(0, np.int64)
             if len(last) != len(some) or last[-1] != len(ids):
                 alone += some
                 continue
             ids = ids.astype(self.kind)
             self.words.update(zip(some, [x.tobytes() for x in np.split(ids, last[:-1])]))
-        for w, e in zip(alone, self.tok.encode_batch(alone, add_special_tokens=False) if alone else []):
+        for w, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False) if alone else []):
             self.words[w] = np.array(e.ids, self.kind).tobytes()
 
     def learn(self, words: set[str]) -> None:
         if len(self.words) > MEMO:
             self.words.clear()
         known, need, made = self.words, {}, []
-        for w in words:
-            if w in known:
-                continue
+        for w in words.difference(known):
             if w and "<|" not in w and (m := MARKED.fullmatch(w)):
                 head, tail = m[1].lower() if m[1].isascii() else m[1], m[2]
                 made.append((w, head, tail))
