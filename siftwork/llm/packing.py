@@ -39,7 +39,8 @@ TOKENS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("ids", pa.bina
 TOKENS_DDL = "doc_id bigint, key bigint, ids binary"
 PIECES = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_tokens", pa.int64()), ("sequence_length", pa.int64())]
 PIECES_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint, sequence_length bigint"
-#: A word and the ASCII marks after it, of which the tokenizer makes separate words in any case.
+#: A word and the ASCII marks after it, of which the tokenizer makes separate words if the word still ends with a letter or
+#: digit once it is lower-cased (İ becomes i and a combining dot).
 MARKED = re.compile(r"(.*[^\W_])([!-&(-/:-@\[-`{-~]+)", re.S)
 
 
@@ -79,7 +80,7 @@ class WordEncoder:
             self.words.clear()
         known, need, made = self.words, {}, []
         for w in words.difference(known):
-            if w and "<|" not in w and (m := MARKED.fullmatch(w)):
+            if w and "<|" not in w and (m := MARKED.fullmatch(w)) and m[1][-1].lower().isalnum():
                 head, tail = m[1].lower() if m[1].isascii() else m[1], m[2]
                 made.append((w, head, tail))
                 need[tail] = need[head] = None

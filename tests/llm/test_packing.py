@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -64,6 +65,14 @@ def test_memory_limit(monkeypatch, tok):
         assert np.frombuffer(enc.encode([t])[0], enc.kind).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_words_in_any_mixture(tok):
+    rng = random.Random(1)
+    enc = packing.WordEncoder(common.tokenizer_path(packing.VOCABULARY))
+    texts = ["".join(rng.choice("aZé1.'#_-<|> \n²İßǅ日\u0301%") for _ in range(rng.randrange(30))) for _ in range(10_000)]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, enc.kind).tolist() for b in enc.encode(texts)] == want
+
+
 def test_hilbert_is_a_curve():
     side = 8
     cells = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
