@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, line_dedup, minhash, packing, quality, secrets, substring_dedup, warc
+from . import ann, bpe, langid, line_dedup, minhash, oracles, packing, quality, secrets, substring_dedup, warc
 
 QUERIES = {
     "op1_hilbert_packing": packing.query,
@@ -17,6 +17,8 @@ QUERIES = {
     "op10_adaptive_ann": ann.query,
 }
 ORACLES: dict[str, str] = {
+    "op2_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op4_warc_salvage": warc.ORACLE,
+    "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op9_line_dedup": line_dedup.ORACLE,
 }
