@@ -453,7 +453,7 @@ def dedup_tagging(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """s AS (SELECT DISTINCT file_path FROM items WHERE image_id % 3 <> 0 AND file_path NOT LIKE '%.txt'),
+    r"""s AS (SELECT DISTINCT file_path FROM items WHERE image_id % 3 <> 0 AND file_path NOT LIKE '%.txt'),
 cat AS (SELECT file_path, min(image_id) AS id, min(image_id) % 2 = 0 AS timed FROM items WHERE image_id % 2 = 0 AND file_path NOT LIKE '%.txt' GROUP BY 1)
 SELECT coalesce(s.file_path, cat.file_path) AS file_path, cat.id, CASE WHEN s.file_path IS NOT NULL AND cat.id % 4 = 0 THEN 'backfill' WHEN s.file_path IS NOT NULL AND cat.id IS NOT NULL THEN 'match'
   WHEN cat.id IS NULL AND s.file_path LIKE '%.DNG' AND regexp_replace(s.file_path, '\.[^./]+$', '') IN (SELECT regexp_replace(file_path, '\.[^./]+$', '') FROM cat WHERE file_path NOT LIKE '%.DNG') THEN 'insert_raw'
@@ -515,3 +515,6 @@ def color_adjust(spark: SparkSession, sf: str) -> DataFrame:
     px = c.table(spark, sf, "events").select("event_id", *[((F.col("event_id") * k) % 256).cast("double").alias(n) for n, k in (("r", 1), ("g", 7), ("b", 13))])
     wb = color.white_balance(F.col("r"), F.col("g"), F.col("b"), 50.0, -50.0)
     return px.select("event_id", *[color.quantized(x).alias(n) for n, x in zip("rgb", wb)], color.quantized(color.contrast(F.col("r"), 25.0)).alias("contrast"))
+
+
+from siftwork.plans import further  # noqa: E402,F401  registers the rest
