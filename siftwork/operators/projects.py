@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siftwork.sources.catalog import stem_key
 
+from .order import global_ordinal
+
 
 class ProjectError(ValueError):
     """kind: name_exists, no_images, no_images_raw_ignored, recipe_deleted, preset_protected, not_found."""
@@ -30,7 +32,8 @@ def create_project(projects: DataFrame, images: DataFrame, name: str, root: str,
 
 def new_images(images: DataFrame, found: DataFrame, project_id: int, now: int) -> DataFrame:
     start = images.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
-    values = {"id": F.lit(start) + F.row_number().over(Window.orderBy("file_path")), "project_id": F.lit(project_id), "imported_at": F.lit(now)}
+    found = global_ordinal(found, [F.asc("file_path")], "__k")
+    values = {"id": F.lit(start) + F.col("__k"), "project_id": F.lit(project_id), "imported_at": F.lit(now)}
     return found.select(*[values.get(c, F.col(c) if c in found.columns else F.lit(None)).cast(t).alias(c) for c, t in images.dtypes])
 
 

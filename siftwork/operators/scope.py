@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import global_ordinal
+
 REJECT, DUPLICATE = "拒", "重复"  # canonical names of the engine's own tags
 ALIASES = {"reject": REJECT, "duplicate": DUPLICATE, REJECT: REJECT, DUPLICATE: DUPLICATE}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,8 +69,8 @@ def resolve(scope: Scope, images: DataFrame, tags: DataFrame, image_tags: DataFr
             raise ScopeError("no_explicit_set")
         return explicit.select("ordinal", "image_id"), None
     if scope.kind == "all":
-        w = Window.orderBy(F.desc_nulls_last("captured_at"), "file_path", "image_id")
-        return images.select(F.row_number().over(w).alias("ordinal"), "image_id"), None
+        order = [F.desc_nulls_last("captured_at"), F.asc("file_path"), F.asc("image_id")]
+        return global_ordinal(images.select("captured_at", "file_path", "image_id"), order).select("ordinal", "image_id"), None
     if not allow_system and scope.tag in (REJECT, DUPLICATE):
         raise ScopeError("system_tag_not_allowed", scope.tag)
     found = tags.filter(fold(F.col("name")) == folded(scope.tag)).select("tag_id", "is_ordered").limit(1).collect()

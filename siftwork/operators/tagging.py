@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import global_ordinal
 from .scope import DUPLICATE, REJECT, fold, folded
 
 
@@ -60,7 +61,8 @@ def add_entries(image_tags: DataFrame, tags: DataFrame, images: DataFrame, tag_i
         if n_new and held.count() + n_new > tag.cap:
             raise TagError("cap_exceeded", entries_in_order(image_tags, tag_id, tag.is_ordered))
     start = held.agg(F.coalesce(F.max("position"), F.lit(0)).alias("last")).first().last if tag.is_ordered else None
-    position = F.lit(start).cast("bigint") + F.row_number().over(Window.orderBy("ordinal")) if tag.is_ordered else F.lit(None).cast("bigint")
+    new = global_ordinal(new, [F.asc("ordinal"), F.asc("image_id")], "__k") if tag.is_ordered else new
+    position = F.lit(start).cast("bigint") + F.col("__k") if tag.is_ordered else F.lit(None).cast("bigint")
     rows = new.select("image_id", F.lit(tag_id).cast("bigint").alias("tag_id"), position.alias("position"), F.lit(now).cast("bigint").alias("tagged_at"))
     return image_tags.unionByName(rows)
 

@@ -109,6 +109,12 @@ def exclude_then_head(spark: SparkSession, sf: str) -> DataFrame:
     return select.delivery_rank(kept).filter("rank <= 4").select("project_id", "image_id", "rank")
 
 
+@query("SELECT row_number() OVER (ORDER BY captured_at DESC NULLS LAST, file_path, image_id) AS ordinal, image_id FROM items", "items")
+def scope_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The scope of all images, numbered over the whole table without a single-partition window."""
+    return scope.resolve(scope.parse("*"), c.items(spark, sf), None, None)[0]
+
+
 @query("SELECT project_id, bool_and(event_type = 'view') AS delivered, count(*) FILTER (event_type <> 'view') AS missing FROM items GROUP BY project_id", "items")
 def already_delivered(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a selection is a subset of what was sent."""
