@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwork.plans.lineage import cut, release, shared_dir  # noqa: F401
+from siftwork.sources.catalog import table  # noqa: F401
+
 #: Texts are handled in groups of about this many bytes, so that memory does not follow the Arrow batch.
 GROUP_BYTES = 2 << 20
 #: Documents in one group at most; group-local document numbers fit 16 bits.
@@ -21,38 +21,6 @@ GROUP_DOCS = 4096
 WORD_MEMO = 150_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests a local one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            found = held.get()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="siftwork-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: a lineage cut that outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that nothing refers to any more; by itself it waits for the
-    driver's next full collection, and a finished phase would hold its disk until then."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def parts_for(df: DataFrame, bytes_per_part: int = 64 << 20) -> int:
     """Hash parts for an exchange: at least the session's shuffle partitions, more if the input is larger."""
     spark = df.sparkSession

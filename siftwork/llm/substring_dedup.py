@@ -250,14 +250,19 @@ def cut_words(batches):
             yield c.rows_of(KEPT, out)
 
 
+def planned(docs: DataFrame, parts: int) -> DataFrame:
+    known = docs.filter("doc_id is not null and text is not null")
+    shared = exchanged(known.mapInArrow(send_anchors(parts), PARTS_DDL), smallest=False)
+    return c.cut(docs.join(shared, "doc_id", "left").mapInArrow(plan_windows, PLAN_DDL), "op5-plan")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (null if nothing was removed or looked at: the words
     joined by a space), removed (word spans) and kept_sha256."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     parts = c.parts_for(docs)
-    known = docs.filter("doc_id is not null and text is not null")
-    shared = exchanged(known.mapInArrow(send_anchors(parts), PARTS_DDL), smallest=False)
-    plan = c.cut(docs.join(shared, "doc_id", "left").mapInArrow(plan_windows, PLAN_DDL), "op5-plan")
+    plan = planned(docs, parts)
+    c.release(docs.sparkSession)
     windows = plan.filter("runs is not null").select("doc_id", "text", "runs")
     gone = exchanged(windows.mapInArrow(send_windows(parts), PARTS_DDL), smallest=True)
     return plan.join(gone, "doc_id", "left").mapInArrow(cut_words, KEPT_DDL)
