@@ -20,7 +20,6 @@ null; extra columns are ignored; an empty table gives no pieces.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from itertools import chain
 
@@ -39,9 +38,9 @@ TOKENS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("ids", pa.bina
 TOKENS_DDL = "doc_id bigint, key bigint, ids binary"
 PIECES = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_tokens", pa.int64()), ("sequence_length", pa.int64())]
 PIECES_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint, sequence_length bigint"
-#: A word and the ASCII marks after it, of which the tokenizer makes separate words if the word still ends with a letter or
+#: ASCII marks (but the apostrophe), of which the tokenizer makes words of their own after a word that still ends with a letter or
 #: digit once it is lower-cased (İ becomes i and a combining dot).
-MARKED = re.compile(r"(.*[^\W_])([!-&(-/:-@\[-`{-~]+)", re.S)
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
@@ -80,15 +79,20 @@ class WordEncoder:
             self.words.clear()
         known, need, made = self.words, {}, []
         for w in words.difference(known):
-            if w and "<|" not in w and (m := MARKED.fullmatch(w)) and m[1][-1].lower().isalnum():
-                head, tail = m[1].lower() if m[1].isascii() else m[1], m[2]
-                made.append((w, head, tail))
-                need[tail] = need[head] = None
-            elif w.isascii() and w.isalpha() and (low := w.lower()) != w:
-                made.append((w, low, ""))
-                need[low] = None
+            if w.isalpha():
+                head, tail = w, ""
             else:
-                need[w] = None
+                head = w.rstrip(MARKS)
+                tail = w[len(head) :]
+                if not tail or "<|" in w or not head[-1:].lower().isalnum():
+                    need[w] = None
+                    continue
+                need[tail] = None
+            if head.isascii():
+                head = head.lower()
+            need[head] = None
+            if tail or head != w:
+                made.append((w, head, tail))
         known[""] = b""
         self.raw([w for w in need if w not in known])
         for w, head, tail in made:
