@@ -9,8 +9,12 @@ BANDS bands of ROWS coordinates: a pair at similarity 0.75 shares no band with p
 
 Sets that are equal are one node, named by their smallest doc_id. For the nodes of a band's bucket not all pairs are
 made: each is verified on full sets against the bucket's smallest node, the leader. Buckets whose nodes then lie in
-one component hold no further information. In the others, pairs from different components are verified, save those
-that the triangle inequality of the Jaccard distance to the leader, or their sizes, rule out.
+one component hold no further information. In the others a further leader takes its turn, the node closest to the first
+leader (most often the text that the others were made from) or the farthest, is verified against the nodes of other components and
+leaves the bucket; every turn is linear in the bucket. Before the first of these turns an exact prefix filter drops nodes that can have
+no link into another component. What still lies in different components after TURNS turns is
+verified pair by pair, save pairs that their sizes or the triangle inequality of the Jaccard distance to the first
+leader rule out, so no link is lost.
 
 Links make components (distributed star contraction). One document of each, that with the smallest id, is kept.
 
@@ -23,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.operators.components import connected_components
@@ -33,6 +37,7 @@ from . import common as c
 WORDS, COORDS, ROWS = 5, 128, 4
 BANDS = COORDS // ROWS
 NUM, DEN = 75, 100
+TURNS = 3
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SKETCH_DDL = "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
 SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -114,6 +119,44 @@ def is_link() -> F.Column:
     return F.expr(f"{DEN} * inter >= {NUM} * union")
 
 
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components parts(id, component) joined by further links(u, v): the components themselves are the nodes."""
+    of = lambda end: parts.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
+    between = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
+    joined = connected_components(between).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    moved = parts.join(joined, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    alone = joined.join(parts.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("to").alias("component"))
+    return moved.unionByName(alone)
+
+
+def still_open(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows(key, node, n, d) of the buckets whose nodes lie in several components, with the component."""
+    seen = rows.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    return c.cut(seen.join(split, "key").select("key", "node", "n", "d", "component"), "op2-open")
+
+
+def linkable(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows(key, node, n, d, component) without nodes that can have no link into another component. With all shingles in one order,
+    rare ones first, two sets of similarity 0.75 or more share a shingle among the first n - ceil(0.75 n) + 1 of each (the
+    prefix filter, which is exact); a node stays if such a shingle of its own is also one in another component."""
+    nodes = rows.select("node", "component").distinct()
+    x = nodes.join(sets.withColumnRenamed("doc_id", "node"), "node").select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+    x = x.join(x.groupBy("s").agg(F.count("*").alias("often")), "s")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "s"))
+    first = c.cut(x.withColumn("place", place).filter(f"place <= size - ceil({NUM} * size / {DEN}) + 1").select("node", "component", "s"), "op2-prefixes")
+    shared = first.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("s")
+    live = first.join(shared, "s", "left_semi").select("node").distinct()
+    return rows.join(live, "node", "left_semi").select("key", "node", "n", "d")
+
+
+def new_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of the pairs(node, n, other, m) that are links; sizes too different rule a link out."""
+    apart = pairs.filter(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)")
+    ab = apart.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return c.cut(verified(ab, sets).filter(is_link()).select(F.col("a").alias("u"), F.col("b").alias("v")), "op2-links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -121,7 +164,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = c.cut(docs.mapInArrow(sketched, SKETCH_DDL), "op2-sketches")
     held = rows.filter("n > 0 and doc_id is not null")
     nodes = held.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    entries = c.cut(held.join(nodes, ["k1", "k2"]).filter("doc_id = node").select("node", "n", F.explode("bands").alias("key")).distinct(), "op2-entries")
+    own = held.join(nodes, ["k1", "k2"]).filter("doc_id = node").dropDuplicates(["k1", "k2"])
+    entries = c.cut(own.select("node", "n", F.explode("bands").alias("key")), "op2-entries")
     buckets = entries.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("key", "leader")
     hot = c.cut(entries.join(buckets, "key"), "op2-buckets")
     used = hot.select(F.col("node").alias("doc_id")).distinct()
@@ -131,25 +175,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stars.filter(is_link()).select(F.col("a").alias("u"), F.col("b").alias("v"))
     parts = connected_components(links)
     # what the stars leave open: nodes of one bucket in different components
-    seen = (
-        hot.join(stars.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.expr("1 - inter / union").alias("d")), ["leader", "node"], "left")
-        .join(parts.withColumnRenamed("id", "node"), "node", "left")
-        .select("key", "node", "leader", "n", F.coalesce("component", "node").alias("component"), F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("d")).alias("d"))
-    )
-    seen = c.cut(seen, "op2-seen")
-    split = seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_ = seen.filter("node <> leader").join(split, "key").drop("leader")
-    left, right = (open_.select("key", *[F.col(x).alias(f"{x}_{s}") for x in ("node", "n", "component", "d")]) for s in "ab")
-    pairs = (
-        left.join(right, "key")
-        .filter("node_a < node_b and component_a <> component_b")
-        .filter(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and abs(d_a - d_b) <= {1 - NUM / DEN} + 1e-9")
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .distinct()
-    )
-    more = c.cut(verified(c.cut(pairs, "op2-open"), sets).filter(is_link()).select(F.col("a").alias("u"), F.col("b").alias("v")), "op2-more")
-    if not more.isEmpty():
-        parts = connected_components(links.unionByName(more))
+    distance = stars.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.expr("1 - inter / union").alias("d"))
+    open_ = hot.filter("node <> leader").join(distance, ["leader", "node"]).select("key", "node", "n", "d")
+    for turn in range(TURNS):
+        open_ = still_open(open_, parts)
+        if turn == 0:
+            open_ = still_open(linkable(open_, sets), parts)
+        if open_.isEmpty():
+            break
+        best = F.min_by if turn % 2 == 0 else F.max_by  # by turns the node closest to the first leader, and the farthest
+        leaders = open_.groupBy("key").agg(best(F.struct("node", "n", "component"), F.struct("d", "node")).alias("l"))
+        led = c.cut(open_.join(leaders, "key"), "op2-led")
+        more = new_links(led.filter("node <> l.node and component <> l.component").select("node", "n", F.col("l.node").alias("other"), F.col("l.n").alias("m")), sets)
+        if not more.isEmpty():
+            parts = c.cut(merged(parts, more), "op2-parts")
+        open_ = led.filter("node <> l.node").select("key", "node", "n", "d")
+    else:
+        open_ = still_open(open_, parts)
+        left, right = (open_.select("key", *[F.col(x).alias(f"{x}_{s}") for x in ("node", "n", "component", "d")]) for s in "ab")
+        near = left.join(right, "key").filter(f"node_a < node_b and component_a <> component_b and abs(d_a - d_b) <= {1 - NUM / DEN} + 1e-9")
+        more = new_links(near.select(F.col("node_a").alias("node"), F.col("n_a").alias("n"), F.col("node_b").alias("other"), F.col("n_b").alias("m")), sets)
+        if not more.isEmpty():
+            parts = merged(parts, more)
     member = rows.join(nodes, ["k1", "k2"], "left").select("doc_id", "n", F.expr("case when doc_id is null then null when n = 0 then doc_id else node end").alias("node"))
     done = member.join(parts.withColumnRenamed("id", "node"), "node", "left")
     return done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")).withColumn("kept", F.expr("coalesce(doc_id = component_id, true)"))
