@@ -21,12 +21,12 @@ GROUP_DOCS = 4096
 WORD_MEMO = 150_000
 
 
-def parts_for(df: DataFrame, bytes_per_part: int = 64 << 20) -> int:
-    """Hash parts for an exchange: at least the session's shuffle partitions, more if the input is larger."""
+def parts_for(df: DataFrame, bytes_per_part: int = 64 << 20, least: int | None = None) -> int:
+    """Hash parts for an exchange: at least the session's shuffle partitions (or `least`), more if the input is larger."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     by_size = size // bytes_per_part if size < 1 << 60 else 0
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(by_size, 1 << 20))
+    return max(1, least or int(spark.conf.get("spark.sql.shuffle.partitions")), min(by_size, 1 << 20))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:

@@ -31,6 +31,8 @@ from . import common as c
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 SEED = WINDOW - PERIOD + 1
+#: Hash parts follow the input's size alone: a document gets a row from each part that finds some of its hashes.
+LEAST_PARTS, PART_BYTES = 64, 256 << 20
 MULTI = 0xFFFF  # an entry whose hash is shared within its group already
 PARTS = pa.schema([("route", pa.int32()), ("direct", pa.bool_()), ("h", pa.binary()), ("g", pa.binary()), ("d", pa.binary()), ("ids", pa.binary())])
 PARTS_DDL = "route int, direct boolean, h binary, g binary, d binary, ids binary"
@@ -260,7 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: doc_id, n_words, n_removed, kept (null if nothing was removed or looked at: the words
     joined by a space), removed (word spans) and kept_sha256."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    parts = c.parts_for(docs)
+    parts = c.parts_for(docs, PART_BYTES, LEAST_PARTS)
     plan = planned(docs, parts)
     c.release(docs.sparkSession)
     windows = plan.filter("runs is not null").select("doc_id", "text", "runs")
