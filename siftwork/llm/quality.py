@@ -8,7 +8,9 @@ MIN_REPEAT words or more are the LCP intervals of the maximal repeated substring
 occurrences gives the covered fraction, their greatest length the longest repeat.
 
 A text fails the method's verdict if the spans cover more than MAX_COVERED of its words, or the longest repeat is
-longer than both LONG_WORDS words and MAX_LONGEST of its words.
+longer than both LONG_WORDS words and MAX_LONGEST of its words. What the spans cover is part of the base rule's repeated
+words, half of the text at most once that rule is passed, and a passage and its copy cover twice its length: so MAX_COVERED must
+stay well below 0.5 and MAX_LONGEST well below 0.25 for the method to add anything.
 
 Defined cases: null text has no words and fails; repeated rows are judged one by one; texts of any length; extra columns are
 ignored.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 MIN_LEVEL = 3
-MIN_REPEAT, MAX_COVERED, MAX_LONGEST, LONG_WORDS = 1 << MIN_LEVEL, 0.6, 0.35, 60
+MIN_REPEAT, MAX_COVERED, MAX_LONGEST, LONG_WORDS = 1 << MIN_LEVEL, 0.3, 0.1, 60
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
 OUT = pa.schema([("doc_id", pa.int64()), *((x, pa.int64()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")), ("base_failed", pa.bool_()), ("kept", pa.bool_())])

@@ -74,6 +74,19 @@ def test_verdict():
     assert quality.judge([clean.encode(), twice.encode(), passage.encode()])[8] == [True, False, True]
 
 
+def test_verdict_adds_to_the_base_rule():
+    rng = random.Random(2)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, short = new(2400), [new(50) for _ in range(40)]
+    far = new(2600) + passage + new(2600) + passage  # one long passage twice: 48 % covered
+    third = new(300) + passage[:250] + new(1200) + passage[:250]  # 25 % covered, fails by the longest repeat alone
+    many = [w for x in short for w in x + new(65)] + [w for x in short for w in x + new(65)]  # 43 % in repeats of 50 words
+    quote = new(1000) + passage[:40] + new(1000) + passage[:40]
+    out = quality.judge([" ".join(x).encode() for x in (far, third, many, quote)])
+    assert out[7] == [False] * 4
+    assert out[8] == [False, False, False, True]
+
+
 def test_hostile(spark):
     got = quality.assess(with_null_id(frame(spark)), with_spans=True).collect()
     assert len(got) == len(HOSTILE) + 3
