@@ -5,13 +5,16 @@ matches and regexp_extract_all() the matches, so their lengths add up to places
 
 The method adds strings that look random. A candidate is a maximal run of at least CANDIDATE_CHARS characters of the
 base64 alphabets with a digit and a letter. Its encoding is inferred (hex, base32, base36 or base64), and in that alphabet of k
-symbols three tests are made:
-- chi-squared against a uniform alphabet. As written text departs from uniform, its statistic grows with the length n;
-  SHAPE holds how much for each encoding, and p is the chance that such text looks as uniform as the candidate does;
-- runs above and below the alphabet's middle (Wald-Wolfowitz), and lag-1 serial correlation: a candidate whose z is
-  beyond MAX_Z in either isn't random.
-p is combined over the whole corpus by the Benjamini-Hochberg rule, apart for each length band, since short strings
-can't give small p: candidates are counted in bins of p (bounded in number), and each band's threshold is the largest p
+symbols three tests are made; a candidate whose z is beyond MAX_Z in any of them isn't random:
+- chi-squared against a uniform alphabet. The statistic of written text grows with the length n, SHAPE holds how much
+  for each encoding; a candidate may depart by NEAR of that, as part of an alphabet does;
+- runs above and below the alphabet's middle (Wald-Wolfowitz), and lag-1 serial correlation.
+p comes from the null that the candidate is written: a chain of lower-case, upper-case, digit and mark (STEPS) that
+draws a symbol by its class (LETTERS, MARKS, digits alike). For a string drawn from the null, its chance by the null
+over that by k equally likely symbols falls below p with chance p at most (Markov), so this ratio, times the CHOICES of
+encoding, serves as p. It falls with each symbol: 20 random characters of any encoding have a median p of about 1e-8.
+p is combined over the whole corpus by the Benjamini-Hochberg rule, apart for each encoding and length band, since short
+strings can't give small p: candidates are counted in bins of p (bounded in number), and each threshold is the largest p
 whose expected false discoveries stay below RATE. Base spans always stay; added ones that overlap them are left out.
 
 Defined cases: null text is empty; repeated rows are scanned one by one; texts of any length; extra columns are ignored; without
@@ -20,6 +23,8 @@ candidates nothing is added.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +37,41 @@ HEX = r"[0-9a-f]{24,}"  # [0-9a-f]+ of 24 characters or more
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE_CHARS = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{CANDIDATE_CHARS},}}={{0,2}}"
-RATE, MAX_Z, BANDS, BINS = 1e-3, 3.5, (20, 32, 64), 300
+RATE, MAX_Z, NEAR, BANDS, BINS = 1e-3, 3.5, 0.25, (20, 32, 64), 300
 _LOW, _UP, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: encoding: pattern of the whole candidate, alphabet, departure of written text from uniform
 SHAPE = {
     "hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", _DIGITS + "abcdef", 0.6),
     "base32": (r"^[A-Z2-7]+=*$", _UP + "234567", 1.1),
-    "base36": (r"^[0-9a-z]+$", _DIGITS + _LOW, 1.3),
+    "base36": (r"^(?:[0-9a-z]+|[0-9A-Z]+)$", _DIGITS + _LOW, 1.3),
     "base64": (r"", _UP + _LOW + _DIGITS + "+/", 3.2),
 }
-
-
-def _phi(z: str) -> str:
-    """Normal distribution function, logistic approximation."""
-    return f"(1 / (1 + exp(-(1.5976 * ({z}) + 0.07056 * ({z}) * ({z}) * ({z})))))"
+# the null: measured on written names, paths and identifiers, rounded, and with a floor for what is rare
+CLASSES = "LUDS"
+#: class: chances that it is followed by each of CLASSES; a candidate begins as after a mark
+STEPS = {"L": (0.79, 0.025, 0.03, 0.155), "U": (0.25, 0.57, 0.06, 0.12), "D": (0.03, 0.02, 0.80, 0.15), "S": (0.66, 0.12, 0.18, 0.04)}
+LETTERS = (7, 2, 7, 5, 8, 2, 2, 3, 7, 1, 1.5, 5, 4, 6.5, 7.5, 5.5, 1, 5.5, 7, 7.5, 3.5, 1, 1, 1, 3, 1)
+MARKS = {"/": 0.5, "_": 0.25, "-": 0.2, "+": 0.05}
+#: hex and base36 in two cases, base32, base64 with two pairs of marks; rounded up
+CHOICES = 8
+
+
+def _costs(chances) -> str:
+    return "array(" + ", ".join(f"{-math.log2(x):.6f}D" for x in chances) + ")"
+
+
+def _written(m: str) -> str:
+    """SQL: -log2 of the null's chance of the string m of base64 characters."""
+    marks = "".join(MARKS)
+    of_char = _costs([x / sum(LETTERS) for x in LETTERS] + [0.1] * 10 + list(MARKS.values()))
+    of_step = _costs([x for a in CLASSES for x in STEPS[a]])
+    after = f"translate({m}, '{_LOW + _UP + _DIGITS + marks}', '{'L' * 26 + 'U' * 26 + 'D' * 10 + 'S' * len(marks)}')"
+    before = f"concat('S', left({after}, char_length({m}) - 1))"
+    places = lambda v, of: f"transform(filter(split({v}, ''), y -> y <> ''), y -> locate(y, '{of}') - 1)"
+    total = lambda costs: f"aggregate({costs}, 0D, (a, y) -> a + y)"
+    symbols = f"transform({places(f'lower({m})', _LOW + _DIGITS + marks)}, y -> get({of_char}, y))"
+    steps = f"zip_with({places(before, CLASSES)}, {places(after, CLASSES)}, (y, z) -> get({of_step}, {len(CLASSES)} * y + z))"
+    return f"({total(symbols)} + {total(steps)})"
 
 
 def _case(values: dict[str, str]) -> str:
@@ -70,37 +96,38 @@ def _found(df: DataFrame, name: str, pattern: str) -> DataFrame:
 
 
 def _tested(places: str) -> str:
-    """SQL: array of (s, e, p, band) for the candidates that pass the runs and serial tests, from an array of (s, e, m)."""
+    """SQL: array of (s, e, bin, enc, band) for the candidates that pass the three tests, from an array of (s, e, m)."""
     alphabet = _case({k: f"'{v[1]}'" for k, v in SHAPE.items()})
     halves = _case({k: "'" + "0" * (len(v[1]) // 2) + "1" * (len(v[1]) - len(v[1]) // 2) + "'" for k, v in SHAPE.items()})
     shape = _case({k: f"{v[2]}D" for k, v in SHAPE.items()})
     enc = "case " + " ".join(f"when x.m rlike '{v[0]}' then '{k}'" for k, v in SHAPE.items() if v[0]) + " else 'base64' end"
     steps = [
         f"named_struct('s', x.s, 'e', x.e, 'enc', {enc}, 'm', rtrim('=', x.m))",
-        f"""named_struct('s', x.s, 'e', x.e, 'n', cast(char_length(x.m) as double), 'k', cast(char_length({alphabet}) as double), 'shape', {shape},
-            'v', if(x.enc = 'hex', lower(x.m), if(x.enc = 'base64', translate(x.m, '-_', '+/'), x.m)), 'alphabet', {alphabet}, 'halves', {halves})""",
-        "named_struct('s', x.s, 'e', x.e, 'n', x.n, 'k', x.k, 'shape', x.shape, 'v', x.v, 'symbols', transform(filter(split(x.v, ''), y -> y <> ''), y -> cast(locate(y, x.alphabet) as double)), 'bits', translate(x.v, x.alphabet, x.halves))",
-        """named_struct('s', x.s, 'e', x.e, 'n', x.n, 'k', x.k, 'shape', x.shape,
+        f"""named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'cost', {_written('x.m')}, 'n', cast(char_length(x.m) as double), 'k', cast(char_length({alphabet}) as double), 'shape', {shape},
+            'v', if(x.enc in ('hex', 'base36'), lower(x.m), if(x.enc = 'base64', translate(x.m, '-_', '+/'), x.m)), 'alphabet', {alphabet}, 'halves', {halves})""",
+        "named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'cost', x.cost, 'n', x.n, 'k', x.k, 'shape', x.shape, 'v', x.v, 'symbols', transform(filter(split(x.v, ''), y -> y <> ''), y -> cast(locate(y, x.alphabet) as double)), 'bits', translate(x.v, x.alphabet, x.halves))",
+        """named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'cost', x.cost, 'n', x.n, 'k', x.k, 'shape', x.shape,
             'squares', aggregate(array_distinct(filter(split(x.v, ''), y -> y <> '')), 0D, (a, y) -> a + pow(x.n - char_length(replace(x.v, y, '')), 2)),
             'runs', 1 + (x.n - char_length(replace(x.bits, '01', ''))) / 2 + (x.n - char_length(replace(x.bits, '10', ''))) / 2,
             'ones', x.n - char_length(replace(x.bits, '1', '')),
             's1', aggregate(x.symbols, 0D, (a, y) -> a + y), 's2', aggregate(x.symbols, 0D, (a, y) -> a + y * y),
             's11', aggregate(zip_with(x.symbols, concat(slice(x.symbols, 2, size(x.symbols)), slice(x.symbols, 1, 1)), (y, z) -> y * z), 0D, (a, y) -> a + y))""",
-        "named_struct('s', x.s, 'e', x.e, 'n', x.n, 'k', x.k, 'shape', x.shape, 'chi', x.k / x.n * x.squares - x.n, 'runs', x.runs, 'mean', 2 * x.ones * (x.n - x.ones) / x.n + 1, 'r', (x.s11 - x.s1 * x.s1 / x.n) / (x.s2 - x.s1 * x.s1 / x.n))",
-        """named_struct('s', x.s, 'e', x.e, 'n', x.n,
-            'z', (x.chi - (x.k - 1) - (x.n - 1) * x.shape) / sqrt(2 * (x.k - 1) + 4 * (x.n - 1) * x.shape),
+        "named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'cost', x.cost, 'n', x.n, 'k', x.k, 'shape', x.shape, 'chi', x.k / x.n * x.squares - x.n, 'runs', x.runs, 'mean', 2 * x.ones * (x.n - x.ones) / x.n + 1, 'r', (x.s11 - x.s1 * x.s1 / x.n) / (x.s2 - x.s1 * x.s1 / x.n))",
+        f"""named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'n', x.n,
+            'log10_p', least(0D, ({math.log2(CHOICES)}D + x.n * log2(x.k) - x.cost) * {math.log10(2)}D),
+            'z_chi', (x.chi - (x.k - 1) - (x.n - 1) * {NEAR}D * x.shape) / sqrt(2 * (x.k - 1) + 4 * (x.n - 1) * {NEAR}D * x.shape),
             'z_runs', (x.runs - x.mean) / sqrt((x.mean - 1) * (x.mean - 2) / (x.n - 1)), 'z_serial', (x.r + 1 / (x.n - 1)) * sqrt(x.n))""",
     ]
     out = f"filter({places}, x -> x.m rlike '[0-9]' and x.m rlike '[A-Za-z]')"
     for step in steps:
         out = f"transform({out}, x -> {step})"
-    out = f"filter({out}, x -> coalesce(abs(x.z_runs) <= {MAX_Z} and abs(x.z_serial) <= {MAX_Z}, false))"
+    out = f"filter({out}, x -> coalesce(x.z_chi <= {MAX_Z} and abs(x.z_runs) <= {MAX_Z} and abs(x.z_serial) <= {MAX_Z}, false))"
     band = "case " + " ".join(f"when x.n >= {b} then {b}" for b in reversed(BANDS)) + f" else {BANDS[0]} end"
-    return f"transform({out}, x -> named_struct('s', x.s, 'e', x.e, 'bin', cast(least({BINS}, floor(-10 * log10(greatest({_phi('x.z')}, 1e-40)))) as int), 'band', {band}))"
+    return f"transform({out}, x -> named_struct('s', x.s, 'e', x.e, 'bin', cast(least({BINS}, floor(-10 * x.log10_p)) as int), 'enc', x.enc, 'band', {band}))"
 
 
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns, base spans (s, k: number of the kind, e) and candidates (s, e, bin, band) of each row."""
+    """The kept columns, base spans (s, k: number of the kind, e) and candidates (s, e, bin, enc, band) of each row."""
     df = docs.withColumn("__text", F.coalesce("text", F.lit("")))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("candidates", CANDIDATE)):
         df = _found(df, f"__{name}", pattern)
@@ -114,18 +141,18 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def thresholds(found: DataFrame) -> dict[int, int]:
-    """Smallest bin of p that counts as a discovery, for each length band that has one. Only the bins' counts, bounded in
-    number, come to the driver."""
-    bins = found.select(F.explode("candidates").alias("x")).groupBy("x.band", "x.bin").count().collect()
-    out: dict[int, int] = {}
-    for band in {r.band for r in bins}:
-        own = {r.bin: r["count"] for r in bins if r.band == band}
+def thresholds(found: DataFrame) -> dict[tuple[str, int], int]:
+    """Smallest bin of p that counts as a discovery, for each encoding and length band that has one. Only the bins' counts,
+    bounded in number, come to the driver."""
+    bins = found.select(F.explode("candidates").alias("x")).groupBy("x.enc", "x.band", "x.bin").count().collect()
+    out: dict[tuple[str, int], int] = {}
+    for kind in {(r.enc, r.band) for r in bins}:
+        own = {r.bin: r["count"] for r in bins if (r.enc, r.band) == kind}
         total, so_far = sum(own.values()), 0
         for b in sorted(own, reverse=True):
             so_far += own[b]
             if 10 ** (-b / 10) <= so_far * RATE / total:
-                out[band] = b
+                out[kind] = b
     return out
 
 
@@ -134,7 +161,7 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = keep or ["doc_id"]
     found = c.cut(scanned(docs, keep), "op3-found")
     limits = thresholds(found)
-    test = " or ".join(f"(x.band = {band} and x.bin >= {b})" for band, b in sorted(limits.items())) or "false"
+    test = " or ".join(f"(x.enc = '{enc}' and x.band = {band} and x.bin >= {b})" for (enc, band), b in sorted(limits.items())) or "false"
     added = f"filter(candidates, x -> ({test}) and not exists(base, b -> b.s < x.e and x.s < b.e))"
     return found.select(*keep, "base", F.expr(f"sort_array(concat(base, transform({added}, x -> named_struct('s', x.s, 'k', 3, 'e', x.e))))").alias("spans"))
 
