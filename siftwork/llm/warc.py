@@ -7,8 +7,9 @@ for each record, under names of its own attempt; only archives of committed task
 
 Reader: streams an archive (gzip members or plain) and checks each record: member checksum and end, version line, header,
 content length, record end and payload digest. After a failed check it searches for the next place where a valid member or
-version line begins, goes on from there, and logs the bytes in between as a quarantined gap with the reason. Memory is bounded by the
-largest record.
+version line begins, goes on from there, and logs the bytes in between as a quarantined gap with the reason. A payload may hold
+version lines: a record is read to its announced end and judged there. Memory is bounded by the largest record; a wrong length
+inside a member holds that member's rest, up to that length.
 
 Defined cases: null html is an empty payload; null url is an empty target; null page_id is written as a response that nothing refers
 to; repeated rows are a record each, and all rows of a group's largest page_id are responses; an empty table gives no archive; extra columns are ignored.
@@ -62,8 +63,8 @@ class Bad(Exception):
     """A failed check."""
 
 
-def parsed(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
-    """Headers, payload and end of the record that begins at `at`; None if more data is needed."""
+def head(data: bytes, at: int = 0) -> tuple[dict[str, str], int, int] | None:
+    """Headers and places where the payload of the record that begins at `at` begins and ends; None if more data is needed."""
     if len(data) - at < len(VERSION):
         if VERSION.startswith(data[at:]):
             return None
@@ -84,22 +85,29 @@ def parsed(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None
     length = headers.get("Content-Length", "")
     if not (length.isascii() and length.isdigit()):
         raise Bad("no content length")
-    start = end + 4
-    stop = start + int(length)
-    if len(data) < stop + 4:
-        tail = data.find(b"\r\n\r\n" + VERSION, start)
-        if 0 <= tail < stop:
-            raise Bad("content length passes the next record")
+    return headers, end + 4, end + 4 + int(length)
+
+
+def parsed(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
+    """Headers, payload and end of the record that begins at `at`; None if more data is needed."""
+    if (got := head(data, at)) is None or len(data) < got[2] + 4:
         return None
+    headers, start, stop = got
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Bad("no record end after the content")
-    payload = data[start:stop]
+    payload = bytes(data[start:stop])
     digest = headers.get("WARC-Payload-Digest", "")
     if headers.get("WARC-Type") != "revisit" and digest.startswith("sha1:") and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest[5:]:
         raise Bad("payload digest differs")
     return headers, payload, stop + 4
 
 
+def cut_off(data: bytes) -> Bad:
+    """Why the record that begins the data, after which there is no more, isn't complete."""
+    got = head(data)
+    return Bad("content length passes the next record" if got and data.find(b"\r\n\r\n" + VERSION, got[1]) >= 0 else "record is cut off")
+
+
 class Salvager:
     """Records and gaps of one archive, read through a seekable file."""
 
@@ -123,7 +131,7 @@ class Salvager:
     def member(self, at: int):
         """(headers, payload) of each record of the member, then (None, where the member ends). A record is held back until the next
         one or the member's checksum is found good."""
-        z, held, place, last = zlib.decompressobj(31), b"", at, None
+        z, held, place, last, need = zlib.decompressobj(31), bytearray(), at, None, 1
         while not z.eof:
             some = self.bytes_at(place, CHUNK)
             if not some:
@@ -133,26 +141,38 @@ class Salvager:
                 held += z.decompress(some)
             except zlib.error as e:
                 raise Bad(f"member: {e}") from None
-            while held and (got := parsed(held)) is not None:
+            while len(held) >= need:
+                if (got := parsed(held)) is None:
+                    known = head(held)
+                    need = known[2] + 4 if known else len(held) + 1
+                    break
                 if last:
                     yield last
-                last, held = got[:2], held[got[2] :]
+                last, need = got[:2], 1
+                del held[: got[2]]
         if held:
-            raise Bad("record is cut off")
+            raise cut_off(held)
         if last:
             yield last
         yield None, place - len(z.unused_data)
 
     def plain(self, at: int):
-        held, place = b"", at
+        held, place = bytearray(), at
         while True:
             some = self.bytes_at(place, CHUNK)
             place += len(some)
             held += some
-            if (got := parsed(held)) is not None:
-                return got[0], got[1], at + got[2]
+            if (known := head(held)) is not None:
+                break
             if not some:
                 raise Bad("record is cut off")
+        end = known[2] + 4
+        if at + end > self.size:
+            raise Bad("content length passes the end of the archive")
+        if self.bytes_at(at + end - 4, 4) != b"\r\n\r\n":
+            raise Bad("no record end after the content")
+        headers, payload, end = parsed(self.bytes_at(at, end))
+        return headers, payload, at + end
 
     def begins(self, at: int) -> bool:
         """Whether a valid member or version line begins here."""

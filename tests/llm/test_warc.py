@@ -92,3 +92,18 @@ def test_one_member_for_all(tmp_path):
     parts = archive(6, False)
     assert salvage(tmp_path, gzip.compress(b"".join(parts))) == (list(range(6)), [])
     assert salvage(tmp_path, b"") == ([], [])
+
+
+def test_long_payload_that_quotes_records(tmp_path):
+    rng = random.Random(4)
+    quoted = archive(1, False, seed=5)[0]
+    page = b"".join(rng.randbytes(50_000) + b"\r\n\r\nWARC/1.1\r\nWARC-Type: x\r\n\r\n" + quoted for _ in range(8))
+    big = warc.record("response", 77, "http://q/", page, hashlib.sha1(page).digest(), len(page), None)
+    small = archive(3, False)
+    wrong = big.replace(b"Content-Length: ", b"Content-Length: 9", 1)
+    for pack in (gzip.compress, bytes):
+        data = b"".join(map(pack, [small[0], big, *small[1:]]))
+        assert salvage(tmp_path, data) == ([0, 77, 1, 2], [])
+    assert salvage(tmp_path, gzip.compress(b"".join([small[0], big, *small[1:]]))) == ([0, 77, 1, 2], [])
+    ids, gaps = salvage(tmp_path, gzip.compress(small[0]) + gzip.compress(wrong) + gzip.compress(small[1]))
+    assert ids == [0, 1] and gaps == [(len(gzip.compress(small[0])), len(gzip.compress(small[0]) + gzip.compress(wrong)))]
