@@ -9,7 +9,9 @@ Reader: streams an archive (gzip members or plain) and checks each record: membe
 content length, record end and payload digest. After a failed check it searches for the next place where a valid member or
 version line begins, goes on from there, and logs the bytes in between as a quarantined gap with the reason. A payload may hold
 version lines: a record is read to its announced end and judged there. Memory is bounded by the largest record; a wrong length
-inside a member holds that member's rest, up to that length.
+inside a member holds that member's rest, up to that length. In a member of several records the search goes on in the decompressed
+bytes, and a gap's reason tells its place there. A record found by it counts only if a version line or the member's end
+follows, since a damaged page may quote records.
 
 Defined cases: null html is an empty payload; null url is an empty target; null page_id is written as a response that nothing refers
 to; repeated rows are a record each, and all rows of a group's largest page_id are responses; an empty table gives no archive; extra columns are ignored.
@@ -18,6 +20,7 @@ to; repeated rows are a record each, and all rows of a group's largest page_id a
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import uuid
@@ -60,7 +63,12 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, sha1
 
 
 class Bad(Exception):
-    """A failed check."""
+    """A failed check. size: that of the record, if it ends where it announces, else 0. past: place in the archive up to which
+    version lines have been read already, in a member's stored blocks."""
+
+    def __init__(self, reason: str, size: int = 0, past: int = 0):
+        super().__init__(reason)
+        self.size, self.past = size, past
 
 
 def head(data: bytes, at: int = 0) -> tuple[dict[str, str], int, int] | None:
@@ -98,7 +106,7 @@ def parsed(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None
     payload = bytes(data[start:stop])
     digest = headers.get("WARC-Payload-Digest", "")
     if headers.get("WARC-Type") != "revisit" and digest.startswith("sha1:") and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest[5:]:
-        raise Bad("payload digest differs")
+        raise Bad("payload digest differs", stop + 4 - at)
     return headers, payload, stop + 4
 
 
@@ -108,6 +116,59 @@ def cut_off(data: bytes) -> Bad:
     return Bad("content length passes the next record" if got and data.find(b"\r\n\r\n" + VERSION, got[1]) >= 0 else "record is cut off")
 
 
+class Unpacked:
+    """The decompressed bytes of the member at `at`: held from byte `begin` on; `broken` tells why there are no more, unless the
+    member ended well."""
+
+    def __init__(self, bytes_at, at: int):
+        self.bytes_at, self.place, self.z = bytes_at, at, zlib.decompressobj(31)
+        self.held, self.begin, self.broken = bytearray(), 0, None
+
+    def has(self, n: int) -> bool:
+        """Whether n bytes are held, after reading on for them."""
+        while len(self.held) < n and not self.z.eof and not self.broken:
+            some, before = self.bytes_at(self.place, CHUNK), self.z.copy()
+            self.place += len(some)
+            try:
+                self.held += self.z.decompress(some)
+            except zlib.error as e:
+                self.broken = f"member: {e}"
+                with contextlib.suppress(zlib.error):  # what comes before the error
+                    self.place -= len(some)
+                    for i in range(len(some)):
+                        self.place += 1
+                        self.held += before.decompress(some[i : i + 1])
+            if not some:
+                self.broken = "member is cut off"
+        return len(self.held) >= n
+
+    def drop(self, n: int) -> None:
+        self.begin += min(n, len(self.held))
+        del self.held[:n]
+
+    def to_version(self) -> bool:
+        """Goes to the next version line, if there is one."""
+        while True:
+            i = self.held.find(VERSION)
+            self.drop(i if i >= 0 else max(0, len(self.held) - len(VERSION) + 1))
+            if i < 0:
+                if not self.has(len(self.held) + 1):
+                    return False
+            else:
+                self.has(CHUNK)
+                if VERSION_LINE.match(self.held):
+                    return True
+                self.drop(1)
+
+    def record(self) -> tuple[dict[str, str], bytes, int]:
+        while True:
+            if (got := parsed(self.held)) is not None:
+                return got
+            known = head(self.held)
+            if not self.has(known[2] + 4 if known else len(self.held) + 1):
+                raise cut_off(self.held)
+
+
 class Salvager:
     """Records and gaps of one archive, read through a seekable file."""
 
@@ -129,32 +190,39 @@ class Salvager:
         return self.size
 
     def member(self, at: int):
-        """(headers, payload) of each record of the member, then (None, where the member ends). A record is held back until the next
-        one or the member's checksum is found good."""
-        z, held, place, last, need = zlib.decompressobj(31), bytearray(), at, None, 1
-        while not z.eof:
-            some = self.bytes_at(place, CHUNK)
-            if not some:
-                raise Bad("member is cut off")
-            place += len(some)
+        """("record", headers, payload) of each record of the member and ("gap", first byte, end, reason) between them, in
+        decompressed bytes; then ("end", where the member ends). A record is held back until more data follows or the
+        member's checksum is found good; the last of several needs its own checks only."""
+        u, last, seen, lost, reason = Unpacked(self.bytes_at, at), None, 0, None, None
+        while u.has(1) and (lost is None or u.to_version()):
             try:
-                held += z.decompress(some)
-            except zlib.error as e:
-                raise Bad(f"member: {e}") from None
-            while len(held) >= need:
-                if (got := parsed(held)) is None:
-                    known = head(held)
-                    need = known[2] + 4 if known else len(held) + 1
-                    break
-                if last:
-                    yield last
-                last, need = got[:2], 1
-                del held[: got[2]]
-        if held:
-            raise cut_off(held)
-        if last:
-            yield last
-        yield None, place - len(z.unused_data)
+                headers, payload, end = u.record()
+                u.has(end + len(VERSION))
+                if lost is not None and not VERSION.startswith(u.held[end : end + len(VERSION)]):
+                    raise Bad("not followed by a record")
+            except Bad as e:
+                if lost is None:
+                    lost, reason = u.begin, str(e)
+                u.drop(e.size or 1)
+                continue
+            if last:
+                yield "record", *last
+            if lost is not None:
+                yield "gap", lost, u.begin, reason
+            last, lost = (headers, payload), None
+            seen += 1
+            u.drop(end)
+        if not seen:
+            raise Bad(u.broken or reason or "empty member")
+        if last and (not u.broken or seen > 1 or lost is not None):
+            yield "record", *last
+        elif u.broken:
+            raise Bad(u.broken)
+        if u.broken:
+            raise Bad(f"{reason if lost is not None else u.broken}; bytes before {u.begin if lost is None else lost} of the member were read", past=u.place)
+        if lost is not None:
+            yield "gap", lost, u.begin + len(u.held), reason
+        yield "end", u.place - len(u.z.unused_data)
 
     def plain(self, at: int):
         held, place = bytearray(), at
@@ -185,18 +253,20 @@ class Salvager:
         return VERSION_LINE.match(head) is not None
 
     def items(self):
-        """("record", start, end (None in a member), None, headers, payload) and ("gap", start, end, reason, None, None) in order."""
+        """("record", start, end (None in a member), None, headers, payload) and ("gap", start, end (None in a member), reason, None, None) in order."""
         at = 0
         while at < self.size:
             start = at
             try:
                 head = self.bytes_at(at, len(VERSION))
                 if head.startswith(MAGIC):
-                    for headers, payload in self.member(at):
-                        if headers is None:
-                            at = payload
+                    for kind, *got in self.member(at):
+                        if kind == "record":
+                            yield "record", start, None, None, *got
+                        elif kind == "gap":
+                            yield "gap", start, None, f"{got[2]}; bytes {got[0]} to {got[1]} of the member", None, None
                         else:
-                            yield "record", start, None, None, headers, payload
+                            at = got[0]
                 elif head == VERSION:
                     headers, payload, end = self.plain(at)
                     yield "record", start, end, None, headers, payload
@@ -206,7 +276,7 @@ class Salvager:
             except Bad as e:
                 nxt = start + 1
                 while True:
-                    nxt = min(self.find(MAGIC, nxt), self.find(VERSION, nxt))
+                    nxt = min(self.find(MAGIC, nxt), self.find(VERSION, max(nxt, e.past)))
                     if nxt >= self.size or self.begins(nxt):
                         break
                     nxt += 1

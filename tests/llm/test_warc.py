@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import zlib
 
 import duckdb
 
@@ -107,3 +108,27 @@ def test_long_payload_that_quotes_records(tmp_path):
     assert salvage(tmp_path, gzip.compress(b"".join([small[0], big, *small[1:]]))) == ([0, 77, 1, 2], [])
     ids, gaps = salvage(tmp_path, gzip.compress(small[0]) + gzip.compress(wrong) + gzip.compress(small[1]))
     assert ids == [0, 1] and gaps == [(len(gzip.compress(small[0])), len(gzip.compress(small[0]) + gzip.compress(wrong)))]
+
+
+def test_damage_in_a_member_of_many(tmp_path):
+    parts = archive(6, False)
+    at = [sum(map(len, parts[:i])) for i in range(7)]
+    other = gzip.compress(archive(1, False)[0].replace(b"page:0", b"page:9"))
+    for bad in (0, 2, 5):
+        for name in (b"sha1:", b"Content-Length: "):  # a wrong digest, a wrong length
+            hurt = [*parts[:bad], parts[bad].replace(name, name + b"9", 1), *parts[bad + 1 :]]
+            ids, gaps = salvage(tmp_path, gzip.compress(b"".join(hurt)) + other)
+            assert ids == [*(i for i in range(6) if i != bad), 9] and gaps == [(0, None)]
+            with open(tmp_path / "a.warc", "rb") as f:
+                (gap,) = [x for x in warc.Salvager(f, (tmp_path / "a.warc").stat().st_size).items() if x[0] == "gap"]
+            assert gap[3].endswith(f"bytes {at[bad]} to {at[bad + 1] + 1} of the member")
+    whole = gzip.compress(b"".join(parts))
+    for end in (len(whole) - 7, len(whole) - 8):  # without a good checksum, but with all records
+        assert salvage(tmp_path, whole[:end] + other) == ([*range(6), 9], [(0, end)])
+    stored = gzip.compress(b"".join(parts), compresslevel=0)
+    cut = stored[: 15 + at[3] + 50]
+    assert salvage(tmp_path, cut) == ([0, 1, 2], [(0, len(cut))])
+    data = bytearray(zlib.compress(b"", wbits=31)[:10])
+    z = zlib.compressobj(6, zlib.DEFLATED, -15)
+    data += z.compress(b"".join(parts[:3])) + z.flush(zlib.Z_FULL_FLUSH) + b"\xff" * 50  # bytes that can't be decompressed
+    assert salvage(tmp_path, bytes(data) + other) == ([0, 1, 2, 9], [(0, len(data))])
