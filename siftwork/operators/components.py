@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.plans.lineage import cut
+from siftwork.plans.lineage import cut, drop
 
 
 def _is_done(edges: DataFrame) -> bool:
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     for _ in range(max_rounds):
         if _is_done(edges):
             break
-        edges = cut(_small_star(_large_star(edges)), "components")
+        before, edges = edges, cut(_small_star(_large_star(edges)), "components")
+        drop(before)
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

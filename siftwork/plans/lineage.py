@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="siftwork-")
             spark.sparkContext.setCheckpointDir(found)
@@ -29,7 +31,19 @@ def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that cut() wrote, once nothing reads them any more; what cut() didn't write is left alone."""
+    for df in tables:
+        path = vars(df).get("_written_to") if df is not None else None
+        if path:
+            jvm = df.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:
