@@ -7,19 +7,24 @@ coordinate with probability equal to their Jaccard similarity, with the concentr
 BANDS bands of ROWS coordinates: a pair at similarity 0.75 shares no band with probability
 (1 - 0.75**4)**32 < 6e-6; more similar pairs with less.
 
-Sets that are equal are one node, named by their smallest doc_id. For the nodes of a band's bucket not all pairs are
-made: each is verified on full sets against the bucket's smallest node, the leader. Buckets whose nodes then lie in
-one component hold no further information. In the others a further leader takes its turn, the node closest to the first
-leader (most often the text that the others were made from) or the farthest, is verified against the nodes of other components and
-leaves the bucket; every turn is linear in the bucket. Before the first of these turns an exact prefix filter drops nodes that can have
-no link into another component. What still lies in different components after TURNS turns is
-verified pair by pair, save pairs that their sizes or the triangle inequality of the Jaccard distance to the first
-leader rule out, so no link is lost.
+Sets that are equal are one node, named by their smallest doc_id. For the nodes of a band's bucket not all pairs are made: each is
+verified on full sets against the bucket's smallest node, the leader. Nodes of a bucket that then lie in different components are
+contested, and an exact count filter settles most of them without a pair: a link needs an intersection of 3/7 of both sizes'
+sum, and the intersection with any node of another component is at most m, the number of the node's own shingles that stand in
+another component at all. So a node of size n can only be linked with sizes from 0.75 n to 7/3 m - n, and it stays if its
+bucket holds such a node of another component that can in turn be linked with n. Counts and size ranges are aggregates, linear in the buckets.
+A copy that lies too far from the group's text has too few shared shingles and is settled, however large the group.
+
+While the nodes left would make more than PAIRS_PER_ROW pairs each, up to TURNS further leaders take a turn, the one with the greatest
+m / n (closest to the text that the others were made from), are verified against the nodes of other components, and
+leave the bucket. Pairs of nodes of one bucket, different components and mutually possible sizes are verified then, joined by size
+class, so no link is lost.
 
 Links make components (distributed star contraction). One document of each, that with the smallest id, is kept.
 
 Defined cases: null or blank text has an empty set and no links; fewer than five words make one shingle; rows that
-repeat a doc_id get a row each; rows with null doc_id link with nothing, are kept and have a null component; extra columns are ignored.
+repeat a doc_id get a row each and are one document, linked with what any of its texts is linked with; rows with null doc_id link with
+nothing, are kept and have a null component; an empty table gives no rows; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.operators.components import connected_components
@@ -37,11 +42,14 @@ from . import common as c
 WORDS, COORDS, ROWS = 5, 128, 4
 BANDS = COORDS // ROWS
 NUM, DEN = 75, 100
-TURNS = 3
+TURNS, PAIRS_PER_ROW = 3, 8
+#: Pairs of one leader are verified in lots of about LEADER_ROWS; frequent shingles are looked up in SALTS parts; sizes are held in
+#: classes that grow by the factor exp(SIZE_CLASS).
+LEADER_ROWS, SALTS, SIZE_CLASS = 1000, 8, 0.03
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SKETCH_DDL = "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
-SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-SETS_DDL = "doc_id bigint, shingles array<bigint>"
+SETS = pa.schema([("node", pa.int64()), ("k1", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+SETS_DDL = "node bigint, k1 bigint, shingles array<bigint>"
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -82,36 +90,35 @@ def band_keys(rows: np.ndarray) -> np.ndarray:
     return key
 
 
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    d = xxhash.xxh3_128_intdigest(s.tobytes())
+    return tuple(v - (1 << 64) if v >> 63 else v for v in (d >> 64, d & (1 << 64) - 1))
+
+
 def sketched(batches):
     for batch in batches:
         for part, texts in c.grouped(batch):
             sets = [shingle_set(t) for t in texts]
             keys = band_keys(sketch(sets)).astype(np.int64, copy=False).view(np.int64)
-            digest = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            signed = lambda v: v - (1 << 64) if v >> 63 else v
-            yield c.rows_of(
-                SKETCH,
-                [
-                    part.column("doc_id").to_pylist(),
-                    [len(s) for s in sets],
-                    [signed(d >> 64) for d in digest],
-                    [signed(d & (1 << 64) - 1) for d in digest],
-                    [k.tolist() if len(s) else None for k, s in zip(keys, sets)],
-                ],
-            )
+            k1, k2 = zip(*map(digest, sets))
+            yield c.rows_of(SKETCH, [part.column("doc_id").to_pylist(), [len(s) for s in sets], k1, k2, [k.tolist() if len(s) else None for k, s in zip(keys, sets)]])
 
 
 def full_sets(batches):
     for batch in batches:
         for part, texts in c.grouped(batch):
-            yield c.rows_of(SETS, [part.column("doc_id").to_pylist(), [shingle_set(t).view(np.int64) for t in texts]])
+            sets = [shingle_set(t) for t in texts]
+            yield c.rows_of(SETS, [part.column("doc_id").to_pylist(), [digest(s)[0] for s in sets], [s.view(np.int64) for s in sets]])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b) with their intersection and sizes on full sets."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b")
+    """pairs(a, ka, b, kb, lots) with their intersection and sizes on full sets. lots: into how many parts a's pairs are split."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("k1").alias(f"k{x}"), F.col("shingles").alias(f"s{x}"))
+    lots = pairs.groupBy("a", "ka").agg(F.max("lots").alias("most"))
+    of_a = side("a").join(lots, ["a", "ka"]).withColumn("lot", F.explode(F.expr("sequence(0L, most - 1)"))).drop("most")
+    of_b = pairs.withColumn("lot", F.expr("pmod(xxhash64(b, kb), lots)")).join(side("b"), ["b", "kb"])
+    both = of_b.join(of_a, ["a", "ka", "lot"])
     return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("inter"), F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb")).withColumn("union", F.expr("na + nb - inter"))
 
 
@@ -129,32 +136,44 @@ def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     return moved.unionByName(alone)
 
 
+def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of the pairs(a, ka, b, kb, lots) that are links."""
+    once = pairs.groupBy("a", "ka", "b", "kb").agg(F.max("lots").alias("lots"))
+    return c.cut(verified(once, sets).filter(is_link()).select(F.col("a").alias("u"), F.col("b").alias("v")), "op2-links")
+
+
 def still_open(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """rows(key, node, n, d) of the buckets whose nodes lie in several components, with the component."""
+    """rows(key, node, k1, n) of the buckets whose nodes lie in several components, with the component."""
     seen = rows.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    return c.cut(seen.join(split, "key").select("key", "node", "n", "d", "component"), "op2-open")
-
-
-def linkable(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """rows(key, node, n, d, component) without nodes that can have no link into another component. With all shingles in one order,
-    rare ones first, two sets of similarity 0.75 or more share a shingle among the first n - ceil(0.75 n) + 1 of each (the
-    prefix filter, which is exact); a node stays if such a shingle of its own is also one in another component."""
-    nodes = rows.select("node", "component").distinct()
-    x = nodes.join(sets.withColumnRenamed("doc_id", "node"), "node").select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
-    x = x.join(x.groupBy("s").agg(F.count("*").alias("often")), "s")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "s"))
-    first = c.cut(x.withColumn("place", place).filter(f"place <= size - ceil({NUM} * size / {DEN}) + 1").select("node", "component", "s"), "op2-prefixes")
-    shared = first.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("s")
-    live = first.join(shared, "s", "left_semi").select("node").distinct()
-    return rows.join(live, "node", "left_semi").select("key", "node", "n", "d")
-
-
-def new_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v) of the pairs(node, n, other, m) that are links; sizes too different rule a link out."""
-    apart = pairs.filter(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)")
-    ab = apart.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    return c.cut(verified(ab, sets).filter(is_link()).select(F.col("a").alias("u"), F.col("b").alias("v")), "op2-links")
+    return c.cut(seen.join(split, "key").select("key", "node", "k1", "n", "component"), "op2-open")
+
+
+def contested(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows(key, node, k1, n, component) that may have a link into another component of their bucket, with most (the largest size
+    that their shared shingles allow), m and classes: the bucket's size classes of n or less that hold a possible partner."""
+    own = rows.select("node", "k1", "n", "component").distinct()
+    x = own.join(sets, ["node", "k1"]).select("node", "k1", "n", "component", F.explode("shingles").alias("s"))
+    shared = x.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    shared = shared.select("s", F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt"))
+    m = x.withColumn("salt", F.expr(f"cast(pmod(xxhash64(node, k1), {SALTS}) as int)")).join(shared, ["s", "salt"]).groupBy("node", "k1", "n").agg(F.count("*").alias("m"))
+    reach = m.withColumn("most", F.expr(f"{NUM + DEN} * m div {NUM} - n")).filter(f"{DEN} * most >= {NUM} * n").drop("n")
+    rows = c.cut(rows.join(reach, ["node", "k1"]).withColumn("class", F.expr(f"cast(ln(n) / {SIZE_CLASS} as int)")), "op2-reach")
+    classes = rows.groupBy("key", "class").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("most").alias("most1"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n_rows"))
+    held = classes.groupBy("key").agg(F.collect_list(F.struct("class", "n0", "n1", "most1", "c0", "c1", "n_rows")).alias("held"))  # an entry for each class of sizes
+    fits = f"x.n0 <= most and {DEN} * x.n1 >= {NUM} * n and x.most1 >= n and {NUM} * x.n0 <= {DEN} * n and (x.c0 <> component or x.c1 <> component)"
+    found = rows.join(held, "key").withColumn("held", F.expr(f"filter(held, x -> {fits})")).filter("size(held) > 0")
+    smaller = F.expr("transform(filter(held, x -> x.n0 <= n), x -> x.class)")
+    pairs = F.expr("aggregate(filter(held, x -> x.n0 <= n), 0L, (a, x) -> a + x.n_rows)")
+    return c.cut(found.select("key", "node", "k1", "n", "component", "m", "most", "class", smaller.alias("classes"), pairs.alias("pairs")), "op2-contested")
+
+
+def pairs_of(rows: DataFrame) -> DataFrame:
+    """Pairs of one bucket, different components and mutually possible sizes, the larger set first."""
+    a = rows.select("key", F.explode("classes").alias("class"), F.col("node").alias("a"), F.col("k1").alias("ka"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("component").alias("ca"))
+    b = rows.select("key", "class", F.col("node").alias("b"), F.col("k1").alias("kb"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"))
+    near = a.join(b, ["key", "class"]).filter(f"ca <> cb and na >= nb and {DEN} * nb >= {NUM} * na and nb <= ma and na <= mb and (na > nb or a < b)")
+    return near.select("a", "ka", "b", "kb", F.lit(1).cast("long").alias("lots"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -163,40 +182,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     rows = c.cut(docs.mapInArrow(sketched, SKETCH_DDL), "op2-sketches")
     held = rows.filter("n > 0 and doc_id is not null")
-    nodes = held.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    own = held.join(nodes, ["k1", "k2"]).filter("doc_id = node").dropDuplicates(["k1", "k2"])
-    entries = c.cut(own.select("node", "n", F.explode("bands").alias("key")), "op2-entries")
-    buckets = entries.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("key", "leader")
+    nodes = c.cut(held.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "op2-nodes")
+    own = held.join(nodes, ["k1", "k2"])
+    entries = c.cut(own.filter("doc_id = node").dropDuplicates(["k1", "k2"]).select("node", "k1", "n", F.explode("bands").alias("key")), "op2-entries")
+    least = F.min(F.struct("node", "k1"))
+    buckets = entries.groupBy("key").agg(least.alias("leader"), F.count("*").alias("size")).filter("size > 1").select("key", "leader", "size")
     hot = c.cut(entries.join(buckets, "key"), "op2-buckets")
     used = hot.select(F.col("node").alias("doc_id")).distinct()
-    sets = c.cut(docs.join(used, "doc_id", "left_semi").mapInArrow(full_sets, SETS_DDL).dropDuplicates(["doc_id"]), "op2-sets")
+    sets = c.cut(docs.join(used, "doc_id", "left_semi").mapInArrow(full_sets, SETS_DDL).dropDuplicates(["node", "k1"]), "op2-sets")
+    c.drop(entries)
     c.release(spark)
-    stars = c.cut(verified(hot.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), sets), "op2-stars")
-    links = stars.filter(is_link()).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    parts = connected_components(links)
-    # what the stars leave open: nodes of one bucket in different components
-    distance = stars.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.expr("1 - inter / union").alias("d"))
-    open_ = hot.filter("node <> leader").join(distance, ["leader", "node"]).select("key", "node", "n", "d")
-    for turn in range(TURNS):
-        open_ = still_open(open_, parts)
-        if turn == 0:
-            open_ = still_open(linkable(open_, sets), parts)
+    led = hot.filter("leader <> struct(node, k1)").select(F.col("leader.node").alias("a"), F.col("leader.k1").alias("ka"), F.col("node").alias("b"), F.col("k1").alias("kb"), F.expr(f"size div {LEADER_ROWS} + 1").alias("lots"))
+    links = links_of(led, sets)
+    # a doc_id of several texts stands for each of them
+    texts = own.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter("u < v").select("doc_id", "u")
+    parts = connected_components(links.unionByName(own.join(texts, "doc_id").select("u", F.col("node").alias("v"))))
+    open_ = still_open(hot.filter("leader <> struct(node, k1)").select("key", "node", "k1", "n"), parts)
+    for turn in range(TURNS + 1):
         if open_.isEmpty():
             break
-        best = F.min_by if turn % 2 == 0 else F.max_by  # by turns the node closest to the first leader, and the farthest
-        leaders = open_.groupBy("key").agg(best(F.struct("node", "n", "component"), F.struct("d", "node")).alias("l"))
-        led = c.cut(open_.join(leaders, "key"), "op2-led")
-        more = new_links(led.filter("node <> l.node and component <> l.component").select("node", "n", F.col("l.node").alias("other"), F.col("l.n").alias("m")), sets)
+        left = contested(open_, sets)
+        c.drop(open_)
+        made = left.agg(F.count("*").alias("n"), F.sum("pairs").alias("pairs")).first()
+        if not made.n:
+            break
+        if turn == TURNS or made.pairs <= PAIRS_PER_ROW * made.n:
+            more = links_of(pairs_of(left), sets)
+        else:
+            best = F.max_by(F.struct("node", "k1", "n", "component"), F.struct(F.expr("m / n"), F.expr("-node")))
+            turned = c.cut(left.join(left.groupBy("key").agg(best.alias("l"), F.count("*").alias("size")), "key"), "op2-turn")
+            asked = turned.filter(f"component <> l.component and {DEN} * least(n, l.n) >= {NUM} * greatest(n, l.n)")
+            more = links_of(asked.select(F.col("l.node").alias("a"), F.col("l.k1").alias("ka"), F.col("node").alias("b"), F.col("k1").alias("kb"), F.expr(f"size div {LEADER_ROWS} + 1").alias("lots")), sets)
         if not more.isEmpty():
             parts = c.cut(merged(parts, more), "op2-parts")
-        open_ = led.filter("node <> l.node").select("key", "node", "n", "d")
-    else:
-        open_ = still_open(open_, parts)
-        left, right = (open_.select("key", *[F.col(x).alias(f"{x}_{s}") for x in ("node", "n", "component", "d")]) for s in "ab")
-        near = left.join(right, "key").filter(f"node_a < node_b and component_a <> component_b and abs(d_a - d_b) <= {1 - NUM / DEN} + 1e-9")
-        more = new_links(near.select(F.col("node_a").alias("node"), F.col("n_a").alias("n"), F.col("node_b").alias("other"), F.col("n_b").alias("m")), sets)
-        if not more.isEmpty():
-            parts = merged(parts, more)
+        if turn == TURNS or made.pairs <= PAIRS_PER_ROW * made.n:
+            break
+        open_ = still_open(turned.filter("struct(node, k1) <> struct(l.node, l.k1)").select("key", "node", "k1", "n"), parts)
+        c.drop(left, turned)
+    c.drop(hot, sets, links)
     member = rows.join(nodes, ["k1", "k2"], "left").select("doc_id", "n", F.expr("case when doc_id is null then null when n = 0 then doc_id else node end").alias("node"))
     done = member.join(parts.withColumnRenamed("id", "node"), "node", "left")
     return done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")).withColumn("kept", F.expr("coalesce(doc_id = component_id, true)"))

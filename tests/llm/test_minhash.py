@@ -76,3 +76,28 @@ def test_sketch_fills_and_estimates():
     a, b = np.unique(base[:3000]), np.unique(base[1000:])
     rows = minhash.sketch([a, b], 1024)
     assert abs((rows[0] == rows[1]).mean() - 0.5) < 0.06
+
+
+def test_a_doc_id_of_several_texts_links_with_each(spark):
+    rng = random.Random(4)
+    a, b = ([f"v{rng.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a + ["x"])), (3, " ".join(b + ["y"])), (0, " ".join(b)), (7, "alone " * 9)]
+    df = spark.createDataFrame([(i, t, 1, "c", "d", "e") for i, t in rows], "doc_id long, text string, n long, k1 string, node string, key string").repartition(3)
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect())
+    assert got == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 0), (7, 7)]
+
+
+def test_large_group_of_near_copies_of_all_degrees(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PAIRS_PER_ROW", 1)  # so that leaders take turns
+    monkeypatch.setattr(minhash, "LEADER_ROWS", 50)
+    rng = random.Random(9)
+    bases = [[f"v{rng.randrange(10**6)}" for _ in range(150)] for _ in range(2)]
+    texts = []
+    for i in range(300):
+        w = list(bases[i % 2])
+        for at in rng.sample(range(len(w)), rng.randrange(12)):
+            w[at] = f"v{rng.randrange(10**6)}"
+        if i % 7 == 0:
+            del w[:rng.randrange(8)]
+        texts.append(" ".join(w))
+    assert result(minhash.near_duplicates(frame(spark, texts))) == brute(dict(enumerate(texts)))
