@@ -71,18 +71,17 @@ class Bad(Exception):
         self.size, self.past = size, past
 
 
-def head(data: bytes, at: int = 0) -> tuple[dict[str, str], int, int] | None:
-    """Headers and places where the payload of the record that begins at `at` begins and ends; None if more data is needed."""
+def head(data: bytes, at: int = 0, seen: int = 0) -> tuple[dict[str, str], int, int] | None:
+    """Headers and places where the payload of the record that begins at `at` begins and ends; None if more data is needed. The first
+    `seen` bytes are known to hold no header's end. A header may have any length."""
     if len(data) - at < len(VERSION):
         if VERSION.startswith(data[at:]):
             return None
         raise Bad("no version line")
     if not data.startswith(VERSION, at):
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n", at)
+    end = data.find(b"\r\n\r\n", max(at, seen - 3))
     if end < 0:
-        if len(data) - at > CHUNK:
-            raise Bad("header without end")
         return None
     headers: dict[str, str] = {}
     for line in data[at:end].split(b"\r\n")[1:]:
@@ -96,23 +95,20 @@ def head(data: bytes, at: int = 0) -> tuple[dict[str, str], int, int] | None:
     return headers, end + 4, end + 4 + int(length)
 
 
-def parsed(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
-    """Headers, payload and end of the record that begins at `at`; None if more data is needed."""
-    if (got := head(data, at)) is None or len(data) < got[2] + 4:
-        return None
+def parsed(data: bytes, got: tuple[dict[str, str], int, int], at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Headers, payload and end of the record that begins at `at`, whose head() is known and which is wholly there."""
     headers, start, stop = got
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Bad("no record end after the content")
-    payload = bytes(data[start:stop])
+    payload = bytes(memoryview(data)[start:stop])
     digest = headers.get("WARC-Payload-Digest", "")
     if headers.get("WARC-Type") != "revisit" and digest.startswith("sha1:") and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest[5:]:
         raise Bad("payload digest differs", stop + 4 - at)
     return headers, payload, stop + 4
 
 
-def cut_off(data: bytes) -> Bad:
+def cut_off(data: bytes, got: tuple | None) -> Bad:
     """Why the record that begins the data, after which there is no more, isn't complete."""
-    got = head(data)
     return Bad("content length passes the next record" if got and data.find(b"\r\n\r\n" + VERSION, got[1]) >= 0 else "record is cut off")
 
 
@@ -161,26 +157,37 @@ class Unpacked:
                 self.drop(1)
 
     def record(self) -> tuple[dict[str, str], bytes, int]:
-        while True:
-            if (got := parsed(self.held)) is not None:
-                return got
-            known = head(self.held)
-            if not self.has(known[2] + 4 if known else len(self.held) + 1):
-                raise cut_off(self.held)
+        """The record that begins here. Its header is read once, then the bytes that it announces."""
+        known, seen = None, 0
+        while (known := head(self.held, seen=seen)) is None:
+            seen = len(self.held)
+            if not self.has(seen + 1):
+                raise cut_off(self.held, None)
+        if not self.has(known[2] + 4):
+            raise cut_off(self.held, known)
+        return parsed(self.held, known)
 
 
 class Salvager:
     """Records and gaps of one archive, read through a seekable file."""
 
     def __init__(self, f, size: int):
-        self.f, self.size = f, size
+        self.f, self.size, self.known = f, size, {}
 
     def bytes_at(self, at: int, n: int) -> bytes:
         self.f.seek(at)
         return self.f.read(n)
 
     def find(self, what: bytes, at: int) -> int:
-        """Next place of `what` at or after `at`; the archive's size if there is none."""
+        """Next place of `what` at or after `at`; the archive's size if there is none. A place found before is remembered, so that
+        gap after gap the archive is searched once."""
+        asked, found = self.known.get(what, (0, -1))
+        if asked <= at <= found:
+            return found
+        self.known[what] = at, self.searched(what, at)
+        return self.known[what][1]
+
+    def searched(self, what: bytes, at: int) -> int:
         while at < self.size:
             some = self.bytes_at(at, CHUNK + len(what) - 1)
             i = some.find(what)
@@ -225,21 +232,21 @@ class Salvager:
         yield "end", u.place - len(u.z.unused_data)
 
     def plain(self, at: int):
-        held, place = bytearray(), at
-        while True:
+        held, place, known, seen = bytearray(), at, None, 0
+        while known is None:
             some = self.bytes_at(place, CHUNK)
             place += len(some)
             held += some
-            if (known := head(held)) is not None:
-                break
-            if not some:
+            known = head(held, seen=seen)
+            if known is None and not some:
                 raise Bad("record is cut off")
+            seen = len(held)
         end = known[2] + 4
         if at + end > self.size:
             raise Bad("content length passes the end of the archive")
         if self.bytes_at(at + end - 4, 4) != b"\r\n\r\n":
             raise Bad("no record end after the content")
-        headers, payload, end = parsed(self.bytes_at(at, end))
+        headers, payload, end = parsed(self.bytes_at(at, end), known)
         return headers, payload, at + end
 
     def begins(self, at: int) -> bool:
@@ -361,17 +368,22 @@ def query(spark, sf_dir: str) -> DataFrame:
     folder = f"{c.shared_dir(spark)}/warc/{uuid.uuid4().hex}"
     manifest = write_archives(c.table(spark, sf_dir, "pages"), folder)
     read = read_archives(manifest.repartition(c.parts_for(manifest), "path"))
-    return digests(read)
+    return digests(read, whole=True)
 
 
-def digests(read: DataFrame) -> DataFrame:
-    """A row for each page read back: response digests and lengths come from the payload itself, those of revisits from their headers."""
+def digests(read: DataFrame, whole: bool = False) -> DataFrame:
+    """A row for each page read back: response digests and lengths come from the payload itself, those of revisits from their headers.
+    whole: a gap is an error, as in archives just written."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches):
         for batch in batches:
             out = []
-            for headers, payload in zip(batch.column("headers").to_pylist(), batch.column("payload").to_pylist()):
+            for status, reason, headers, payload in zip(*(batch.column(x).to_pylist() for x in ("status", "reason", "headers", "payload"))):
+                if status != "record":
+                    if whole:
+                        raise ValueError(f"an archive just written has a gap: {reason}")
+                    continue
                 h = dict(headers)
                 if h["WARC-Type"] == "response":
                     n, sha1 = len(payload), hashlib.sha1(payload).hexdigest()
@@ -381,7 +393,7 @@ def digests(read: DataFrame) -> DataFrame:
             if out:
                 yield c.rows_of(schema, list(zip(*out)))
 
-    return read.filter("status = 'record'").select("headers", "payload").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return read.select("status", "reason", "headers", "payload").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 ORACLE = """

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import time
 import zlib
 
 import duckdb
@@ -132,3 +133,38 @@ def test_damage_in_a_member_of_many(tmp_path):
     z = zlib.compressobj(6, zlib.DEFLATED, -15)
     data += z.compress(b"".join(parts[:3])) + z.flush(zlib.Z_FULL_FLUSH) + b"\xff" * 50  # bytes that can't be decompressed
     assert salvage(tmp_path, bytes(data) + other) == ([0, 1, 2, 9], [(0, len(data))])
+
+
+def test_long_urls_headers_and_quoted_records_survive_the_query(spark, tmp_path):
+    rows = [(1, "http://u/" + "x" * 150_000, "<p>one"), (2, "http://v/", "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n" * 8000), (3, "w" * 70_000, None)]
+    pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
+    duckdb.sql(f"create or replace view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in warc.query(spark, str(tmp_path)).collect())
+    assert got == sorted(duckdb.sql(warc.ORACLE).fetchall()) and len(got) == 3
+    raw = warc.record("response", 5, "x" * 150_000, b"body", hashlib.sha1(b"body").digest(), 4, None)
+    assert salvage(tmp_path, raw + raw) == ([5, 5], [])
+
+
+def seconds(f):
+    start = time.perf_counter()
+    f()
+    return time.perf_counter() - start
+
+
+def test_time_is_linear(tmp_path):
+    rng = random.Random(1)
+
+    def damaged(n):
+        parts = [bytearray(gzip.compress(x)) for x in archive(n, False)]
+        for p in parts[::2]:
+            p[len(p) // 2 : len(p) // 2 + 3] = b"\xff\x00\xff"
+        return b"".join(parts)
+
+    few, many = damaged(250), damaged(2000)
+    a, b = (min(seconds(lambda d=d: salvage(tmp_path, d)) for _ in range(2)) for d in (few, many))
+    assert b < 8 * 3 * a + 0.1, (a, b)
+    page = rng.randbytes(64 << 20)
+    for pack in (bytes, lambda x: gzip.compress(x, 1)):
+        big = pack(warc.record("response", 1, "u", page, hashlib.sha1(page).digest(), len(page), None))
+        assert seconds(lambda: salvage(tmp_path, big)) < 20
+        assert salvage(tmp_path, big) == ([1], [])
