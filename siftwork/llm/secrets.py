@@ -5,20 +5,28 @@ matches and regexp_extract_all() the matches, so their lengths add up to places
 
 The method adds strings that look random. A candidate is a maximal run of at least CANDIDATE_CHARS characters of the
 base64 alphabets with a digit and a letter. Its encoding is inferred (hex, base32, base36 or base64), and in that alphabet of k
-symbols three tests are made; a candidate whose z is beyond MAX_Z in any of them isn't random:
-- chi-squared against a uniform alphabet. The statistic of written text grows with the length n, SHAPE holds how much
-  for each encoding; a candidate may depart by NEAR of that, as part of an alphabet does;
-- runs above and below the alphabet's middle (Wald-Wolfowitz), and lag-1 serial correlation.
-p comes from the null that the candidate is written: a chain of lower-case, upper-case, digit and mark (STEPS) that
+symbols three tests of the hypothesis "drawn at random" are made:
+- chi-squared against a uniform alphabet, upper tail, its first two moments exact for any length and its tail by the cube root
+  (Wilson and Hilferty). A tenth of the alphabet may be missing (TOLERANCE), as in base58;
+- runs above and below the alphabet's middle (Wald-Wolfowitz), two-sided;
+- lag-1 serial correlation, two-sided.
+The tails are those of the complementary error function, with a relative error below 2e-7 however far out. Fisher's rule combines the
+three into one p (chi-squared with six degrees of freedom).
+
+A second p has the null that the candidate is written: a chain of lower-case, upper-case, digit and mark (STEPS) that
 draws a symbol by its class (LETTERS, MARKS, digits alike). For a string drawn from the null, its chance by the null
 over that by k equally likely symbols falls below p with chance p at most (Markov), so this ratio, times the CHOICES of
 encoding, serves as p. It falls with each symbol: 20 random characters of any encoding have a median p of about 1e-8.
-p is combined over the whole corpus by the Benjamini-Hochberg rule, apart for each encoding and length band, since short
-strings can't give small p: candidates are counted in bins of p (bounded in number), and each threshold is the largest p
-whose expected false discoveries stay below RATE. Base spans always stay; added ones that overlap them are left out.
 
-Defined cases: null text is empty; repeated rows are scanned one by one; texts of any length; extra columns are ignored; without
-candidates nothing is added.
+Both are controlled over the whole corpus by the Benjamini-Hochberg rule among all candidates of an encoding and length band, since short strings
+can't give small p: a candidate is a secret if "written" is rejected at the false discovery rate RATE and "random" isn't at the rate
+LOSS. Candidates are counted in bins of p (bounded in number), and each threshold is the largest p whose expected false
+discoveries stay below the rate. Base spans always stay; added ones that overlap them are left out.
+
+Running sums over a text's matches are made in blocks of BLOCK, so time stays in proportion to the matches.
+
+Defined cases: null text is empty; null doc_id is kept; repeated rows are scanned one by one; texts of any length; extra columns of any name
+are carried (redacted) or ignored; an empty table gives no rows; without candidates nothing is added.
 """
 
 from __future__ import annotations
@@ -37,15 +45,17 @@ HEX = r"[0-9a-f]{24,}"  # [0-9a-f]+ of 24 characters or more
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE_CHARS = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{CANDIDATE_CHARS},}}={{0,2}}"
-RATE, MAX_Z, NEAR, BANDS, BINS = 1e-3, 3.5, 0.25, (20, 32, 64), 300
+RATE, LOSS, TOLERANCE, BANDS, BINS, BLOCK = 1e-3, 0.01, 0.1, (20, 32, 64), 300, 100
 _LOW, _UP, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-#: encoding: pattern of the whole candidate, alphabet, departure of written text from uniform
+#: encoding: pattern of the whole candidate, alphabet
 SHAPE = {
-    "hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", _DIGITS + "abcdef", 0.6),
-    "base32": (r"^[A-Z2-7]+=*$", _UP + "234567", 1.1),
-    "base36": (r"^(?:[0-9a-z]+|[0-9A-Z]+)$", _DIGITS + _LOW, 1.3),
-    "base64": (r"", _UP + _LOW + _DIGITS + "+/", 3.2),
+    "hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", _DIGITS + "abcdef"),
+    "base32": (r"^[A-Z2-7]+=*$", _UP + "234567"),
+    "base36": (r"^(?:[0-9a-z]+|[0-9A-Z]+)$", _DIGITS + _LOW),
+    "base64": (r"", _UP + _LOW + _DIGITS + "+/"),
 }
+# fixed values: Chebyshev coefficients of ln(erfc(w) * exp(w * w) / t) in t = 1 / (1 + w / 2), from Numerical Recipes
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 # the null: from 2,262 names, paths and identifiers of Python packages (those that mix digits and letters most left out), rounded,
 # with a floor for what is rare, and steps between cases raised by hand, as CamelCase names else count as random
 CLASSES = "LUDS"
@@ -79,14 +89,20 @@ def _case(values: dict[str, str]) -> str:
     return "case x.enc " + " ".join(f"when '{k}' then {v}" for k, v in values.items()) + " end"
 
 
+def _scan(items: str, start: str, step: str, emit: str, kind: str) -> str:
+    """SQL: array of blocks, with `emit` for each of the items; a is the state before item x, which `step` moves on."""
+    inner = f"""aggregate(slice(z, cast(i * {BLOCK} + 1 as int), {BLOCK}), named_struct('a', b.a, 'own', cast(array() as array<{kind}>)),
+      (u, x) -> named_struct('a', {step.replace('a.', 'u.a.')}, 'own', concat(u.own, array({emit.replace('a.', 'u.a.')}))),
+      u -> named_struct('a', u.a, 'out', concat(b.out, array(u.own))))"""
+    outer = f"aggregate(sequence(0, greatest(0, size(z) - 1) div {BLOCK}), named_struct('a', {start}, 'out', cast(array() as array<array<{kind}>>)), (b, i) -> {inner}, b -> b.out)"
+    return f"get(transform(array({items}), z -> {outer}), 0)"
+
+
 def _places(matches: str, gaps: str) -> str:
     """SQL: array of (s, e, m) from matches and what lies between them."""
-    return f"""aggregate(
-      zip_with({gaps}, {matches}, (g, m) -> named_struct('g', char_length(g), 'm', m)),
-      named_struct('at', 0, 'out', cast(array() as array<struct<s: int, e: int, m: string>>)),
-      (a, x) -> named_struct('at', a.at + x.g + coalesce(char_length(x.m), 0),
-        'out', if(x.m is null, a.out, concat(a.out, array(named_struct('s', a.at + x.g, 'e', a.at + x.g + char_length(x.m), 'm', x.m))))),
-      a -> a.out)"""
+    pairs = f"filter(zip_with({gaps}, {matches}, (g, m) -> named_struct('g', char_length(g), 'n', char_length(m), 'm', m)), x -> x.m is not null)"
+    emit = "named_struct('s', a.at + x.g, 'e', a.at + x.g + x.n, 'm', x.m)"
+    return f"flatten({_scan(pairs, "named_struct('at', 0)", "named_struct('at', a.at + x.g + x.n)", emit, 'struct<s: int, e: int, m: string>')})"
 
 
 def _found(df: DataFrame, name: str, pattern: str) -> DataFrame:
@@ -96,75 +112,115 @@ def _found(df: DataFrame, name: str, pattern: str) -> DataFrame:
     return df.withColumn(name, F.expr(f"if(size(__m_{name}) > 0, {_places(f'__m_{name}', f'__g_{name}')}, cast(array() as array<struct<s: int, e: int, m: string>>))")).drop(f"__m_{name}", f"__g_{name}")
 
 
+def _ln_erfc(w: str, t: str) -> str:
+    poly = f"{ERFC[-1]}D"
+    for x in reversed(ERFC[:-1]):
+        poly = f"({x}D + {t} * {poly})"
+    return f"(ln({t}) - {w} * {w} + {poly})"
+
+
 def _tested(places: str) -> str:
-    """SQL: array of (s, e, bin, enc, band) for the candidates that pass the three tests, from an array of (s, e, m)."""
+    """SQL: array of (s, e, enc, band, written, random: bins of the two p) for the candidates in an array of (s, e, m)."""
     alphabet = _case({k: f"'{v[1]}'" for k, v in SHAPE.items()})
     halves = _case({k: "'" + "0" * (len(v[1]) // 2) + "1" * (len(v[1]) - len(v[1]) // 2) + "'" for k, v in SHAPE.items()})
-    shape = _case({k: f"{v[2]}D" for k, v in SHAPE.items()})
     enc = "case " + " ".join(f"when x.m rlike '{v[0]}' then '{k}'" for k, v in SHAPE.items() if v[0]) + " else 'base64' end"
+    own = "'s', x.s, 'e', x.e, 'enc', x.enc, 'n', x.n, 'k', x.k, 'cost', x.cost"
+    root, tail = math.sqrt(0.5), lambda z: f"'w_{z}', abs(x.z_{z}) * {math.sqrt(0.5)}D, 't_{z}', 1 / (1 + abs(x.z_{z}) * {root / 2}D)"
     steps = [
         f"named_struct('s', x.s, 'e', x.e, 'enc', {enc}, 'm', rtrim('=', x.m))",
-        f"""named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'cost', {_written('x.m')}, 'n', cast(char_length(x.m) as double), 'k', cast(char_length({alphabet}) as double), 'shape', {shape},
+        f"""named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'n', cast(char_length(x.m) as double), 'k', cast(char_length({alphabet}) as double), 'cost', {_written('x.m')},
             'v', if(x.enc in ('hex', 'base36'), lower(x.m), if(x.enc = 'base64', translate(x.m, '-_', '+/'), x.m)), 'alphabet', {alphabet}, 'halves', {halves})""",
-        "named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'cost', x.cost, 'n', x.n, 'k', x.k, 'shape', x.shape, 'v', x.v, 'symbols', transform(filter(split(x.v, ''), y -> y <> ''), y -> cast(locate(y, x.alphabet) as double)), 'bits', translate(x.v, x.alphabet, x.halves))",
-        """named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'cost', x.cost, 'n', x.n, 'k', x.k, 'shape', x.shape,
+        f"named_struct({own}, 'v', x.v, 'symbols', transform(filter(split(x.v, ''), y -> y <> ''), y -> cast(locate(y, x.alphabet) as double)), 'bits', translate(x.v, x.alphabet, x.halves))",
+        f"""named_struct({own},
             'squares', aggregate(array_distinct(filter(split(x.v, ''), y -> y <> '')), 0D, (a, y) -> a + pow(x.n - char_length(replace(x.v, y, '')), 2)),
             'runs', 1 + (x.n - char_length(replace(x.bits, '01', ''))) / 2 + (x.n - char_length(replace(x.bits, '10', ''))) / 2,
             'ones', x.n - char_length(replace(x.bits, '1', '')),
             's1', aggregate(x.symbols, 0D, (a, y) -> a + y), 's2', aggregate(x.symbols, 0D, (a, y) -> a + y * y),
             's11', aggregate(zip_with(x.symbols, concat(slice(x.symbols, 2, size(x.symbols)), slice(x.symbols, 1, 1)), (y, z) -> y * z), 0D, (a, y) -> a + y))""",
-        "named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'cost', x.cost, 'n', x.n, 'k', x.k, 'shape', x.shape, 'chi', x.k / x.n * x.squares - x.n, 'runs', x.runs, 'mean', 2 * x.ones * (x.n - x.ones) / x.n + 1, 'r', (x.s11 - x.s1 * x.s1 / x.n) / (x.s2 - x.s1 * x.s1 / x.n))",
-        f"""named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'n', x.n,
-            'log10_p', least(0D, ({math.log2(CHOICES)}D + x.n * log2(x.k) - x.cost) * {math.log10(2)}D),
-            'z_chi', (x.chi - (x.k - 1) - (x.n - 1) * {NEAR}D * x.shape) / sqrt(2 * (x.k - 1) + 4 * (x.n - 1) * {NEAR}D * x.shape),
-            'z_runs', (x.runs - x.mean) / sqrt((x.mean - 1) * (x.mean - 2) / (x.n - 1)), 'z_serial', (x.r + 1 / (x.n - 1)) * sqrt(x.n))""",
+        f"""named_struct({own}, 'chi', x.k / x.n * x.squares - x.n, 'chi_mean', x.k - 1 + (x.n - 1) * {TOLERANCE}D, 'chi_var', 2 * (x.k - 1) * (x.n - 1) / x.n + 4 * (x.n - 1) * {TOLERANCE}D,
+            'runs', x.runs, 'mean', 2 * x.ones * (x.n - x.ones) / x.n + 1, 'r', (x.s11 - x.s1 * x.s1 / x.n) / (x.s2 - x.s1 * x.s1 / x.n))""",
+        # 2 / (9 v) of the cube root, v = 2 mean^2 / variance degrees of freedom
+        f"named_struct({own}, 'cube', x.chi_var / (9 * x.chi_mean * x.chi_mean), 'root', pow(x.chi / x.chi_mean, 1 / 3), 'z_runs', coalesce((x.runs - x.mean) / sqrt((x.mean - 1) * (x.mean - 2) / (x.n - 1)), 0D), 'z_serial', coalesce((x.r + 1 / (x.n - 1)) * sqrt(x.n), 0D))",
+        f"named_struct({own}, 'z_chi', (x.root - 1 + x.cube) / sqrt(x.cube), 'z_runs', x.z_runs, 'z_serial', x.z_serial)",
+        f"named_struct({own}, 'z_chi', x.z_chi, {tail('chi')}, {tail('runs')}, {tail('serial')})",
+        f"named_struct({own}, 'z_chi', x.z_chi, 'chi', {_ln_erfc('x.w_chi', 'x.t_chi')} + {math.log(0.5)}D, 'runs', {_ln_erfc('x.w_runs', 'x.t_runs')}, 'serial', {_ln_erfc('x.w_serial', 'x.t_serial')})",
+        # Fisher: half of the statistic is the sum of -ln p, and the tail is closed
+        f"named_struct({own}, 'h', - if(x.z_chi >= 0, x.chi, ln(1 - exp(x.chi))) - least(0D, x.runs) - least(0D, x.serial))",
+        f"""named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'n', x.n, 'written', least(0D, ({math.log2(CHOICES)}D + x.n * log2(x.k) - x.cost) * {math.log10(2)}D),
+            'random', (ln(1 + x.h + x.h * x.h / 2) - x.h) * {math.log10(math.e)}D)""",
     ]
     out = f"filter({places}, x -> x.m rlike '[0-9]' and x.m rlike '[A-Za-z]')"
     for step in steps:
         out = f"transform({out}, x -> {step})"
-    out = f"filter({out}, x -> coalesce(x.z_chi <= {MAX_Z} and abs(x.z_runs) <= {MAX_Z} and abs(x.z_serial) <= {MAX_Z}, false))"
     band = "case " + " ".join(f"when x.n >= {b} then {b}" for b in reversed(BANDS)) + f" else {BANDS[0]} end"
-    return f"transform({out}, x -> named_struct('s', x.s, 'e', x.e, 'bin', cast(least({BINS}, floor(-10 * x.log10_p)) as int), 'enc', x.enc, 'band', {band}))"
+    in_bin = lambda p: f"cast(least({BINS}, floor(-10 * x.{p} + 1e-9)) as int)"
+    return f"transform({out}, x -> named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'band', {band}, 'written', {in_bin('written')}, 'random', {in_bin('random')}))"
 
 
-def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns, base spans (s, k: number of the kind, e) and candidates (s, e, bin, enc, band) of each row."""
-    df = docs.withColumn("__text", F.coalesce("text", F.lit("")))
+def scanned(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), base spans (s, k: number of the kind, e) and candidates of each row."""
+    df = docs.select(F.struct(*[F.col(_name(x)) for x in docs.columns]).alias("row")).withColumn("__text", F.coalesce("row.text", F.lit("")))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("candidates", CANDIDATE)):
         df = _found(df, f"__{name}", pattern)
     value = F.expr(f"filter(__assign, x -> char_length(regexp_extract(x.m, {_quoted(ASSIGN)}, 1)) >= 6)")
     df = df.withColumn("__assign", value)
     base = "concat(" + ", ".join(f"transform(__{k}, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e))" for i, k in enumerate(KINDS[:3])) + ")"
-    return df.select(*keep, F.expr(f"sort_array({base})").alias("base"), F.expr(_tested("__candidates")).alias("candidates"))
+    return df.select("row", F.expr(f"sort_array({base})").alias("base"), F.expr(_tested("__candidates")).alias("candidates"))
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def thresholds(found: DataFrame) -> dict[tuple[str, int], int]:
-    """Smallest bin of p that counts as a discovery, for each encoding and length band that has one. Only the bins' counts,
-    bounded in number, come to the driver."""
-    bins = found.select(F.explode("candidates").alias("x")).groupBy("x.enc", "x.band", "x.bin").count().collect()
-    out: dict[tuple[str, int], int] = {}
-    for kind in {(r.enc, r.band) for r in bins}:
-        own = {r.bin: r["count"] for r in bins if (r.enc, r.band) == kind}
-        total, so_far = sum(own.values()), 0
-        for b in sorted(own, reverse=True):
-            so_far += own[b]
-            if 10 ** (-b / 10) <= so_far * RATE / total:
-                out[kind] = b
+def _limit(counts: dict[int, int], rate: float, total: int) -> int | None:
+    """Benjamini-Hochberg over bins: the smallest bin of p that counts as a discovery."""
+    so_far, out = 0, None
+    for b in sorted(counts, reverse=True):
+        so_far += counts[b]
+        if 10 ** (-b / 10) <= so_far * rate / total:
+            out = b
+    return out
+
+
+def thresholds(found: DataFrame) -> dict[tuple[str, int], tuple[int, int]]:
+    """For each encoding and length band that has one, the bin from which on "written" is rejected, and the bin from which on
+    "random" is. Only the bins' counts, bounded in number, come to the driver."""
+    x = found.select(F.explode("candidates").alias("x"))
+    of = lambda p: x.groupBy("x.enc", "x.band", F.lit(p).alias("p"), F.col(f"x.{p}").alias("bin")).count()
+    counts: dict[tuple, dict[int, int]] = {}
+    for r in of("written").unionByName(of("random")).collect():
+        counts.setdefault((r.enc, r.band), {}).setdefault(r.p, {})[r.bin] = r["count"]
+    out = {}
+    for kind, own in counts.items():
+        total = sum(own["written"].values())
+        written, random = _limit(own["written"], RATE, total), _limit(own["random"], LOSS, total)
+        if written is not None:
+            out[kind] = written, BINS + 1 if random is None else random
     return out
 
 
-def find_secrets(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """keep (doc_id by default) and spans: sorted array of (s, k, e), k a number in KINDS, places in code points."""
-    keep = keep or ["doc_id"]
-    found = c.cut(scanned(docs, keep), "op3-found")
+def spanned(docs: DataFrame) -> DataFrame:
+    """row, base and spans: sorted array of (s, k, e), k a number in KINDS, places in code points."""
+    found = c.cut(scanned(docs), "op3-found")
     limits = thresholds(found)
-    test = " or ".join(f"(x.enc = '{enc}' and x.band = {band} and x.bin >= {b})" for (enc, band), b in sorted(limits.items())) or "false"
-    added = f"filter(candidates, x -> ({test}) and not exists(base, b -> b.s < x.e and x.s < b.e))"
-    return found.select(*keep, "base", F.expr(f"sort_array(concat(base, transform({added}, x -> named_struct('s', x.s, 'k', 3, 'e', x.e))))").alias("spans"))
+    test = " or ".join(f"(x.enc = '{enc}' and x.band = {band} and x.written >= {w} and x.random < {r})" for (enc, band), (w, r) in sorted(limits.items())) or "false"
+    kind = "struct<s: int, k: int, e: int, free: boolean>"
+    # added spans that no base span overlaps: none before that ends later than they begin, none after that begins before they end
+    both = f"transform(sort_array(concat(base, transform(filter(candidates, x -> {test}), x -> named_struct('s', x.s, 'k', 3, 'e', x.e)))), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'free', true))"
+    free = lambda test: f"named_struct('s', x.s, 'k', x.k, 'e', x.e, 'free', x.free and (x.k < 3 or {test}))"
+    after = f"flatten({_scan(both, "named_struct('at', -1)", "named_struct('at', if(x.k < 3, greatest(a.at, x.e), a.at))", free('a.at <= x.s'), kind)})"
+    before = f"flatten({_scan(f'reverse({after})', f"named_struct('at', {2**31 - 1})", "named_struct('at', if(x.k < 3, x.s, a.at))", free('a.at >= x.e'), kind)})"
+    spans = f"if(size(candidates) = 0, base, transform(filter(reverse({before}), x -> x.free), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e)))"
+    return found.select("row", "base", F.expr(spans).alias("spans"))
+
+
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """doc_id, base and spans of each row of docs(doc_id, text)."""
+    return spanned(c.no_clash(docs, ["doc_id", "text"])).select("row.doc_id", "base", "spans")
 
 
 def _joined(spans: str) -> str:
@@ -175,19 +231,19 @@ def _joined(spans: str) -> str:
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs(doc_id, text and others) with each found span, or group of overlapping ones, replaced by the mark. Rows are scanned
     with all their columns, so nothing is joined."""
-    found = find_secrets(docs, docs.columns)
-    merged = """aggregate(spans, cast(array() as array<struct<s: int, e: int>>),
-      (a, x) -> if(size(a) > 0 and element_at(a, -1).e > x.s,
-        concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e)))),
-        concat(a, array(named_struct('s', x.s, 'e', x.e)))))"""
-    cuts = found.withColumn("__cuts", F.expr(f"if(size(spans) = 0, null, {merged})"))
-    pieces = f"transform(sequence(0, size(__cuts)), i -> substring(text, if(i = 0, 0, get(__cuts, i - 1).e) + 1, coalesce(get(__cuts, i).s, char_length(text)) - if(i = 0, 0, get(__cuts, i - 1).e)))"
-    return cuts.withColumn("text", F.expr(f"if(__cuts is null, text, array_join({pieces}, '{mark}'))")).select(*docs.columns)
+    kind = "struct<f: int, t: int, first: boolean>"
+    # what stands before each span, and whether a mark follows; then text by text of a block, as substring counts from a text's start
+    blocks = _scan("spans", "named_struct('at', 0)", "named_struct('at', greatest(a.at, x.e))", "named_struct('f', a.at, 't', greatest(a.at, x.s), 'first', x.s >= a.at)", kind)
+    cuts = spanned(docs).withColumn("__blocks", F.expr(f"if(size(spans) = 0, null, {blocks})"))
+    held = "transform(__blocks, b -> named_struct('b', filter(b, x -> x.first), 'at', get(b, 0).f, 'x', substring(row.text, get(b, 0).f + 1, element_at(b, -1).t - get(b, 0).f)))"
+    pieces = f"flatten(transform({held}, y -> transform(y.b, x -> substring(y.x, x.f - y.at + 1, x.t - x.f))))"
+    end = "aggregate(spans, 0, (a, x) -> greatest(a, x.e))"
+    text = F.expr(f"if(__blocks is null, row.text, array_join(concat({pieces}, array(substring(row.text, {end} + 1))), '{mark}'))")
+    return cuts.select(*[text.alias(x) if x == "text" else F.col(f"row.{_name(x)}") for x in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = c.no_clash(c.table(spark, sf_dir, "documents"), ["doc_id", "text"])
-    found = find_secrets(docs)
+    found = find_secrets(c.table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
     added = F.expr("cast(size(filter(spans, x -> x.k = 3)) as long)").alias("n_random")
     return found.select("doc_id", *counts, F.sha2(F.expr(_joined("base")), 256).alias("base_sha256"), F.expr(_joined("spans")).alias("spans"), added)
