@@ -127,6 +127,32 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+#: A key is heavy if it holds at least this part of all rows; so there are HEAVY of them at most, whatever the size.
+HEAVY = 10_000
+
+
+def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, values: list[str], spread: list[str]) -> DataFrame:
+    """Inner join of rows with per_key (a written table: one row for each key, with `weight`, the number of its rows) without a hot task:
+    heavy keys, HEAVY at most by the way they are chosen, are broadcast, and their rows are dealt by the columns `spread`; the first of
+    the keys is a long. Every row crosses the network once."""
+    total = per_key.agg(F.sum(weight)).first()[0] or 0
+    is_heavy = F.col(weight) * HEAVY >= total
+    found = F.struct(*values)
+    heavy = F.broadcast(per_key.filter(is_heavy).select(*[F.col(k).alias(f"__h_{k}") for k in keys], found.alias("__heavy")))
+    light = per_key.filter(~is_heavy).select(*[F.col(k).alias(f"__l_{k}") for k in keys], found.alias("__light"), F.lit(True).alias("__l_only"))
+    at = lambda side: [F.col(k) == F.col(f"__{side}_{k}") for k in keys]
+    rows = rows.join(heavy, at("h"), "left").drop(*[f"__h_{k}" for k in keys])
+    rows = rows.withColumn("__only", F.col("__heavy").isNull()).withColumn("__at", F.when(F.col("__only"), F.col(keys[0])).otherwise(F.xxhash64(*spread)))
+    on = [F.col("__at") == F.col(f"__l_{keys[0]}"), F.col("__only") == F.col("__l_only"), *at("l")[1:]]
+    done = rows.join(light, on, "left").withColumn("__found", F.coalesce("__heavy", "__light")).filter("__found is not null")
+    own = [c for c in done.columns if not c.startswith("__")]
+    return done.select(*own, *[F.col(f"__found.{v}").alias(v) for v in values])
+
+
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 def no_clash(df: DataFrame, needed: list[str]) -> DataFrame:
     """Only the needed columns, so that extra columns of any name can't clash."""
     return df.select(*[F.col(f"`{c}`") for c in needed])

@@ -3,11 +3,13 @@
 A line's key is the line stripped of blanks and lower-cased (ASCII). Keys of MIN_CHARS code points or more are hashed to
 128 bits, and documents are counted for each hash in two aggregations (first distinct pairs of hash and document, then
 documents), so a line that stands in a third of all documents is combined before and after either shuffle and no task gets a
-hot key's rows. Keys found in MIN_DOCS documents lose all lines except those in the largest doc_id. Positions to drop are
-joined back by document and the text is put together from the other positions.
+hot key's rows. Keys found in MIN_DOCS documents lose all lines except those in the largest doc_id. The frequent keys are written;
+the few that are heavy (a bounded number by definition) are broadcast to the lines, and their lines are dealt over all tasks. Positions to
+drop are joined back by document and the text is put together from the other positions.
 
 Defined cases: null or empty text is one empty line; rows with null doc_id count nowhere and lose nothing; rows that share a
-doc_id are one document for the count and each is put together by itself; extra columns are kept if asked for.
+doc_id are one document for the count and each is put together by itself; ties can't arise, as one doc_id is the largest; an empty table gives no
+rows; extra columns of any name are kept as they are, n_lines and n_dropped too, which then aren't counted.
 """
 
 from __future__ import annotations
@@ -35,23 +37,20 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     lines = long_lines(own)
     pairs = lines.select("h1", "h2", "doc_id").distinct()
-    often = pairs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= MIN_DOCS).drop("n")
-    gone = lines.join(often, ["h1", "h2"]).filter("doc_id <> keeper")
-    gone = gone.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "__gone")
-    text = F.coalesce("text", F.lit(""))
-    joined = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left")
+    often = pairs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= MIN_DOCS)
+    gone = c.join_counted(lines, c.cut(often, "op9-often"), ["h1", "h2"], "n", ["keeper"], ["doc_id", "pos"]).filter("doc_id <> keeper")
+    gone = gone.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("gone"))
+    rows = docs.select(F.struct(*[F.col(c.quoted(x)) for x in docs.columns]).alias("row"))
+    joined = rows.join(gone.hint("shuffle_hash"), (F.col("row.doc_id") == F.col("doc_id")) & (F.xxhash64("row.text") == F.col("t")), "left")
+    text = F.coalesce("row.text", F.lit(""))
     split = F.split(text, "\n", -1)
     n = F.size(split)
-    kept = F.array_except(F.sequence(F.lit(0), n - 1), "__gone")
-    rebuilt = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda p: F.get(F.col("__lines"), p)), "\n"))
-    return (
-        joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), split))
-        .withColumn("n_lines", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .withColumn("text", rebuilt)
-        .drop("__id", "__t", "__gone", "__lines")
-    )
+    kept = F.array_except(F.sequence(F.lit(0), n - 1), "gone")
+    joined = joined.withColumn("lines", F.when(F.col("gone").isNotNull(), split))
+    rebuilt = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda p: F.get(F.col("lines"), p)), "\n"))
+    counts = {"n_lines": (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
+    kept_columns = [rebuilt.alias(x) if x == "text" else F.col(f"row.{c.quoted(x)}") for x in docs.columns]
+    return joined.select(*kept_columns, *[v.alias(k) for k, v in counts.items() if k not in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -159,7 +159,7 @@ def _tested(places: str) -> str:
 
 def scanned(docs: DataFrame) -> DataFrame:
     """row (all columns of docs), base spans (s, k: number of the kind, e) and candidates of each row."""
-    df = docs.select(F.struct(*[F.col(_name(x)) for x in docs.columns]).alias("row")).withColumn("__text", F.coalesce("row.text", F.lit("")))
+    df = docs.select(F.struct(*[F.col(c.quoted(x)) for x in docs.columns]).alias("row")).withColumn("__text", F.coalesce("row.text", F.lit("")))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("candidates", CANDIDATE)):
         df = _found(df, f"__{name}", pattern)
     value = F.expr(f"filter(__assign, x -> char_length(regexp_extract(x.m, {_quoted(ASSIGN)}, 1)) >= 6)")
@@ -168,10 +168,6 @@ def scanned(docs: DataFrame) -> DataFrame:
     return df.select("row", F.expr(f"sort_array({base})").alias("base"), F.expr(_tested("__candidates")).alias("candidates"))
 
 
-def _name(column: str) -> str:
-    return "`" + column.replace("`", "``") + "`"
-
-
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -239,7 +235,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     pieces = f"flatten(transform({held}, y -> transform(y.b, x -> substring(y.x, x.f - y.at + 1, x.t - x.f))))"
     end = "aggregate(spans, 0, (a, x) -> greatest(a, x.e))"
     text = F.expr(f"if(__blocks is null, row.text, array_join(concat({pieces}, array(substring(row.text, {end} + 1))), '{mark}'))")
-    return cuts.select(*[text.alias(x) if x == "text" else F.col(f"row.{_name(x)}") for x in docs.columns])
+    return cuts.select(*[text.alias(x) if x == "text" else F.col(f"row.{c.quoted(x)}") for x in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
