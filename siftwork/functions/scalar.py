@@ -62,7 +62,8 @@ def integer_picks(picks: Column) -> Column:
     return F.transform(F.filter(picks, lambda x: x.rlike(r"^-?\d+$")), lambda x: x.cast("long"))
 
 
-def delivery_signature(ids: Column, styles: Column) -> Column:
-    """First 16 hex digits of SHA-256 over a selection in order and its styles."""
-    joined = F.concat_ws("|", F.concat_ws(",", F.transform(ids, lambda x: x.cast("string"))), F.concat_ws(",", styles))
-    return F.substring(F.sha2(joined, 256), 1, 16)
+def delivery_signature(paths: Column, styles: Column) -> Column:
+    """First 16 hex digits of SHA-256 over a selection's paths in order and the style of each (null: none): another order or style is
+    another delivery."""
+    styled = F.zip_with(paths, styles, lambda p, s: F.concat(p, F.lit("="), F.coalesce(s, F.lit(""))))
+    return F.substring(F.sha2(F.concat(F.array_join(paths, "|"), F.lit("||"), F.array_join(styled, "|")).cast("binary"), 256), 1, 16)

@@ -71,11 +71,30 @@ def capture_times(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("image_id", c.capture_seconds(text).alias("exif"), c.raw_capture_seconds(F.col("image_id") % 10).alias("raw_time"), c.preview_path(F.lit("/root"), F.col("file_path"), kind, cache).alias("preview"))
 
 
-@query("SELECT CAST(k AS BIGINT) AS id, n AS name FROM (VALUES (0, 'Origin'), (1, 'Warm'), (2, 'Cool'), (3, 'Vivid'), (4, 'Soft'), (5, 'Film'), (6, 'Fade'), (7, 'Punch'), (8, 'Mono'), (9, 'Dusk')) AS t(k, n)")
+_PRESET_SQL = """presets AS (SELECT * FROM (VALUES (1, 'Origin', NULL, NULL, NULL, NULL, NULL, 0), (2, 'Havana 1959', 15, -10, 35, 10, 5, 0.25), (3, 'Tokyo 1966', 12, -8, -25, -15, 8, 0.25), (4, 'Paris 1974', 10, -6, -15, -15, 5, 0.25), (5, 'Miami 1986', 0, 0, 40, 25, 0, 0.25),
+  (6, 'New York 1994', -8, 10, -30, 20, -5, 0.55), (7, 'Shanghai 2010', -5, 5, 35, 18, 3, 0.10), (8, 'Munich 1951', 0, 0, -100, 45, -5, 0.55), (9, 'Rome 1960', 0, 0, -100, -10, 10, 0.25), (10, 'Berlin 1989', 0, 0, -100, 20, -8, 0.55)) AS t(id, name, wr, wb, s, c, br, grain))"""
+c.VIEWS["presets"] = _PRESET_SQL
+
+
+@query("SELECT CAST(id AS BIGINT) AS id, name, CAST(wr AS DOUBLE) AS wb_shift_r, CAST(wb AS DOUBLE) AS wb_shift_b, CAST(s AS DOUBLE) AS saturation, CAST(c AS DOUBLE) AS contrast, CAST(br AS DOUBLE) AS brightness, CAST(grain AS DOUBLE) AS grain_amount FROM presets", "presets")
 def preset_seed(spark: SparkSession, sf: str) -> DataFrame:
-    """The constant table of presets."""
-    names = ("Origin", "Warm", "Cool", "Vivid", "Soft", "Film", "Fade", "Punch", "Mono", "Dusk")
-    return spark.createDataFrame(list(enumerate(names)), "id bigint, name string")
+    """The seeded presets, their grades and grain."""
+    return color.presets(spark)
+
+
+@query(
+    """cell AS (SELECT id, k // 289 AS r, k // 17 % 17 AS g, k % 17 AS b, CAST(1.0 + wr / 100.0 AS FLOAT) AS gr, CAST(1.0 + wb / 100.0 AS FLOAT) AS gb, CAST(br / 100.0 AS FLOAT) AS lift, CAST(1.0 + c / 100.0 AS FLOAT) AS gc, CAST(1.0 + s / 100.0 AS FLOAT) AS gs
+  FROM (SELECT *, unnest(range(4913)) AS k FROM presets WHERE wr IS NOT NULL)),
+one AS (SELECT *, (CAST(r AS FLOAT) / 16::FLOAT * gr + lift - 0.5::FLOAT) * gc + 0.5::FLOAT AS x, (CAST(g AS FLOAT) / 16::FLOAT + lift - 0.5::FLOAT) * gc + 0.5::FLOAT AS y, (CAST(b AS FLOAT) / 16::FLOAT * gb + lift - 0.5::FLOAT) * gc + 0.5::FLOAT AS z FROM cell),
+two AS (SELECT *, 0.299::FLOAT * x + 0.587::FLOAT * y + 0.114::FLOAT * z AS l FROM one)
+SELECT CAST(id AS BIGINT) AS id, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b, CAST(round(greatest(0::FLOAT, least(1::FLOAT, l + (x - l) * gs)) * 65535::FLOAT) AS BIGINT) AS red,
+  CAST(round(greatest(0::FLOAT, least(1::FLOAT, l + (y - l) * gs)) * 65535::FLOAT) AS BIGINT) AS green, CAST(round(greatest(0::FLOAT, least(1::FLOAT, l + (z - l) * gs)) * 65535::FLOAT) AS BIGINT) AS blue FROM two""",
+    "presets",
+)
+def preset_luts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cell of the presets' lookup tables, to 16 bits."""
+    deep = [F.round(F.col(n) * color.single(65535)).cast("long").alias(n) for n in ("red", "green", "blue")]
+    return color.preset_grid(spark).select("id", "r", "g", "b", *deep)
 
 
 @query(
@@ -91,7 +110,14 @@ def export_tag(spark: SparkSession, sf: str) -> DataFrame:
     return export.target_names(rows, True, ["tag_id"]).select("image_id", "tag_id", "ordinal", "target")
 
 
-@query()
+@query(
+    """named AS (SELECT t.image_id, t.tag_id, row_number() OVER (PARTITION BY t.tag_id ORDER BY CASE WHEN g.is_ordered THEN t.position ELSE t.tagged_at END, t.image_id) AS ordinal,
+  CASE WHEN lower(i.file_path) LIKE '%.dng' THEN regexp_replace(regexp_extract(i.file_path, '([^/]*)$', 1), '\\.[^./]+$', '') || '.jpg' ELSE regexp_extract(i.file_path, '([^/]*)$', 1) END AS base
+  FROM image_tags t JOIN tags g USING (tag_id) JOIN items i USING (image_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY tag_id, base ORDER BY ordinal) AS k FROM named)
+SELECT image_id, tag_id, CASE WHEN k = 1 THEN base ELSE regexp_extract(base, '^(.*)\\.', 1) || '_' || CAST(k AS VARCHAR) || regexp_extract(base, '(\\.[^.]*)$', 1) END AS target FROM k""",
+    "items tags image_tags",
+)
 def export_collisions(spark: SparkSession, sf: str) -> DataFrame:
     """Collision suffixes of unnumbered targets, for each tag."""
     rows = _in_tag_order(spark, sf).join(c.items(spark, sf).select("image_id", "file_path"), "image_id")
@@ -498,23 +524,56 @@ def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", scalar.human_size(F.col("b")).alias("human"), scalar.ceil_log2(F.col("doc_id") + 1).cast("int").alias("ceil_log"), scalar.luma(F.col("b") % 256, F.col("doc_id") % 256, F.lit(7)).cast("long").alias("luma"))
 
 
-@query("SELECT project_id, substr(sha256(array_to_string(list(image_id ORDER BY image_id), ',') || '|' || array_to_string(list_sort(list(DISTINCT event_type)), ',')), 1, 16) AS signature FROM items GROUP BY project_id", "items")
+@query(
+    """r AS (SELECT project_id, file_path, event_type, row_number() OVER (PARTITION BY project_id ORDER BY captured_at DESC NULLS LAST, image_id) AS k FROM items)
+SELECT project_id, substr(sha256(string_agg(file_path, '|' ORDER BY k) || '||' || string_agg(file_path || '=' || CASE WHEN event_type = 'view' THEN '' ELSE event_type END, '|' ORDER BY k)), 1, 16) AS signature FROM r GROUP BY project_id""",
+    "items",
+)
 def delivery_signature(spark: SparkSession, sf: str) -> DataFrame:
-    """signature of a delivered selection."""
-    g = c.items(spark, sf).groupBy("project_id").agg(F.sort_array(F.collect_list("image_id")).alias("ids"), F.sort_array(F.collect_set("event_type")).alias("styles"))
-    return g.select("project_id", scalar.delivery_signature(F.col("ids"), F.col("styles")).alias("signature"))
+    """signature of a delivered selection, in its order and with each item's style."""
+    r = select.delivery_rank(c.items(spark, sf)).select("project_id", "rank", "file_path", F.when(F.col("event_type") != "view", F.col("event_type")).alias("style"))
+    g = r.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("rank", "file_path", "style"))).alias("picked"))
+    return g.select("project_id", scalar.delivery_signature(F.col("picked.file_path"), F.col("picked.style")).alias("signature"))
+
+
+# an event as a pixel; knobs of the query below
+_PX = "px AS (SELECT event_id, event_id % 4096 AS x, event_id // 4096 AS y, CAST(event_id % 256 AS FLOAT) / 255::FLOAT AS r, CAST((event_id * 7) % 256 AS FLOAT) / 255::FLOAT AS g, CAST((event_id * 13) % 256 AS FLOAT) / 255::FLOAT AS b FROM events)"
+_KNOBS = color.Adjust(highlights=-20.0, shadows=30.0, blacks=-15.0, whites=10.0, red=12.0, blue=-8.0, contrast=25.0, saturation=-30.0)
+
+
+def _pixels(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    px = c.table(spark, sf, "events").select("event_id", (e % 4096).alias("x"), F.expr("event_id div 4096").alias("y"), *[((e * k) % 256).alias(n) for n, k in (("r", 1), ("g", 7), ("b", 13))])
+    return px
 
 
 @query(
-    """px AS (SELECT event_id, CAST(event_id % 256 AS DOUBLE) AS r, CAST((event_id * 7) % 256 AS DOUBLE) AS g, CAST((event_id * 13) % 256 AS DOUBLE) AS b FROM events)
-SELECT event_id, CAST(floor(greatest(0, least(255, r + 50)) + 0.5) AS INTEGER) AS r, CAST(floor(g + 0.5) AS INTEGER) AS g, CAST(floor(greatest(0, least(255, b - 50)) + 0.5) AS INTEGER) AS b,
-  CAST(floor(greatest(0, least(255, (r - 127.5) * 1.25 + 127.5)) + 0.5) AS INTEGER) AS contrast FROM px""".replace("px AS", "WITH px AS", 1)
+    f"""WITH {_PX},
+lum AS (SELECT *, 0.299::FLOAT * r + 0.587::FLOAT * g + 0.114::FLOAT * b AS l FROM px),
+tone AS (SELECT *, CAST(-0.2 AS FLOAT) * greatest(0::FLOAT, least(1::FLOAT, (l - 0.5::FLOAT) / 0.5::FLOAT)) + CAST(0.3 AS FLOAT) * greatest(0::FLOAT, least(1::FLOAT, (0.5::FLOAT - l) / 0.5::FLOAT))
+  + CAST(0.1 AS FLOAT) * greatest(0::FLOAT, least(1::FLOAT, (l - 0.8::FLOAT) / 0.2::FLOAT)) + CAST(-0.15 AS FLOAT) * greatest(0::FLOAT, least(1::FLOAT, (0.2::FLOAT - l) / 0.2::FLOAT)) AS d FROM lum),
+one AS (SELECT event_id, greatest(0::FLOAT, least(1::FLOAT, r * CAST(1.12 AS FLOAT) + d)) AS r, greatest(0::FLOAT, least(1::FLOAT, g + d)) AS g, greatest(0::FLOAT, least(1::FLOAT, b * CAST(0.92 AS FLOAT) + d)) AS b FROM tone),
+two AS (SELECT event_id, greatest(0::FLOAT, least(1::FLOAT, (r - 0.5::FLOAT) * 1.25::FLOAT + 0.5::FLOAT)) AS r, greatest(0::FLOAT, least(1::FLOAT, (g - 0.5::FLOAT) * 1.25::FLOAT + 0.5::FLOAT)) AS g, greatest(0::FLOAT, least(1::FLOAT, (b - 0.5::FLOAT) * 1.25::FLOAT + 0.5::FLOAT)) AS b FROM one),
+three AS (SELECT *, 0.299::FLOAT * r + 0.587::FLOAT * g + 0.114::FLOAT * b AS l FROM two)
+SELECT event_id, CAST(floor(greatest(0::FLOAT, least(1::FLOAT, l + (r - l) * CAST(0.7 AS FLOAT))) * 255::FLOAT + 0.5::FLOAT) AS INTEGER) AS r, CAST(floor(greatest(0::FLOAT, least(1::FLOAT, l + (g - l) * CAST(0.7 AS FLOAT))) * 255::FLOAT + 0.5::FLOAT) AS INTEGER) AS g,
+  CAST(floor(greatest(0::FLOAT, least(1::FLOAT, l + (b - l) * CAST(0.7 AS FLOAT))) * 255::FLOAT + 0.5::FLOAT) AS INTEGER) AS b FROM three"""
 )
 def color_adjust(spark: SparkSession, sf: str) -> DataFrame:
-    """white balance and contrast with clamping, as column expressions."""
-    px = c.table(spark, sf, "events").select("event_id", *[((F.col("event_id") * k) % 256).cast("double").alias(n) for n, k in (("r", 1), ("g", 7), ("b", 13))])
-    wb = color.white_balance(F.col("r"), F.col("g"), F.col("b"), 50.0, -50.0)
-    return px.select("event_id", *[color.quantized(x).alias(n) for n, x in zip("rgb", wb)], color.quantized(color.contrast(F.col("r"), 25.0)).alias("contrast"))
+    """all knobs of the adjustment, in its order of clamping."""
+    return color.adjusted(_pixels(spark, sf), _KNOBS).select("event_id", "r", "g", "b")
+
+
+@query(
+    f"""WITH {_PX},
+h1 AS (SELECT *, (CAST(x AS HUGEINT) * 374761393 + CAST(y AS HUGEINT) * 668265263) % 4294967296 AS h FROM px),
+h2 AS (SELECT *, (CAST(xor(CAST(h AS BIGINT), CAST(h AS BIGINT) >> 13) AS HUGEINT) * 1274126177) % 4294967296 AS k FROM h1),
+h3 AS (SELECT *, (CAST(xor(CAST(k AS BIGINT), CAST(k AS BIGINT) >> 16) & 65535 AS FLOAT) / 65535::FLOAT * 2::FLOAT - 1::FLOAT) * (0.55::FLOAT * 0.12::FLOAT) AS n FROM h2)
+SELECT event_id, CAST(floor(greatest(0::FLOAT, least(1::FLOAT, r + n)) * 255::FLOAT + 0.5::FLOAT) AS INTEGER) AS r, CAST(floor(greatest(0::FLOAT, least(1::FLOAT, g + n)) * 255::FLOAT + 0.5::FLOAT) AS INTEGER) AS g,
+  CAST(floor(greatest(0::FLOAT, least(1::FLOAT, b + n)) * 255::FLOAT + 0.5::FLOAT) AS INTEGER) AS b FROM h3"""
+)
+def grain(spark: SparkSession, sf: str) -> DataFrame:
+    """F8: grain by place."""
+    return color.grained(_pixels(spark, sf), 0.55).select("event_id", "r", "g", "b")
 
 
 from siftwork.plans import further  # noqa: E402,F401  registers the rest

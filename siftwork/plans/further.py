@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -153,18 +151,21 @@ def difference_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, event_id % 256 AS r, (event_id * 7) % 256 AS g, (event_id * 13) % 256 AS b FROM events")
 def lut_identity(spark: SparkSession, sf: str) -> DataFrame:
-    """the identity grade through a 17-step table leaves every pixel as it is."""
-    lut = color.graded_lut(17, (1.0, 1.0, 1.0), 0.0, 1.0, 1.0)
-    schema = pa.schema([("event_id", pa.int64()), *((n, pa.int64()) for n in "rgb")])
+    """the identity grade through a 17-step table leaves every pixel as it is."""
+    px = c.table(spark, sf, "events").select("event_id", *[((F.col("event_id") * k) % 256).alias(n) for n, k in (("r", 1), ("g", 7), ("b", 13))])
+    return color.looked_up(px, color.graded_lut(17)).select("event_id", *[F.col(n).cast("long").alias(n) for n in "rgb"])
 
-    def run(batches):
-        for batch in batches:
-            px = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in "rgb"], 1).astype(np.uint8)
-            out = color.apply_lut(px, lut).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("event_id"), *(pa.array(out[:, i]) for i in range(3))], schema=schema)
 
-    px = c.table(spark, sf, "events").select("event_id", *[((F.col("event_id") * k) % 256).alias(n) for n, k in (("r", 1), ("g", 7), ("b", 13))])
-    return px.mapInArrow(run, "event_id bigint, r bigint, g bigint, b bigint")
+@query()
+def preset_renders(spark: SparkSession, sf: str) -> DataFrame:
+    """every pixel under each preset and one version: table, knobs, grain. Held against loops over pixels in the tests."""
+    e, out = F.col("event_id"), None
+    px = c.table(spark, sf, "events").select("event_id", (e % 4096).alias("x"), F.expr("event_id div 4096").alias("y"), *[((e * k) % 256).alias(n) for n, k in (("r", 1), ("g", 7), ("b", 13))])
+    for name in (color.ORIGIN, *color.PRESETS):
+        amount = 0.0 if name == color.ORIGIN else color.PRESETS[name][5]
+        part = color.rendered(px, color.preset_lut(name), color.Adjust(contrast=10.0, red=-5.0), amount).select(F.lit(name).alias("preset"), "event_id", *[F.col(n).cast("int").alias(n) for n in "rgb"])
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("SELECT image_id, 'item ' || CAST(image_id AS VARCHAR) AS assessment, image_id % 3 = 0 AS unusable, 'c' AS content, CASE WHEN image_id % 11 = 0 THEN 'parse_error' END AS error FROM evaluations WHERE image_id % 11 <> 0 UNION ALL SELECT image_id, NULL, NULL, NULL, 'parse_error' FROM evaluations WHERE image_id % 11 = 0", "evaluations")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.operators import scope
+from siftwork.operators.order import global_ordinal
+
 from .catalog import file_name, media_kind, stem_key
 
 
@@ -16,25 +20,104 @@ def target_names(rows: DataFrame, ordered: bool, by: list[str]) -> DataFrame:
     name = file_name(F.col("file_path"))
     name = F.when(media_kind(F.col("file_path")) == "raw", F.concat(stem_key(name), F.lit(".jpg"))).otherwise(name)
     if ordered:
-        n = F.count("*").over(Window.partitionBy(*by))
-        width = F.greatest(F.lit(2), F.length(n.cast("string")))
+        rows = rows.join(rows.groupBy(*by).agg(F.count("*").alias("__n")), by)  # counted before it is joined
+        width = F.greatest(F.lit(2), F.length(F.col("__n").cast("string")))
         number = F.col("ordinal").cast("string")
         name = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), width - F.length(number))), number, F.lit("_"), name)
-    return rows.withColumn("target", name)
+    return rows.withColumn("target", name).drop("__n")
+
+
+SUFFIX = "_([2-9]|[1-9][0-9]+)"  # as a collision makes it
 
 
 def resolve_collisions(rows: DataFrame, by: list[str]) -> DataFrame:
-    """A name that occurs again gets _2, _3... before its extension, in order; one that would meet a name of its own is marked
-    too, until all differ. Rounds are few: each one needs names that were made to look like others."""
-    out = rows.withColumn("__base", F.col("target"))
-    for _ in range(50):
-        w = Window.partitionBy(*by, "target").orderBy((F.col("target") != F.col("__base")).cast("int"), "ordinal")
-        out = out.withColumn("__k", F.row_number().over(w))
-        if out.filter("__k > 1").isEmpty():
-            break
-        stem, ext = stem_key(F.col("target")), F.regexp_extract("target", r"(\.[^./]+)$", 1)
-        out = out.withColumn("target", F.when(F.col("__k") > 1, F.concat(stem, F.lit("_"), F.col("__k").cast("string"), ext)).otherwise(F.col("target")))
-    return out.drop("__base", "__k")
+    """rows(by, ordinal, target): one folder for each `by`, filled in order. A name that is taken gets the first free of _2, _3... before
+    its extension. Names can only meet if one is another of the folder with such a suffix: a family. Where a family has one name, its
+    places in order give the suffixes; where it has several, it is gone through in order, a group as large as the files of that family
+    in one folder."""
+    ext = F.regexp_extract("target", r"[^.](\.[^.]*)$", 1)
+    named = rows.withColumn("__ext", ext).withColumn("__stem", F.expr("left(target, char_length(target) - char_length(__ext))"))
+    names = named.groupBy(*by, "__stem", "__ext").agg(F.lit(True).alias("__there"))
+    depth = F.length(F.regexp_extract("__stem", f"((?:{SUFFIX})*)$", 1))
+    depth = F.when(depth > 0, F.size(F.split(F.regexp_extract("__stem", f"((?:{SUFFIX})*)$", 1), "_")) - 1).otherwise(0)
+    up = names.select(*by, F.col("__stem").alias("__own"), "__ext", F.explode(F.sequence(F.lit(0), depth)).alias("__level"))
+    up = up.withColumn("__stem", F.expr(f"regexp_replace(__own, concat('(?:{SUFFIX}){{', __level, '}}$'), '')"))
+    seen = up.join(names, [*by, "__stem", "__ext"], "left").groupBy(*by, "__own", "__ext").agg(F.sort_array(F.collect_list(F.struct("__level", "__stem", "__there"))).alias("__up"))
+    gap = F.expr("coalesce(get(filter(__up, x -> x.__there is null), 0).__level, size(__up))")  # levels below it are there
+    roots = seen.select(*by, F.col("__own").alias("__stem"), "__ext", F.get("__up", gap - 1).getField("__stem").alias("__root"))
+    several_names = roots.groupBy(*by, "__root", "__ext").agg((F.count("*") == 1).alias("__one"))
+    family = [*by, "__root", "__ext"]
+    named = named.join(roots.join(several_names, family), [*by, "__stem", "__ext"])
+    place = F.row_number().over(Window.partitionBy(*by, "target").orderBy("ordinal"))
+    alone = named.filter("__one").withColumn("__k", place)
+    alone = alone.withColumn("target", F.when(F.col("__k") > 1, F.concat("__stem", F.lit("_"), F.col("__k").cast("string"), "__ext")).otherwise(F.col("target")))
+    several = named.filter("not __one")
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ordinal", kind="stable")
+        taken, following, out = set(), {}, []
+        for stem, ext in zip(pdf["__stem"], pdf["__ext"]):
+            name, k = stem + ext, following.get(stem, 2)
+            while name in taken:
+                name, k = f"{stem}_{k}{ext}", k + 1
+            if name != stem + ext:
+                following[stem] = k
+            taken.add(name)
+            out.append(name)
+        return pdf.assign(target=out)
+
+    filled = several.groupBy(*family).applyInPandas(fill, several.schema)
+    return alone.select(*rows.columns).unionByName(filled.select(*rows.columns))
+
+
+def left_out(entries: DataFrame, tags: DataFrame, image_tags: DataFrame, include_reject: bool = False, include_dup: bool = False, scope_tag: int | None = None) -> DataFrame:
+    """entries without rejects and duplicates, unless they are asked for or are the scope itself."""
+    names = [name for name, keep in ((scope.REJECT, include_reject), (scope.DUPLICATE, include_dup)) if not keep]
+    return scope.exclude(entries, tags, image_tags, names, scope_tag) if names else entries
+
+
+def batch(entries: DataFrame, images: DataFrame, ordered: bool = False, present: DataFrame | None = None) -> DataFrame:
+    """entries(ordinal, image_id) of one folder as a manifest: image_id, ordinal (from 1, without gaps), file_path, target, route, reason. Ids
+    without an image are left out. present(file_path): files that are there; another's reason is source_missing, it takes a number but no name."""
+    known = entries.join(images.select(F.col("id").alias("image_id"), "file_path", "kind", "recipe_id"), "image_id")
+    rows = global_ordinal(known.withColumnRenamed("ordinal", "__old"), [F.asc("__old"), F.asc("image_id")]).withColumn("__folder", F.lit(0))
+    named = target_names(rows, ordered, ["__folder"])
+    if present is not None:
+        named = named.join(present.select("file_path").distinct().withColumn("__there", F.lit(True)), "file_path", "left")
+        named = named.withColumn("reason", F.when(F.col("__there").isNull(), F.lit("source_missing")))
+    else:
+        named = named.withColumn("reason", F.lit(None).cast("string"))
+    named = named.withColumn("route", F.when(F.col("reason").isNull(), write_route(F.col("kind"), F.col("recipe_id"))))
+    columns = ["image_id", "ordinal", "file_path", "target", "route", "reason"]
+    written = resolve_collisions(named.filter("reason is null").select("__folder", *columns), ["__folder"]).select(*columns)
+    return written.unionByName(named.filter("reason is not null").withColumn("target", F.lit(None).cast("string")).select(*columns))
+
+
+def export_tag(tag_id: int, tags: DataFrame, image_tags: DataFrame, images: DataFrame, include_reject: bool = False, include_dup: bool = False, present: DataFrame | None = None) -> DataFrame:
+    """The manifest of one tag, in its order; numbered if the tag is ordered. Exporting the reject or duplicate tag itself keeps its rows."""
+    found = tags.filter(F.col("tag_id") == tag_id).select("is_ordered").limit(1).collect()
+    if not found:
+        raise scope.ScopeError("tag_not_found", str(tag_id))
+    entries = scope.in_tag_order(image_tags.filter(F.col("tag_id") == tag_id), found[0].is_ordered).select("ordinal", "image_id")
+    return batch(left_out(entries, tags, image_tags, include_reject, include_dup, tag_id), images, found[0].is_ordered, present)
+
+
+def export_images(ids: DataFrame, tags: DataFrame, image_tags: DataFrame, images: DataFrame, include_reject: bool = False, include_dup: bool = False, present: DataFrame | None = None) -> DataFrame:
+    """The manifest of ids(ordinal, image_id), under their own names in the order given."""
+    return batch(left_out(ids.select("ordinal", "image_id"), tags, image_tags, include_reject, include_dup), images, False, present)
+
+
+def export_image(image_id: int, images: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """The manifest of one image; no exclusion. An image that isn't there is an error."""
+    one = images.filter(F.col("id") == image_id).select(F.lit(1).cast("long").alias("ordinal"), F.col("id").alias("image_id"))
+    if one.isEmpty():
+        raise scope.ScopeError("image_not_found", str(image_id))
+    return batch(one, images, False, present)
+
+
+def outcome(manifest: DataFrame) -> DataFrame:
+    """One row: exported, and skipped by reason."""
+    return manifest.groupBy(F.coalesce("reason", F.lit("exported")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
 def write_route(kind: F.Column, recipe_id: F.Column) -> F.Column:

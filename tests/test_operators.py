@@ -2,6 +2,8 @@
 
 import itertools
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -226,11 +228,54 @@ def test_navigation(spark):
     assert rows(navigate.neighbourhood(r, 1).filter("image_id = 1"), "priority", "neighbour") == [(0, 1), (1, 2), (2, 5)]
 
 
+def collided(names):
+    """The rule as a loop: the first free name, in order."""
+    out = []
+    for n in names:
+        stem, dot, ext = n.rpartition(".") if "." in n[1:] else (n, "", "")
+        name, k = n, 2
+        while name in out:
+            name, k = f"{stem}_{k}{dot}{ext}", k + 1
+        out.append(name)
+    return out
+
+
+def test_collisions(spark):
+    rng = random.Random(2)
+    pool = ["x.jpg", "x_2.jpg", "x_3.jpg", "x_2_2.jpg", "x_02.jpg", "y.jpg", "IMG_7.jpg", "IMG_8.jpg", ".x", "n", "n_2", "x.JPG", "a.b_2.jpg", "a.b.jpg"]
+    folders = [["x.jpg", "x.jpg", "x_2.jpg"], ["x.jpg", "x_2.jpg", "x.jpg"], *([rng.choice(pool) for _ in range(rng.randrange(1, 60))] for _ in range(12))]
+    assert collided(folders[0]) == ["x.jpg", "x_2.jpg", "x_2_2.jpg"]
+    df = spark.createDataFrame([(f, i, n) for f, names in enumerate(folders) for i, n in enumerate(names)], "tag_id long, ordinal long, target string").repartition(3)
+    got = {}
+    for r in export.resolve_collisions(df, ["tag_id"]).orderBy("ordinal").collect():
+        got.setdefault(r.tag_id, []).append(r.target)
+    assert got == {f: collided(names) for f, names in enumerate(folders)}
+
+
+def test_export_batches(spark):
+    images = spark.createDataFrame([(1, "a/x.jpg", "jpeg", None), (2, "b/x.jpg", "jpeg", 5), (3, "c/x.dng", "raw", None), (4, "gone.jpg", "jpeg", None), (5, "d/y.jpg", "jpeg", None)], "id long, file_path string, kind string, recipe_id long")
+    tags = spark.createDataFrame([(1, "best", True), (2, scope.REJECT, False), (3, scope.DUPLICATE, False)], "tag_id long, name string, is_ordered boolean")
+    held = spark.createDataFrame([(i, 1, p, 0) for i, p in ((5, 1), (4, 2), (3, 3), (2, 4), (1, 5))] + [(1, 2, None, 7), (5, 3, None, 8)], "image_id long, tag_id long, position long, tagged_at long")
+    present = images.filter("id <> 4").select("file_path")
+    plain = lambda m: rows(m, "image_id", "ordinal", "target", "route", "reason")
+    assert plain(export.export_tag(1, tags, held, images, present=present)) == [(2, 3, "03_x.jpg", "bake", None), (3, 2, "02_x.jpg", "decode", None), (4, 1, None, None, "source_missing")]
+    assert plain(export.export_tag(1, tags, held, images, True, True))[0] == (1, 5, "05_x.jpg", "copy", None)
+    assert plain(export.export_tag(2, tags, held, images)) == [(1, 1, "x.jpg", "copy", None)]  # the scope itself isn't left out
+    ids = spark.createDataFrame([(1, 3), (2, 99), (3, 2), (4, 1), (5, 5)], "ordinal long, image_id long")
+    assert plain(export.export_images(ids, tags, held, images)) == [(2, 2, "x_2.jpg", "bake", None), (3, 1, "x.jpg", "decode", None)]
+    assert plain(export.export_images(ids, tags, held, images, include_dup=True))[-1] == (5, 3, "y.jpg", "copy", None)
+    assert plain(export.export_image(1, images)) == [(1, 1, "x.jpg", "copy", None)]
+    assert rows(export.outcome(export.export_tag(1, tags, held, images, present=present)), "outcome", "n") == [("exported", 2), ("source_missing", 1)]
+    with pytest.raises(scope.ScopeError):
+        export.export_image(9, images)
+    with pytest.raises(scope.ScopeError):
+        export.export_tag(9, tags, held, images)
+
+
 def test_export(spark):
     df = spark.createDataFrame([(1, 1, 1, "a/x.jpg"), (1, 2, 2, "b/x.jpg"), (1, 3, 3, "c/x_2.jpg"), (1, 4, 4, "d/x.dng")], "tag_id long, ordinal long, image_id long, file_path string")
     got = export.resolve_collisions(export.target_names(df, False, ["tag_id"]), ["tag_id"])
-    names = [r.target for r in got.orderBy("ordinal").collect()]
-    assert len(set(names)) == 4 and names[0] == "x.jpg" and names[2] == "x_2.jpg"
+    assert [r.target for r in got.orderBy("ordinal").collect()] == ["x.jpg", "x_2.jpg", "x_2_2.jpg", "x_3.jpg"]
     assert [r.target for r in export.target_names(df, True, ["tag_id"]).orderBy("ordinal").collect()] == ["01_x.jpg", "02_x.jpg", "03_x_2.jpg", "04_x.jpg"]
 
     def write(row):
@@ -249,17 +294,59 @@ def test_scalars(spark):
     assert (row.a.w, row.a.h, row.b.w) == (100, 50, 40) and row.p == [1, 3] and row.s == "{}"
 
 
+def shown(px, x, row, lut, k, grain_amount):
+    """One pixel through table, knobs and grain, in single precision and one step after another."""
+    f = np.float32
+    one = lambda v: min(max(v, f(0)), f(1))
+    v = [f(p) / f(255) for p in px]
+    if lut is not None:
+        n = len(lut)
+        at = [c * f(n - 1) for c in v]
+        lo = [int(a) for a in at]
+        t = [a - f(i) for a, i in zip(at, lo)]
+        hi = [min(i + 1, n - 1) for i in lo]
+        mix = lambda a, b, w: a * (f(1) - w) + b * w
+        v = [mix(*[mix(*[mix(lut[i, j, lo[2], ch], lut[i, j, hi[2], ch], t[2]) for j in (lo[1], hi[1])], t[1]) for i in (lo[0], hi[0])], t[0]) for ch in range(3)]
+        v = [f(int(one(c) * f(255) + f(0.5))) / f(255) for c in v]
+    if not k.neutral():
+        lum = lambda r, g, b: f(0.299) * r + f(0.587) * g + f(0.114) * b
+        y = lum(*v)
+        d = f(k.highlights / 100) * one((y - f(0.5)) / f(0.5)) + f(k.shadows / 100) * one((f(0.5) - y) / f(0.5)) + f(k.whites / 100) * one((y - f(0.8)) / f(0.2)) + f(k.blacks / 100) * one((f(0.2) - y) / f(0.2))
+        v = [one(v[0] * f(1 + k.red / 100) + d), one(v[1] + d), one(v[2] * f(1 + k.blue / 100) + d)]
+        v = [one((c - f(0.5)) * f(1 + k.contrast / 100) + f(0.5)) for c in v]
+        y = lum(*v)
+        v = [one(y + (c - y) * f(1 + k.saturation / 100)) for c in v]
+        v = [f(int(c * f(255) + f(0.5))) / f(255) for c in v]
+    if grain_amount > 0:
+        h = (x * color.GRAIN_X + row * color.GRAIN_Y) % 2**32
+        h = (h ^ h >> 13) * color.GRAIN_MIX % 2**32
+        h ^= h >> 16
+        n = (f(h & 0xFFFF) / f(65535) * f(2) - f(1)) * (f(grain_amount) * f(color.GRAIN_LIMIT))
+        v = [one(c + n) for c in v]
+    return tuple(int(c * f(255) + f(0.5)) for c in v)
+
+
 def test_color(spark):
     px = np.array([[0, 0, 0], [255, 255, 255], [12, 200, 99]], np.uint8)
     for n in (2, 17):
         assert (color.apply_lut(px, color.identity_lut(n)) == px).all()
-    assert (color.grain(np.arange(3), np.arange(3), px, 0) == px).all()
-    a, b = (color.grain(np.arange(3), np.arange(3), px, 1.0) for _ in range(2))
-    assert (a == b).all() and (a != px).any()
-    assert color.graded_lut(5, (1, 1, 1), 0, 1, 1) == pytest.approx(color.identity_lut(5), abs=1e-6)
-    grey = [F.lit(100.0)] * 3
-    r = spark.range(1).select(*[color.quantized(x).alias(n) for n, x in zip("rgb", color.white_balance(*grey, 50, -50))], color.quantized(color.tone(F.lit(90.0), F.lit(90 / 255), 0, 0, 50, 0)).alias("t"), *[color.quantized(x).alias("s" + n) for n, x in zip("rgb", color.saturation(*grey, 80))]).first()
-    assert (r.r, r.g, r.b, r.t) == (150, 100, 50, 90) and (r.sr, r.sg, r.sb) == (100, 100, 100)
+    assert color.graded_lut(5) == pytest.approx(color.identity_lut(5), abs=1e-6)
+
+
+def test_renders_against_loops(spark):
+    rng = random.Random(3)
+    px = [(i, rng.randrange(5000), rng.randrange(5000), *(rng.choice((0, 255, rng.randrange(256))) for _ in range(3))) for i in range(400)]
+    df = spark.createDataFrame(px, "id long, x int, y int, r int, g int, b int")
+    knobs = [color.Adjust(), color.Adjust(15, -20, 30, -40, 12, -9, 25, -100), color.Adjust(red=100.0), color.Adjust(shadows=-100, whites=80, contrast=-50, saturation=60)]
+    for name, k in zip((color.ORIGIN, "Havana 1959", "Munich 1951", "New York 1994"), knobs):
+        amount = color.PRESETS[name][5] if name in color.PRESETS else 0.0
+        lut = color.preset_lut(name)
+        got = {r.id: (r.r, r.g, r.b) for r in color.rendered(df, lut, k, amount).collect()}
+        assert got == {p[0]: shown(p[3:], p[1], p[2], lut, k, amount) for p in px}
+    grid = {(r.id, r.r, r.g, r.b): (r.red, r.green, r.blue) for r in color.preset_grid(spark).filter("(r * 289 + g * 17 + b) % 37 = 0").collect()}
+    for i, name in enumerate(color.PRESETS, 2):
+        lut = color.preset_lut(name)
+        assert all(lut[k[1:]] == pytest.approx(v, abs=2e-7) for k, v in grid.items() if k[0] == i)
 
 
 def test_settings_and_schema(spark):
