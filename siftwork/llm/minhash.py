@@ -17,8 +17,9 @@ A copy that lies too far from the group's text has too few shared shingles and i
 
 While the nodes left would make more than PAIRS_PER_ROW pairs each, up to TURNS further leaders take a turn, the one with the greatest
 m / n (closest to the text that the others were made from), are verified against the nodes of other components, and
-leave the bucket. Pairs of nodes of one bucket, different components and mutually possible sizes are verified then, joined by size
-class, so no link is lost.
+leave the bucket. What is left meets by bucket and size class under an exact bitmap filter: shared shingles are hashed to SIGNATURE bits, two
+bitmaps differ in no more bits than the sets in elements, and a link leaves m_a + m_b - 6/7 (n_a + n_b) elements to differ in at most. Pairs that
+pass are verified on full sets, so no link is lost.
 
 Links make components (distributed star contraction). One document of each, that with the smallest id, is kept.
 
@@ -42,10 +43,9 @@ from . import common as c
 WORDS, COORDS, ROWS = 5, 128, 4
 BANDS = COORDS // ROWS
 NUM, DEN = 75, 100
-TURNS, PAIRS_PER_ROW = 3, 8
-#: Pairs of one leader are verified in lots of about LEADER_ROWS; frequent shingles are looked up in SALTS parts; sizes are held in
-#: classes that grow by the factor exp(SIZE_CLASS).
-LEADER_ROWS, SALTS, SIZE_CLASS = 1000, 8, 0.03
+TURNS, PAIRS_PER_ROW, SIGNATURE = 1, 8, 1024
+#: Pairs of one leader are verified in lots of about LEADER_ROWS; sizes are held in classes that grow by the factor exp(SIZE_CLASS).
+LEADER_ROWS, SIZE_CLASS = 1000, 0.03
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SKETCH_DDL = "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
 SETS = pa.schema([("node", pa.int64()), ("k1", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -138,7 +138,7 @@ def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
 
 def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v) of the pairs(a, ka, b, kb, lots) that are links."""
-    once = pairs.groupBy("a", "ka", "b", "kb").agg(F.max("lots").alias("lots"))
+    once = c.cut(pairs.groupBy("a", "ka", "b", "kb").agg(F.max("lots").alias("lots")), "op2-pairs")
     return c.cut(verified(once, sets).filter(is_link()).select(F.col("a").alias("u"), F.col("b").alias("v")), "op2-links")
 
 
@@ -154,25 +154,30 @@ def contested(rows: DataFrame, sets: DataFrame) -> DataFrame:
     that their shared shingles allow), m and classes: the bucket's size classes of n or less that hold a possible partner."""
     own = rows.select("node", "k1", "n", "component").distinct()
     x = own.join(sets, ["node", "k1"]).select("node", "k1", "n", "component", F.explode("shingles").alias("s"))
-    shared = x.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    shared = shared.select("s", F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt"))
-    m = x.withColumn("salt", F.expr(f"cast(pmod(xxhash64(node, k1), {SALTS}) as int)")).join(shared, ["s", "salt"]).groupBy("node", "k1", "n").agg(F.count("*").alias("m"))
+    shared = x.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("often")).filter("lo < hi")
+    shared = c.join_counted(x, c.cut(shared, "op2-shared"), ["s"], "often", ["lo"], ["node", "k1", "s"])
+    words = [F.expr(f"bit_or(if(pmod(s, {SIGNATURE}) div 64 = {w}, shiftleft(1L, cast(pmod(s, 64) as int)), 0L))") for w in range(SIGNATURE // 64)]
+    m = shared.groupBy("node", "k1", "n").agg(F.count("*").alias("m"), *[w.alias(f"w{i}") for i, w in enumerate(words)])
+    m = m.select("node", "k1", "n", "m", F.array(*[f"w{i}" for i in range(len(words))]).alias("bits"))
     reach = m.withColumn("most", F.expr(f"{NUM + DEN} * m div {NUM} - n")).filter(f"{DEN} * most >= {NUM} * n").drop("n")
     rows = c.cut(rows.join(reach, ["node", "k1"]).withColumn("class", F.expr(f"cast(ln(n) / {SIZE_CLASS} as int)")), "op2-reach")
     classes = rows.groupBy("key", "class").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("most").alias("most1"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n_rows"))
-    held = classes.groupBy("key").agg(F.collect_list(F.struct("class", "n0", "n1", "most1", "c0", "c1", "n_rows")).alias("held"))  # an entry for each class of sizes
+    held = classes.groupBy("key").agg(F.sum("n_rows").alias("size"), F.collect_list(F.struct("class", "n0", "n1", "most1", "c0", "c1", "n_rows")).alias("held"))  # an entry for each class of sizes
     fits = f"x.n0 <= most and {DEN} * x.n1 >= {NUM} * n and x.most1 >= n and {NUM} * x.n0 <= {DEN} * n and (x.c0 <> component or x.c1 <> component)"
-    found = rows.join(held, "key").withColumn("held", F.expr(f"filter(held, x -> {fits})")).filter("size(held) > 0")
+    found = c.join_counted(rows, c.cut(held, "op2-classes"), ["key"], "size", ["held"], ["node", "k1"])
+    found = found.withColumn("held", F.expr(f"filter(held, x -> {fits})")).filter("size(held) > 0")
     smaller = F.expr("transform(filter(held, x -> x.n0 <= n), x -> x.class)")
     pairs = F.expr("aggregate(filter(held, x -> x.n0 <= n), 0L, (a, x) -> a + x.n_rows)")
-    return c.cut(found.select("key", "node", "k1", "n", "component", "m", "most", "class", smaller.alias("classes"), pairs.alias("pairs")), "op2-contested")
+    return c.cut(found.select("key", "node", "k1", "n", "component", "m", "most", "bits", "class", smaller.alias("classes"), pairs.alias("pairs")), "op2-contested")
 
 
 def pairs_of(rows: DataFrame) -> DataFrame:
-    """Pairs of one bucket, different components and mutually possible sizes, the larger set first."""
-    a = rows.select("key", F.explode("classes").alias("class"), F.col("node").alias("a"), F.col("k1").alias("ka"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("component").alias("ca"))
-    b = rows.select("key", "class", F.col("node").alias("b"), F.col("k1").alias("kb"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"))
-    near = a.join(b, ["key", "class"]).filter(f"ca <> cb and na >= nb and {DEN} * nb >= {NUM} * na and nb <= ma and na <= mb and (na > nb or a < b)")
+    """Pairs of one bucket, different components and mutually possible sizes whose bitmaps allow a link, the larger set first."""
+    side = lambda x, *more: rows.select("key", *more, F.col("node").alias(x), *[F.col(y).alias(f"{z}{x}") for y, z in (("k1", "k"), ("n", "n"), ("m", "m"), ("most", "o"), ("bits", "s"), ("component", "c"))])
+    apart = " + ".join(f"bit_count(sa[{i}] ^ sb[{i}])" for i in range(SIGNATURE // 64))
+    sizes = f"ca <> cb and na >= nb and {DEN} * nb >= {NUM} * na and nb <= oa and na <= ob and (na > nb or a < b)"
+    near = side("a", F.explode("classes").alias("class")).join(side("b", "class"), ["key", "class"])
+    near = near.filter(f"{sizes} and {NUM + DEN} * ({apart}) <= {NUM + DEN} * (ma + mb) - {2 * NUM} * (na + nb)")
     return near.select("a", "ka", "b", "kb", F.lit(1).cast("long").alias("lots"))
 
 
@@ -186,8 +191,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = held.join(nodes, ["k1", "k2"])
     entries = c.cut(own.filter("doc_id = node").dropDuplicates(["k1", "k2"]).select("node", "k1", "n", F.explode("bands").alias("key")), "op2-entries")
     least = F.min(F.struct("node", "k1"))
-    buckets = entries.groupBy("key").agg(least.alias("leader"), F.count("*").alias("size")).filter("size > 1").select("key", "leader", "size")
-    hot = c.cut(entries.join(buckets, "key"), "op2-buckets")
+    buckets = c.cut(entries.groupBy("key").agg(least.alias("leader"), F.count("*").alias("size")).filter("size > 1"), "op2-leaders")
+    hot = c.cut(c.join_counted(entries, buckets, ["key"], "size", ["leader", "size"], ["node", "k1"]), "op2-buckets")
     used = hot.select(F.col("node").alias("doc_id")).distinct()
     sets = c.cut(docs.join(used, "doc_id", "left_semi").mapInArrow(full_sets, SETS_DDL).dropDuplicates(["node", "k1"]), "op2-sets")
     c.drop(entries)
