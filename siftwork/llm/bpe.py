@@ -2,16 +2,18 @@
 
 The encodings of texts form a monoid under join: a text is halved until its pieces have LEAF characters at most,
 the pieces are encoded, and neighbours are joined up the tree. A join encodes anew only a window around the
-boundary, grown on either side to the nearest fixed point: a blank after a character that isn't white space. In
-the pattern (public_tokenizers.PATTERN) a blank stands only first in a match or in a run of white space, so some
-match always ends at a fixed point; it would have ended there at the end of a text too, and matching goes on from
-there without looking back. Encoding therefore distributes over the cut at a fixed point, tokens outside the window
-are final, and the result equals that of encoding the text at once. A side without a fixed point is taken whole.
+boundary, grown on either side in doubling steps until it reaches a fixed point, where tokens outside are final:
+- after a letter that no letter follows, and after a digit that none follows: no match of the pattern (public_tokenizers.PATTERN) goes on from a
+  letter or digit to anything else, so whatever match holds it ends there;
+- before a blank after a character that isn't white space: a blank stands only first in a match or in a run of white space.
+At a fixed point some match always ends; it would have ended there at the end of a text too, and matching goes on from
+there without looking back. Encoding therefore distributes over the cut, and the result equals that of encoding the text at
+once. A side without a fixed point is one run of letters, digits, marks or white space, a single match, and is taken whole.
 
 Decoding concatenates bytes up the tree.
 
-Defined cases: null text is empty (no tokens); texts of any length and content; repeated rows are kept; extra columns are
-ignored.
+Defined cases: null text is empty (no tokens); null doc_id is kept; texts of any length and content; repeated rows are encoded one by
+one and kept; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ import base64
 import hashlib
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 
-VOCABULARY, LEAF = "byte_bpe_multi_50k.tiktoken", 4096
+VOCABULARY, LEAF, WINDOW = "byte_bpe_multi_50k.tiktoken", 1024, 64
+#: A fixed point is where this matches: the place before its match, one character of context on either side.
+FIXED = regex.compile(r"(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])|(?<=\S)(?= )")
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 DIGESTS_DDL = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -50,18 +55,32 @@ class TreeCodec:
         mid = (lo + hi) // 2
         return self._join(text, lo, mid, hi, self._encode(text, lo, mid), self._encode(text, mid, hi))
 
+    @staticmethod
+    def _fixed_before(text: str, lo: int, mid: int) -> int:
+        """The last fixed point between lo and mid; lo if there is none."""
+        width, at = WINDOW, mid
+        while at > lo:
+            at, seen = max(lo, mid - width), at
+            found = [m.start() for m in FIXED.finditer(text, max(lo, at - 1), min(mid, seen + 1)) if lo < m.start() < mid]
+            if found:
+                return found[-1]
+            width *= 2
+        return lo
+
+    @staticmethod
+    def _fixed_after(text: str, mid: int, hi: int) -> int:
+        """The first fixed point after mid; hi if there is none."""
+        width, at = WINDOW, mid
+        while at < hi:
+            seen, at = at, min(hi, mid + width)
+            found = next((m.start() for m in FIXED.finditer(text, max(mid, seen - 1), at) if mid < m.start()), None)
+            if found is not None:
+                return found
+            width *= 2
+        return hi
+
     def _join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
-        a = mid
-        while True:  # grow the window to the left
-            a = text.rfind(" ", lo + 1, a)
-            if a < 0 or not text[a - 1].isspace():
-                break
-        b = mid
-        while True:  # and to the right
-            b = text.find(" ", b + 1, hi)
-            if b < 0 or not text[b - 1].isspace():
-                break
-        a, b = (lo if a < 0 else a), (hi if b < 0 else b)
+        a, b = self._fixed_before(text, lo, mid), self._fixed_after(text, mid, hi)
         encode = self.flat.encode_ordinary
         keep = len(left) - len(encode(text[a:mid]))
         skip = len(encode(text[mid:b]))
