@@ -1,8 +1,8 @@
 """Packing along a Hilbert curve.
 
 Each document is tokenized and gets a hashed vector: its token ids counted in BUCKETS buckets, square-rooted and
-normed. A fixed random projection takes it to DIMS dimensions, whose cell on a grid of 2**BITS steps a side gives
-the Hilbert key. Documents are range-partitioned by (key, doc_id), so that a large group of equal documents is
+normed. A fixed random projection takes it to DIMS dimensions; these are centred and scaled by their mean and deviation over all documents, as
+counts are never negative and would else share one corner of the space. The cell on a grid of 2**BITS steps a side gives the Hilbert key. Documents are range-partitioned by (key, doc_id), so that a large group of equal documents is
 spread over partitions too, and sorted by it; each partition is cut into sequences of LENGTH tokens in that order,
 so neighbours on the curve share sequences. What is left at a partition's end is dealt to sequences whose sizes
 are the powers of two that sum to it; those need no padding.
@@ -24,6 +24,7 @@ import zlib
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,8 +35,9 @@ from . import common as c
 LENGTH, END_ID, VOCABULARY = 2048, 1, "word_bpe_49k.json"
 BUCKETS, DIMS, BITS, SEED = 256, 3, 10, 20240501
 MEMO = 1_000_000
-TOKENS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("ids", pa.binary())])
-TOKENS_DDL = "doc_id bigint, key bigint, ids binary"
+AXES = [f"p{i}" for i in range(DIMS)]
+TOKENS = pa.schema([("doc_id", pa.int64()), *((a, pa.float64()) for a in AXES), ("ids", pa.binary())])
+TOKENS_DDL = "doc_id bigint, " + ", ".join(f"{a} double" for a in AXES) + ", ids binary"
 PIECES = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_tokens", pa.int64()), ("sequence_length", pa.int64())]
 PIECES_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint, sequence_length bigint"
 #: ASCII marks (but the apostrophe), of which the tokenizer makes words of their own after a word that still ends with a letter or
@@ -69,8 +71,8 @@ class WordEncoder:
             if len(last) != len(some) or last[-1] != len(ids):
                 alone += some
                 continue
-            ids = ids.astype(self.kind)
-            self.words.update(zip(some, [x.tobytes() for x in np.split(ids, last[:-1])]))
+            blob, ends = ids.astype(self.kind).tobytes(), (last * np.dtype(self.kind).itemsize).tolist()
+            self.words.update(zip(some, [blob[a:b] for a, b in zip([0, *ends], ends)]))
         for w, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False) if alone else []):
             self.words[w] = np.array(e.ids, self.kind).tobytes()
 
@@ -142,14 +144,30 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(docs: list[np.ndarray]) -> np.ndarray:
-    """Hilbert key of each document's ids."""
+def projected(docs: list[np.ndarray]) -> np.ndarray:
+    """(n, DIMS) coordinates of each document's ids."""
     project = np.random.default_rng(SEED).standard_normal((BUCKETS, DIMS))
     counts = np.stack([np.bincount((d.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24), minlength=BUCKETS) for d in docs])
     v = np.sqrt(counts)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    at = v @ project  # of unit vectors: standard normal, about
-    return hilbert(np.clip((at + 3) / 6 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64))
+    return v @ project
+
+
+def cells(at: np.ndarray, mean: np.ndarray, dev: np.ndarray) -> np.ndarray:
+    """Grid cells of coordinates, three deviations to either side of the mean."""
+    z = (at - mean) / np.maximum(dev, 1e-9)
+    return np.clip((z + 3) / 6 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+
+
+def keyed(tokens: DataFrame) -> DataFrame:
+    """tokens with the Hilbert key of their coordinates, centred over the whole table."""
+    figures = tokens.agg(*[f(a) for f in (F.avg, F.stddev_pop) for a in AXES]).first()
+    mean, dev = np.array([x or 0.0 for x in figures]).reshape(2, DIMS)
+
+    def key(*axes: pd.Series) -> pd.Series:
+        return pd.Series(hilbert(cells(np.stack([a.to_numpy() for a in axes], 1), mean, dev)))
+
+    return tokens.withColumn("key", F.pandas_udf(key, "bigint", F.PandasUDFType.SCALAR)(*AXES)).select("doc_id", "key", "ids")
 
 
 def tokenized(path: str, end_id: int):
@@ -159,8 +177,8 @@ def tokenized(path: str, end_id: int):
         for batch in batches:
             for part, texts in c.grouped(batch):
                 blobs = [b + end for b in enc.encode([t.decode() if t else "" for t in texts])]
-                keys = curve_keys([np.frombuffer(b, enc.kind) for b in blobs])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], schema=TOKENS)
+                at = projected([np.frombuffer(b, enc.kind) for b in blobs])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(at[:, i]) for i in range(DIMS)), pa.array(blobs, pa.binary())], schema=TOKENS)
 
     return run
 
@@ -225,7 +243,7 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, vocabulary
     kind = encoder(path).kind
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     tokens = c.cut(docs.mapInArrow(tokenized(path, end_id), TOKENS_DDL), "op1-tokens")
-    ordered = tokens.repartitionByRange(c.parts_for(tokens), "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
+    ordered = keyed(tokens).repartitionByRange(c.parts_for(tokens), "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
     return ordered.mapInArrow(packed(length, kind, with_ids), PIECES_DDL + (", ids binary" if with_ids else ""))
 
 

@@ -88,3 +88,17 @@ def test_neighbours_share_sequences(spark):
     rows = packing.pack(df).collect()
     order = [r.doc_id % 2 for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
     assert sum(x != y for x, y in zip(order, order[1:])) <= 6
+
+
+def test_curve_keeps_like_documents_together(spark, tok):
+    """Documents over four vocabularies: neighbours along the curve share one far more often than chance, and the grid is used."""
+    rng = random.Random(3)
+    words = [["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)] for _ in range(4)]
+    texts = [" ".join(rng.choice(words[i % 4]) for _ in range(80)) for i in range(400)]
+    rows = [r for r in packing.pack(frame(spark, texts)).collect() if r.start == 0]
+    order = [r.doc_id % 4 for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset))]
+    assert sum(x == y for x, y in zip(order, order[1:])) > 0.8 * len(order)
+    enc = packing.WordEncoder(common.tokenizer_path(packing.VOCABULARY))
+    at = packing.projected([np.frombuffer(b, enc.kind) for b in enc.encode(texts)])
+    cell = packing.cells(at, at.mean(0), at.std(0))
+    assert (np.ptp(cell, axis=0) > 400).all()
