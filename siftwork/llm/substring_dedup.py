@@ -10,12 +10,12 @@ at i and j hold the same seed at i+d and j+d, and both places are hashed. Hence:
 2. a window is looked at only if it contains such a shared anchor: it is extended to its full WINDOW words,
    hashed to 96 bits and exchanged, giving the windows that also start in a smaller document.
 
-Both exchanges send, for each group of documents and hash, one row at most to the hash's part. What repeats
-within a group is decided there and never sent, so a passage in a third of all documents costs a row per group
-and not per document.
+Both exchanges collect SEND_HASHES hashes of a task and send, for each part that some of them belong to, one row with them packed: never more rows
+than hashes. What repeats within such a group is decided there and never sent, so a passage in a third of all documents costs an entry
+per group and not per document. A part holds the hashes of about PART_BYTES of text at any size of the corpus.
 
 Defined cases: null text has no words; rows with null doc_id neither remove nor lose words; rows that share a
-doc_id count as one document (an equal id isn't smaller); extra columns are ignored.
+doc_id count as one document (an equal id isn't smaller); an empty table gives no rows; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ from . import common as c
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 SEED = WINDOW - PERIOD + 1
 #: Hash parts follow the input's size alone: a document gets a row from each part that finds some of its hashes.
-LEAST_PARTS, PART_BYTES = 64, 256 << 20
+LEAST_PARTS, PART_BYTES = 64, 64 << 20
+#: Hashes of a group that is sent at once; it holds SEND_DOCS documents at most, so that their numbers fit 16 bits.
+SEND_HASHES, SEND_DOCS = 1 << 20, 60_000
 MULTI = 0xFFFF  # an entry whose hash is shared within its group already
 PARTS = pa.schema([("route", pa.int32()), ("direct", pa.bool_()), ("h", pa.binary()), ("g", pa.binary()), ("d", pa.binary()), ("ids", pa.binary())])
 PARTS_DDL = "route int, direct boolean, h binary, g binary, d binary, ids binary"
@@ -81,19 +83,47 @@ def send(h: np.ndarray, g: np.ndarray | None, d: np.ndarray, ids: np.ndarray, pa
         ds[sizes > 1] = MULTI
     route = (hs % np.uint64(parts)).astype(np.int64)
     order = np.argsort(route, kind="stable")
-    cuts = np.searchsorted(route[order], np.arange(parts + 1))
-    for p in range(parts):
-        at = order[cuts[p] : cuts[p + 1]]
-        if len(at):
-            used, local = np.unique(ds[at], return_inverse=True)
-            known = used != MULTI
-            # document numbers are dealt anew for the ids that this row really names
-            names = ids[used[known].astype(np.int64)]
-            local = np.where(ds[at] == MULTI, MULTI, local).astype("<u2")
-            rows.append((p, False, hs[at].tobytes(), None if gs is None else gs[at].tobytes(), local.tobytes(), names.tobytes()))
+    dealt = route[order]
+    firsts = np.flatnonzero(np.append(True, dealt[1:] != dealt[:-1])) if len(dealt) else np.empty(0, np.int64)
+    for a, b in zip(firsts.tolist(), np.append(firsts[1:], len(dealt)).tolist()):
+        at = order[a:b]
+        used, local = np.unique(ds[at], return_inverse=True)
+        known = used != MULTI
+        # document numbers are dealt anew for the ids that this row really names
+        names = ids[used[known].astype(np.int64)]
+        local = np.where(ds[at] == MULTI, MULTI, local).astype("<u2")
+        rows.append((int(dealt[a]), False, hs[at].tobytes(), None if gs is None else gs[at].tobytes(), local.tobytes(), names.tobytes()))
     return rows
 
 
+class Group:
+    """Hashes and ids of documents until there are enough to send."""
+
+    def __init__(self, parts: int, smallest: bool):
+        self.parts, self.smallest = parts, smallest
+        self.clear()
+
+    def clear(self) -> None:
+        self.h, self.g, self.d, self.size, self.docs = [], [], [], 0, 0
+
+    def add(self, h: np.ndarray, g: np.ndarray | None, d: np.ndarray, docs: int) -> bool:
+        """Takes hashes with their doc_ids; whether there are enough."""
+        self.h.append(h)
+        self.d.append(d)
+        if g is not None:
+            self.g.append(g)
+        self.size, self.docs = self.size + len(h), self.docs + docs
+        return self.size >= SEND_HASHES or self.docs > SEND_DOCS - c.GROUP_DOCS
+
+    def rows(self):
+        if self.size:
+            ids, number = np.unique(np.concatenate(self.d), return_inverse=True)
+            sent = send(np.concatenate(self.h), np.concatenate(self.g) if self.g else None, number, ids, self.parts, self.smallest)
+            self.clear()
+            for i in range(0, len(sent), 1000):  # batches of bounded length
+                yield c.rows_of(PARTS, list(zip(*sent[i : i + 1000])))
+
+
 def meet(smallest: bool):
     """The receiving end of send(): per document, the hashes found."""
 
@@ -150,25 +180,20 @@ def exchanged(sent: DataFrame, smallest: bool) -> DataFrame:
     return met.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
 
 
-def numbered(doc_ids: list[int | None], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ids ascending, the number of each row's id among them, and which rows have an id."""
-    known = np.array([i is not None for i in doc_ids], bool)
-    ids, number = np.unique(np.array([i or 0 for i in doc_ids], np.int64), return_inverse=True)
-    return ids, number, known
-
-
 def send_anchors(parts: int):
     def run(batches):
+        group = Group(parts, False)
         for batch in batches:
             for part, texts in c.grouped(batch):
-                ids, number, known = numbered(part.column("doc_id").to_pylist(), None)
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 w, counts = hashed(texts)
                 counts_of = np.repeat(np.arange(len(counts)), counts)
                 pos = c.ranges(counts)
                 h = c.ngram_hashes(w, SEED)
-                at = np.flatnonzero(at_cover(pos[: len(h)]) & (pos[: len(h)] + SEED <= counts[counts_of[: len(h)]]) & known[counts_of[: len(h)]])
-                if len(at):
-                    yield c.rows_of(PARTS, list(zip(*send(h[at], None, number[counts_of[at]], ids, parts, False))))
+                at = np.flatnonzero(at_cover(pos[: len(h)]) & (pos[: len(h)] + SEED <= counts[counts_of[: len(h)]]))
+                if group.add(h[at], None, ids[counts_of[at]], len(texts)):
+                    yield from group.rows()
+        yield from group.rows()
 
     return run
 
@@ -205,19 +230,19 @@ def window_hashes(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def send_windows(parts: int):
     def run(batches):
+        group = Group(parts, True)
         for batch in batches:
             for part, texts in c.grouped(batch):
-                ids, number, _ = numbered(part.column("doc_id").to_pylist(), None)
-                hs, gs, ds = [], [], []
-                for k, text, runs in zip(number, texts, part.column("runs").to_pylist()):
+                full = False
+                for doc_id, text, runs in zip(part.column("doc_id").to_pylist(), texts, part.column("runs").to_pylist()):
                     w = c.word_hashes(text.split())
                     for a, b in np.frombuffer(runs, "<i4").reshape(-1, 2):
                         h, g = window_hashes(w[a : b + WINDOW - 1])
-                        hs.append(h)
-                        gs.append(g)
-                        ds.append(np.full(len(h), k))
-                if hs:
-                    yield c.rows_of(PARTS, list(zip(*send(np.concatenate(hs), np.concatenate(gs), np.concatenate(ds), ids, parts, True))))
+                        full |= group.add(h, g, np.full(len(h), doc_id), 0)
+                    group.docs += 1
+                if full or group.docs > SEND_DOCS - c.GROUP_DOCS:
+                    yield from group.rows()
+        yield from group.rows()
 
     return run
 
