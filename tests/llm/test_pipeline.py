@@ -1,11 +1,12 @@
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from siftwork.llm import common, packing
 
 from . import test_line_dedup, test_minhash, test_packing, test_secrets
-from .helpers import frame
+from .helpers import HOSTILE, frame
 
 
 def texts():
@@ -41,6 +42,23 @@ def test_stages_against_brute_force(spark, tmp_path):
     test_packing.check(corpus_pipeline.run(spark, str(tmp_path)).collect(), {i: r.text for i, r in after["secret_scan"].items()}, tok)
 
 
+def test_hostile_rows_through_every_stage(spark, tmp_path):
+    """Null ids and texts, repeated rows, very long texts, clashing columns; then no rows at all."""
+    clash = ["lang_pred", "score", "n_lines", "n_dropped", "base", "spans", "candidates", "row", "node", "key", "kept", "component", "ids", "gone", "__t", "a.b"]
+    texts = [t for t in HOSTILE if t != "\x00\x01\x1c\x1f\x85 z"] + ["clean words of a plain text that says something " * 3] * 2
+    df = frame(spark, texts, extra=False).selectExpr("*", *[f"'{x}' as `{x}`" for x in clash])
+    df = df.unionAll(df.limit(5)).unionAll(df.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("source", F.lit(None).cast("string"))
+    for rows in (df, df.limit(0)):
+        docs = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.cut(stage(spark, docs, str(tmp_path)), "hostile")
+            assert docs.columns == df.columns
+            assert {r[x] for r in docs.collect() for x in clash} <= set(clash)
+            assert docs.filter(" or ".join(f"`{x}` <> '{x}'" for x in clash)).isEmpty()
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert bool(pieces) == (docs.count() > 0)
+
+
 def test_entry_registers_all(spark):
     import __spark_entry__ as e
 
