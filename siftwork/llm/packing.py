@@ -167,7 +167,7 @@ def keyed(tokens: DataFrame) -> DataFrame:
     def key(*axes: pd.Series) -> pd.Series:
         return pd.Series(hilbert(cells(np.stack([a.to_numpy() for a in axes], 1), mean, dev)))
 
-    return tokens.withColumn("key", F.pandas_udf(key, "bigint", F.PandasUDFType.SCALAR)(*AXES)).select("doc_id", "key", "ids")
+    return tokens.withColumn("key", F.pandas_udf(key, "bigint")(*AXES)).select("doc_id", "key", "ids")
 
 
 def tokenized(path: str, end_id: int):
