@@ -131,12 +131,17 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
 HEAVY = 10_000
 
 
-def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, values: list[str], spread: list[str]) -> DataFrame:
+def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, values: list[str], spread: list[str] | None = None) -> DataFrame:
     """Inner join of rows with per_key (a written table: one row for each key, with `weight`, the number of its rows) without a hot task:
-    heavy keys, HEAVY at most by the way they are chosen, are broadcast, and their rows are dealt by the columns `spread`; the first of
-    the keys is a long. Every row crosses the network once."""
+    heavy keys, HEAVY at most by the way they are chosen, are broadcast. With `spread`, rows are read once and those of heavy keys are dealt
+    by these columns; the first of the keys is a long. Without, rows are a written table that is read twice, and only the others
+    cross the network."""
     total = per_key.agg(F.sum(weight)).first()[0] or 0
     is_heavy = F.col(weight) * HEAVY >= total
+    if spread is None:
+        few, rest = F.broadcast(per_key.filter(is_heavy).select(*keys, *values)), per_key.filter(~is_heavy).select(*keys, *values)
+        others = rows.join(few.select(*keys), keys, "left_anti").join(rest.hint("merge"), keys)  # `rest` grows with the rows: no broadcast at any size
+        return rows.join(few, keys).unionByName(others)
     found = F.struct(*values)
     heavy = F.broadcast(per_key.filter(is_heavy).select(*[F.col(k).alias(f"__h_{k}") for k in keys], found.alias("__heavy")))
     light = per_key.filter(~is_heavy).select(*[F.col(k).alias(f"__l_{k}") for k in keys], found.alias("__light"), F.lit(True).alias("__l_only"))

@@ -164,7 +164,7 @@ def contested(rows: DataFrame, sets: DataFrame) -> DataFrame:
     classes = rows.groupBy("key", "class").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("most").alias("most1"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n_rows"))
     held = classes.groupBy("key").agg(F.sum("n_rows").alias("size"), F.collect_list(F.struct("class", "n0", "n1", "most1", "c0", "c1", "n_rows")).alias("held"))  # an entry for each class of sizes
     fits = f"x.n0 <= most and {DEN} * x.n1 >= {NUM} * n and x.most1 >= n and {NUM} * x.n0 <= {DEN} * n and (x.c0 <> component or x.c1 <> component)"
-    found = c.join_counted(rows, c.cut(held, "op2-classes"), ["key"], "size", ["held"], ["node", "k1"])
+    found = c.join_counted(rows, c.cut(held, "op2-classes"), ["key"], "size", ["held"])
     found = found.withColumn("held", F.expr(f"filter(held, x -> {fits})")).filter("size(held) > 0")
     smaller = F.expr("transform(filter(held, x -> x.n0 <= n), x -> x.class)")
     pairs = F.expr("aggregate(filter(held, x -> x.n0 <= n), 0L, (a, x) -> a + x.n_rows)")
@@ -192,10 +192,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     entries = c.cut(own.filter("doc_id = node").dropDuplicates(["k1", "k2"]).select("node", "k1", "n", F.explode("bands").alias("key")), "op2-entries")
     least = F.min(F.struct("node", "k1"))
     buckets = c.cut(entries.groupBy("key").agg(least.alias("leader"), F.count("*").alias("size")).filter("size > 1"), "op2-leaders")
-    hot = c.cut(c.join_counted(entries, buckets, ["key"], "size", ["leader", "size"], ["node", "k1"]), "op2-buckets")
+    hot = c.cut(c.join_counted(entries, buckets, ["key"], "size", ["leader", "size"]), "op2-buckets")
+    c.drop(entries, buckets)
     used = hot.select(F.col("node").alias("doc_id")).distinct()
     sets = c.cut(docs.join(used, "doc_id", "left_semi").mapInArrow(full_sets, SETS_DDL).dropDuplicates(["node", "k1"]), "op2-sets")
-    c.drop(entries)
     c.release(spark)
     led = hot.filter("leader <> struct(node, k1)").select(F.col("leader.node").alias("a"), F.col("leader.k1").alias("ka"), F.col("node").alias("b"), F.col("k1").alias("kb"), F.expr(f"size div {LEADER_ROWS} + 1").alias("lots"))
     links = links_of(led, sets)
