@@ -46,7 +46,8 @@ def similar_pairs(blocks: DataFrame, threshold: int, by: str = "project_id") ->
     rows = heads.select(by, "block", F.col("head").alias("image_id"), "hash", F.explode(bands).alias("x")).select(by, "block", "image_id", "hash", "x.band", "x.key")
     a = rows.select(by, "block", "band", "key", F.col("image_id").alias("a"), F.col("hash").alias("ha"))
     b = rows.select(by, "block", "band", "key", F.col("image_id").alias("b"), F.col("hash").alias("hb"))
-    pairs = a.join(b, [by, "block", "band", "key"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= threshold))
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in (by, "block", "band", "key")]
+    pairs = a.alias("l").join(b.alias("r"), [*same, F.col("a") < F.col("b"), hamming(F.col("ha"), F.col("hb")) <= threshold])
     return pairs.select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("distance")).distinct().unionByName(copies)
 
 

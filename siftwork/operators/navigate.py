@@ -23,9 +23,10 @@ def next_untagged(ranked: DataFrame, tagged: DataFrame, by: str = "project_id")
     """next_untagged: the next row without a tag, one lap at most and the row itself last; null if all are tagged."""
     flags = ranked.join(tagged.select("image_id").distinct().withColumn("__tagged", F.lit(True)), "image_id", "left")
     free = F.when(F.col("__tagged").isNull(), F.col("image_id"))
-    w = _order(by)
-    after = F.first(free, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    before = F.first(free, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # the last one of those after the row, from behind: frames that start at the partition's start are read once
+    behind = Window.partitionBy(by).orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(free, ignorenulls=True).over(behind)
+    before = F.first(free, ignorenulls=True).over(_order(by).rowsBetween(Window.unboundedPreceding, 0))
     return flags.withColumn("next_untagged", F.coalesce(after, before)).drop("__tagged")
 
 

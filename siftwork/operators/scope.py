@@ -86,7 +86,7 @@ def exclude(rows: DataFrame, tags: DataFrame, image_tags: DataFrame, names: list
     bad = tags.filter(fold(F.col("name")).isin([folded(n) for n in names]))
     if scope_tag is not None:
         bad = bad.filter(F.col("tag_id") != scope_tag)
-    gone = image_tags.join(F.broadcast(bad.select("tag_id")), "tag_id", "left_semi").select("image_id")
+    gone = image_tags.join(bad.select("tag_id"), "tag_id", "left_semi").select("image_id")
     return rows.join(gone, "image_id", "left_anti")
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.plans.lineage import cut
+
 
 def preselection_size(multiple: float, count: int, candidates: int) -> int:
     """min(ceil(max(1.5, multiple) * count), candidates); 0 if count or candidates is none."""
@@ -40,38 +41,31 @@ def browse_rank(items: DataFrame, by: str = "project_id") -> DataFrame:
     return items.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc_nulls_last("captured_at"), "file_path", "image_id")))
 
 
-def farthest_points(ids: list[int], times: list[int | None], count: int) -> list[int]:
-    """Latest first, then whichever is farthest in time from all chosen; ties go to the smaller id. Items without a time
-    come only when no timed one is left, by id."""
-    left = sorted((i, t) for i, t in zip(ids, times) if t is not None and t == t)
-    untimed = sorted(i for i, t in zip(ids, times) if t is None or t != t)
-    chosen: list[int] = []
-    if left and count > 0:
-        seed = max(left, key=lambda x: (x[1], -x[0]))
-        near = {i: abs(t - seed[1]) for i, t in left}
-        at = dict(left)
-        chosen, near = [seed[0]], {i: d for i, d in near.items() if i != seed[0]}
-        while near and len(chosen) < count:
-            nxt = min(near, key=lambda i: (-near[i], i))
-            del near[nxt]
-            chosen.append(nxt)
-            for i in near:
-                near[i] = min(near[i], abs(at[i] - at[nxt]))
-    return (chosen + untimed)[: max(count, 0)]
+#: Rounds of the farthest-point choice between two lineage cuts.
+CUT_EVERY = 4
 
 
 def diverse_top(candidates: DataFrame, count: int, by: str = "project_id", id_col: str = "winner") -> DataFrame:
-    """by, ordinal, id: farthest-point selection of `count` candidates in each project. The choice of the next item depends on all
-    before it, so a project is one group; count is small, and only id and time are sent."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        times = [None if pd.isna(t) else int(t) for t in group["captured_at"]]
-        picked = farthest_points([int(i) for i in group[id_col]], times, count)
-        return pd.DataFrame({by: group[by].iloc[0], "ordinal": range(1, len(picked) + 1), id_col: picked})
-
-    # captured_at may be null: as text it keeps its precision in pandas
-    slim = candidates.select(by, id_col, F.col("captured_at").cast("string").alias("captured_at"))
-    return slim.groupBy(by).applyInPandas(run, f"{by} bigint, ordinal bigint, {id_col} bigint")
+    """by, ordinal, id: `count` candidates of each project, the latest first, then whichever is farthest in time from all chosen; ties
+    go to the smaller id. Those without a time come only when no timed one is left, by id. A round is one aggregation over all
+    projects with what is chosen so far, `count` values for a project at most, joined to its candidates; no project is one group."""
+    count = max(count, 0)
+    slim = cut(candidates.select(by, F.col(id_col).cast("long").alias("id"), F.col("captured_at").cast("long").alias("t")), "diverse")
+    timed = slim.filter("t is not null")
+    last = F.max_by(F.struct("id", "t"), F.struct("t", -F.col("id")))
+    chosen = timed.groupBy(by).agg(F.array(last).alias("chosen"))
+    for k in range(1, count):
+        far = timed.join(chosen, by).filter("not exists(chosen, x -> x.id = id)").withColumn("d", F.expr("array_min(transform(chosen, x -> abs(x.t - t)))"))
+        nxt = far.groupBy(by).agg(F.max_by(F.struct("id", "t"), F.struct("d", -F.col("id"))).alias("next"))
+        chosen = chosen.join(nxt, by, "left").select(by, F.expr("if(next is null, chosen, concat(chosen, array(next)))").alias("chosen"))
+        if k % CUT_EVERY == 0:
+            chosen = cut(chosen, "diverse")
+    picked = chosen.select(by, F.posexplode("chosen").alias("k", "x")).select(by, (F.col("k") + 1).cast("long").alias("ordinal"), F.col("x.id").alias(id_col))
+    held = chosen.select(by, F.size("chosen").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("id"))
+    untimed = slim.filter("t is null").withColumn("k", rank).filter(F.col("k") <= count).join(held, by, "left")
+    rest = untimed.select(by, (F.coalesce("n", F.lit(0)) + F.col("k")).cast("long").alias("ordinal"), F.col("id").alias(id_col))
+    return picked.unionByName(rest).filter(F.col("ordinal") <= count)
 
 
 def delivered(chosen: DataFrame, candidates: DataFrame, by: str = "project_id", id_col: str = "winner") -> DataFrame:

@@ -43,39 +43,51 @@ def single_elimination(members: list[int], compare: Compare, fallback: int) -> t
 
 
 def top_k(members: list[int], compare: Compare, k: int) -> tuple[list[int] | None, int]:
-    """The k best in order, and comparisons made; None if a comparison failed. A tree over the members keeps each match's winner;
-    a winner that leaves is replaced along its own path only."""
+    """The k best in order, and comparisons made; None if a comparison failed. The bracket pairs neighbours round by round and lets an odd last
+    one through; each match keeps its winner, and when a winner leaves, only the matches along its own path are played again."""
     m = len(members)
     k = max(0, min(k, m))
     made = 0
     if not k:
         return [], 0
-    tree: list[int | None] = [None] * m + list(range(m))
-
-    def play(node: int) -> bool:
+    sides: dict[int, tuple[int, int]] = {}
+    above: dict[int, int] = {}
+    alive, node = list(range(m)), m
+    while len(alive) > 1:
+        through = [alive[-1]] if len(alive) % 2 else []
+        nxt = []
+        for pair in zip(alive[::2], alive[1::2]):
+            sides[node] = pair
+            above[pair[0]] = above[pair[1]] = node
+            nxt.append(node)
+            node += 1
+        alive = nxt + through
+    final = alive[0]
+    best: list[int | None] = [*range(m), *[None] * (node - m)]
+
+    def play(match: int) -> bool:
         nonlocal made
-        a, b = tree[2 * node], tree[2 * node + 1]
+        a, b = (best[x] for x in sides[match])
         if a is None or b is None:
-            tree[node] = b if a is None else a
+            best[match] = b if a is None else a
             return True
         made += 1
         better = compare(members[a], members[b])
-        tree[node] = a if better else b
+        best[match] = a if better else b
         return better is not None
 
-    if not all(play(i) for i in range(m - 1, 0, -1)):
+    if not all(map(play, range(m, node))):
         return None, made
     out: list[int] = []
     while True:
-        best = tree[1] if m > 1 else 0
-        out.append(members[best])
+        top = best[final]
+        out.append(members[top])
         if len(out) == k:
             return out, made
-        node = best + m
-        tree[node] = None
-        while node > 1:
-            node //= 2
-            if not play(node):
+        best[top], at = None, top
+        while at in above:
+            at = above[at]
+            if not play(at):
                 return None, made
 
 
@@ -88,18 +100,59 @@ def without_pictures(a: dict, b: dict) -> bool:
     return late(a) > late(b) if late(a) != late(b) else a["id"] < b["id"]
 
 
-def elimination_winners(groups: DataFrame, score: str, by: list[str], id_col: str = "image_id") -> DataFrame:
-    """by, winner, comparisons: single elimination in each group, members in order of id; the larger score wins."""
+#: A comparator over rows: dicts of a member's columns. True if the first is better, False if the second; None or an error: failed.
+CompareRows = Callable[[dict, dict], bool | None]
+
+
+def judged(compare: CompareRows, rows: list[dict]) -> Compare:
+    """The comparator over members' places. Members that can't be decoded (a column `decodable` that is false) are never shown to it."""
+
+    def one(a: int, b: int) -> bool | None:
+        x, y = rows[a], rows[b]
+        if not (x.get("decodable", True) and y.get("decodable", True)):
+            side = lambda r: {"decodable": bool(r.get("decodable", True)), "captured_at": r.get("captured_at"), "id": r["image_id"]}
+            return without_pictures(side(x), side(y))
+        try:
+            return compare(x, y)
+        except Exception:  # the comparator is the caller's; its failure is a failed comparison
+            return None
+
+    return one
+
+
+def _members(pdf: pd.DataFrame) -> list[dict]:
+    ordered = pdf.sort_values("image_id").astype(object)
+    return ordered.where(ordered.notna(), None).to_dict("records")
+
+
+def eliminated(groups: DataFrame, compare: CompareRows, by: list[str]) -> DataFrame:
+    """by, winner, comparisons, failed: single elimination of each group's members (image_id, fallback and whatever else the comparator
+    looks at), in order of id. A failed comparison leaves the group's fallback as its winner. A group is one task: a model's time for a
+    comparison, not a group's size, is what bounds it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _members(pdf)
+        at, made, ok = single_elimination(list(range(len(rows))), judged(compare, rows), -1)
+        winner = rows[at]["image_id"] if ok else rows[0]["fallback"]
+        return pd.DataFrame([[*pdf[by].iloc[0], winner, made, not ok]], columns=[*by, "winner", "comparisons", "failed"])
+
+    kinds = dict(groups.dtypes)
+    return groups.groupBy(*by).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in by) + ", winner bigint, comparisons bigint, failed boolean")
+
+
+def top_k_in_groups(groups: DataFrame, compare: CompareRows, k: int, by: list[str]) -> DataFrame:
+    """by, rank, image_id, comparisons: the k best of each group by the comparator, in order of rank; a group in which a comparison failed has
+    one row without rank and image_id."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        value = dict(zip(pdf[id_col], pdf[score]))
-        winner, made, _ = single_elimination(pdf[id_col].tolist(), lambda a, b: bool(value[a] >= value[b]), pdf[id_col].iloc[0])
-        return pd.DataFrame([[*pdf[by].iloc[0], winner, made]], columns=[*by, "winner", "comparisons"])
+        rows = _members(pdf)
+        best, made = top_k(list(range(len(rows))), judged(compare, rows), k)
+        out = [(None, None)] if best is None else [(i, rows[m]["image_id"]) for i, m in enumerate(best, 1)]
+        done = pd.DataFrame([[*pdf[by].iloc[0], r, i, made] for r, i in out], columns=[*by, "rank", "image_id", "comparisons"])
+        return done.astype({"rank": "Int64", "image_id": "Int64"})
 
     kinds = dict(groups.dtypes)
-    ddl = ", ".join(f"{k} {kinds[k]}" for k in by) + f", winner {kinds[id_col]}, comparisons bigint"
-    return groups.groupBy(*by).applyInPandas(run, ddl)
+    return groups.groupBy(*by).applyInPandas(run, ", ".join(f"{x} {kinds[x]}" for x in by) + ", rank bigint, image_id bigint, comparisons bigint")
 
 
 def top_k_total_order(items: DataFrame, order: list, k: int, by: str) -> DataFrame:

@@ -150,7 +150,7 @@ def json_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _in_tag_order(spark: SparkSession, sf: str) -> DataFrame:
-    e = c.image_tags(spark, sf).join(F.broadcast(c.tags(spark, sf).select("tag_id", "is_ordered")), "tag_id")
+    e = c.image_tags(spark, sf).join(c.tags(spark, sf).select("tag_id", "is_ordered"), "tag_id")
     ordered = scope.in_tag_order(e.filter("is_ordered"), True)
     return ordered.unionByName(scope.in_tag_order(e.filter("not is_ordered"), False)).drop("is_ordered")
 
@@ -420,7 +420,8 @@ def tournament_winners(spark: SparkSession, sf: str) -> DataFrame:
     labels = cluster.group_labels(c.shots(spark, sf), SHOT_WINDOW, SHOT_BITS).withColumn("score", (F.col("image_id") * 7919) % 1009)
     keys = ["project_id", "block", "component"]
     several = labels.join(labels.groupBy(*keys).count().filter("count >= 2").drop("count"), keys, "left_semi")
-    return tournament.elimination_winners(several.select(*keys, "image_id", "score"), "score", keys)
+    rows = several.select(*keys, "image_id", "score", F.col("image_id").alias("fallback"))
+    return tournament.eliminated(rows, lambda a, b: a["score"] >= b["score"], keys).drop("failed")
 
 
 @query("SELECT project_id, image_id, rank FROM (SELECT project_id, image_id, row_number() OVER (PARTITION BY project_id ORDER BY (image_id * 7919) % 1009 DESC, image_id) AS rank FROM items) WHERE rank <= 5", "items")
@@ -440,8 +441,10 @@ SELECT l.project_id, l.image_id, t.champion IS NOT NULL AS selected FROM labelle
 def pick(spark: SparkSession, sf: str) -> DataFrame:
     """Champions of the groups, the best of them selected, all others rejected."""
     labels = cluster.group_labels(c.shots(spark, sf), SHOT_WINDOW, SHOT_BITS).withColumn("score", (F.col("image_id") * 7919) % 1009)
-    champions = labels.groupBy("project_id", "block", "component").agg(F.max_by("image_id", F.struct("score", -F.col("image_id"))).alias("image_id"), F.max("score").alias("score"))
-    best = tournament.top_k_total_order(champions, [F.desc("score"), F.col("image_id")], 5, "project_id").select("image_id", F.lit(True).alias("selected"))
+    better = lambda a, b: (a["score"], -a["image_id"]) > (b["score"], -b["image_id"])
+    keys = ["project_id", "block", "component"]
+    champions = tournament.top_k_in_groups(labels.select(*keys, "image_id", "score"), better, 1, keys).select("project_id", "image_id")
+    best = tournament.top_k_in_groups(champions.withColumn("score", (F.col("image_id") * 7919) % 1009), better, 5, ["project_id"]).select("image_id", F.lit(True).alias("selected"))
     return labels.join(best, "image_id", "left").select("project_id", "image_id", F.coalesce("selected", F.lit(False)).alias("selected"))
 
 

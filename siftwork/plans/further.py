@@ -7,11 +7,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwork.functions import color, scalar
-from siftwork.operators import models, projects, scope, select, tagging, tournament
+from siftwork.functions import color, scalar, text
+from siftwork.operators import models, projects, replies, scope, select, tagging, tournament
 from siftwork.plans.catalogue import query
 from siftwork.sources import catalog as c
-from siftwork.streaming import sessions
+from siftwork.streaming import sessions, store
 
 c.VIEWS["recipes"] = """recipes AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 20 THEN p_partkey % 20 + 1 END AS parent_id, 'r' || CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_partkey > 20 AND p_partkey % 7 = 0 THEN 5 END AS deleted_at FROM part)"""
 
@@ -61,12 +61,12 @@ def recipe_batch(spark: SparkSession, sf: str) -> DataFrame:
     return projects.set_recipe(images, _recipes(spark, sf), c.items(spark, sf).filter("image_id % 4 = 0").select("image_id"), 22)
 
 
-@query("SELECT image_id, row_number() OVER (ORDER BY image_id) + 3 AS position FROM items WHERE image_id % 50 = 0 AND image_id NOT IN (0, 50, 100) UNION ALL SELECT image_id, image_id // 50 + 1 FROM items WHERE image_id IN (0, 50, 100)", "items")
+@query("SELECT image_id, row_number() OVER (ORDER BY image_id) + 3 AS position FROM items WHERE image_id NOT IN (0, 50, 100) UNION ALL SELECT image_id, image_id // 50 + 1 FROM items WHERE image_id IN (0, 50, 100)", "items")
 def position_allocation(spark: SparkSession, sf: str) -> DataFrame:
-    """A batch added to an ordered tag; what is there keeps its position, repeats count once."""
+    """All items added to an ordered tag, each twice; what is there keeps its position, repeats count once."""
     tags = spark.createDataFrame([(1, 1, "t", None, True, False)], "id long, project_id long, name string, cap long, is_ordered boolean, is_system boolean")
     held = spark.createDataFrame([(i, 1, i // 50 + 1, 0) for i in (0, 50, 100)], "image_id long, tag_id long, position long, tagged_at long")
-    e = c.items(spark, sf).filter("image_id % 50 = 0").select(F.col("image_id").alias("ordinal"), "image_id")
+    e = c.items(spark, sf).select(F.col("image_id").alias("ordinal"), "image_id")
     images = c.items(spark, sf).select(F.col("image_id").alias("id"), F.lit(1).cast("long").alias("project_id"))
     return tagging.add_entries(held, tags, images, 1, e.unionAll(e), 1).select("image_id", "position")
 
@@ -256,3 +256,53 @@ def project_deletion(spark: SparkSession, sf: str) -> DataFrame:
     it = c.image_tags(spark, sf).select("image_id", "tag_id")
     _, images, _, _, _ = projects.delete_project(p, e.withColumn("id", F.col("image_id")), e.select("project_id").distinct(), it, c.evaluations(spark, sf), 7)
     return images.select("image_id", "project_id")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4000 = 0 THEN NULL ELSE greatest(1, CAST(round_even(event_id % 4000 * 40 / 60.0, 0) AS INTEGER)) END AS minutes FROM events")
+def cost_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    """How long a local model takes for so many calls."""
+    e = c.table(spark, sf, "events")
+    return e.select("event_id", text.minutes(F.col("event_id") % 4000).alias("minutes"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(f) <= 240 THEN f ELSE left(f, cut) || '...' END AS line FROM (SELECT *, (SELECT max(k) FROM (SELECT unnest(range(57, 241)) AS k) WHERE strlen(left(f, k)) <= 240) AS cut FROM (SELECT doc_id, translate(text, chr(10) || chr(13), '  ') AS f FROM documents))")
+def log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """texts as lines of the log, cut between characters."""
+    return c.table(spark, sf, "documents").select("doc_id", text.log_line(F.col("text")).alias("line"))
+
+
+@query("SELECT o_custkey AS chat_id, 'c' || CAST(o_custkey AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY o_custkey ORDER BY name) AS ordinal, name FROM (SELECT DISTINCT o_custkey, 'p' || CAST(o_orderkey % 100 AS VARCHAR) AS name FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'))")
+def drained_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """S30, ST10: photos that came while a run was under way, given to the next one in order of name."""
+    o = c.table(spark, sf, "orders")
+    busy = o.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("chat_id"), F.lit("active").alias("status"))
+    photos = o.select(F.col("o_custkey").alias("chat_id"), F.concat(F.lit("p"), (F.col("o_orderkey") % 100).cast("string")).alias("name"), F.col("o_orderkey").alias("at"))
+    _, pending = store.arrivals(photos, busy)
+    runs = o.select(F.col("o_custkey").alias("chat_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("run_id")).distinct()
+    done = store.drained(pending, runs)
+    return done.select(F.substring("run_id", 2, 20).cast("long").alias("chat_id"), "run_id", "ordinal", "name")
+
+
+@query("""r AS (SELECT o_orderkey % 500 AS run_id, o_orderkey AS updated_at, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'active' ELSE 'waiting' END AS status FROM orders)
+SELECT run_id, arg_max(status, updated_at) AS status, max(updated_at) AS updated_at FROM r GROUP BY run_id HAVING arg_max(status, updated_at) <> 'done'""".replace("r AS (", "WITH r AS (", 1))
+def active_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs stored one after another, the last of each counts; those that haven't ended."""
+    o = c.table(spark, sf, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "active").otherwise("waiting")
+    r = o.select((F.col("o_orderkey") % 500).alias("run_id"), F.col("o_orderkey").alias("updated_at"), status.alias("status"))
+    return store.active(store.save(r.limit(0), r)).select("run_id", "status", "updated_at")
+
+
+@query("SELECT image_id, CASE WHEN image_id % 3 = 0 THEN ['a', 'b'] WHEN image_id % 3 = 1 THEN ['a', 'c'] ELSE ['c'] END AS excluded FROM items", "items")
+def swapped_out(spark: SparkSession, sf: str) -> DataFrame:
+    """U8: one more excluded item, each once, in order."""
+    held = F.when(F.col("image_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).when(F.col("image_id") % 3 == 1, F.array(F.lit("a")))
+    path = F.when(F.col("image_id") % 3 == 0, "b").otherwise("c")
+    return c.items(spark, sf).select("image_id", replies.swapped_out(held, path).alias("excluded"))
+
+
+@query("SELECT count(*) FILTER (event_type = 'view') AS queued, count(*) FILTER (event_type = 'click') AS processing, count(*) FILTER (event_type = 'error') AS failed FROM events")
+def task_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation tasks by state."""
+    state = F.expr("case event_type when 'view' then 'queued' when 'click' then 'processing' when 'error' then 'failed' else 'other' end")
+    return store.counters(c.table(spark, sf, "events").select(state.alias("state")))

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-SHAPES = (("ingest", "dedup", "curate", "style", "deliver"), ("ingest", "curate", "style", "deliver"))
+SHAPES = (("ingest", "dedup", "curate", "style", "style_all", "deliver"), ("ingest", "curate", "style", "style_all", "deliver"))
+PROVIDERS = ("local", "gemini", "claude")  # fixed values
 GATES = ("off", "courtesy", "required")
 MAX_COUNT = 50
 
@@ -36,23 +37,32 @@ class StagePlan:
 
 
 def validate_plan(plan: list[StagePlan]) -> None:
-    """The stage list has one of two shapes, gates are known, curate's count is a whole number from 1 to 50 or, exactly if
-    its gate is required, null."""
+    """The stage list has one of two shapes and gates are known. Dedup and curate say whether a model is used (ai_enabled, true or false); they
+    and style name a provider. Curate's count is a whole number from 1 to 50 or, exactly if its gate is required, null; its tag is a
+    text that isn't empty, its brief a text."""
     names = tuple(s.name for s in plan)
     if names not in SHAPES:
         raise PlanError(f"stages {names}")
+    by = {s.name: s for s in plan}
     for s in plan:
         if s.gate not in GATES:
             raise PlanError(f"gate {s.gate!r} of {s.name}")
-        for k in ("ai", "dedup"):
-            if k in s.params and not isinstance(s.params[k], bool):
-                raise PlanError(f"{k} of {s.name} isn't true or false")
-    curate = plan[names.index("curate")]
+    for s in (by[n] for n in ("dedup", "curate") if n in by):
+        if not isinstance(s.params.get("ai_enabled"), bool):
+            raise PlanError(f"ai_enabled of {s.name} isn't true or false")
+    for s in (by[n] for n in ("dedup", "curate", "style") if n in by):
+        if s.params.get("provider") not in PROVIDERS:
+            raise PlanError(f"provider of {s.name}: {s.params.get('provider')!r}")
+    curate = by["curate"]
     count = curate.params.get("count")
     if (count is None) != (curate.gate == "required"):
         raise PlanError("count is left open exactly if the gate of curate is required")
     if count is not None and (isinstance(count, bool) or not isinstance(count, int) or not 1 <= count <= MAX_COUNT):
         raise PlanError(f"count {count!r}")
+    if not isinstance(curate.params.get("selection_brief", ""), str):
+        raise PlanError("selection_brief isn't a text")
+    if not isinstance(curate.params.get("apply_tag"), str) or not curate.params["apply_tag"]:
+        raise PlanError("apply_tag is a text that isn't empty")
 
 
 @dataclass

@@ -158,17 +158,15 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct()
-    # a handful of names: their rank is the number of smaller ones
-    smaller = names.select(F.col("name").alias("other"))
-    ranked = names.join(smaller, F.col("other") <= F.col("name")).groupBy("name").agg(F.count("*").alias("tag_id"))
+    names = table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct().agg(F.sort_array(F.collect_set("name")).alias("names"))  # a handful of event types
+    ranked = names.select(F.posexplode("names").alias("k", "name")).select((F.col("k") + 1).cast("long").alias("tag_id"), "name")
     return ranked.select("tag_id", "name", (F.col("tag_id") % 2 == 1).alias("is_ordered"), (F.col("name") == "error").alias("is_system"))
 
 
 def image_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tags(spark, sf_dir)
     e = items(spark, sf_dir)
-    return e.join(F.broadcast(t.select("tag_id", "name")), e.event_type == t.name).select("image_id", "project_id", "tag_id", (F.col("ts_us") % 1000003).alias("position"), F.expr("ts_us div 60000000").alias("tagged_at"))
+    return e.join(t.select("tag_id", "name"), e.event_type == t.name).select("image_id", "project_id", "tag_id", (F.col("ts_us") % 1000003).alias("position"), F.expr("ts_us div 60000000").alias("tagged_at"))
 
 
 def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:

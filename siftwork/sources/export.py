@@ -146,7 +146,7 @@ def write_batch(rows: DataFrame, write: Callable[[dict], None]) -> DataFrame:
 
 def listing(images: DataFrame, evaluations: DataFrame, image_tags: DataFrame, tags: DataFrame) -> DataFrame:
     """Per image: evaluated, unusable (null if it isn't), its tags and engine tags by name."""
-    named = image_tags.join(F.broadcast(tags.select("tag_id", "name", "is_system")), "tag_id")
+    named = image_tags.join(tags.select("tag_id", "name", "is_system"), "tag_id")
     lists = named.groupBy("image_id").agg(F.sort_array(F.collect_set(F.when(~F.col("is_system"), F.col("name")))).alias("tags"), F.sort_array(F.collect_set(F.when(F.col("is_system"), F.col("name")))).alias("system_tags"))
     none = F.array().cast("array<string>")
     out = images.join(evaluations.withColumn("evaluated", F.lit(True)), "image_id", "left").join(lists, "image_id", "left")

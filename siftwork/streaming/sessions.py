@@ -10,31 +10,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: rows of a key in order, state or None -> rows to emit, new state
 Step = Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]
 
 
+#: State of a key without rows for so long is dropped; a key that comes back begins anew.
+FORGET_MS = 7 * 86_400_000
+
+
 def stateful(events: DataFrame, key: str, step: Step, schema: str, state: str, order: list[str]) -> DataFrame:
-    """Runs the step for each key, on a stream with state and in batch with all rows at once."""
+    """Runs the step for each key, on a stream with state (dropped after FORGET_MS without rows) and in batch with all rows at once."""
     if not events.isStreaming:
         return events.groupBy(key).applyInPandas(lambda pdf: step(pdf.sort_values(order, kind="stable"), None)[0], schema)
 
     def run(_key, frames, held):
+        if held.hasTimedOut:
+            held.remove()
+            return
         pdf = pd.concat(list(frames)).sort_values(order, kind="stable")
         out, new = step(pdf, held.get if held.exists else None)
         held.update(new)
+        held.setTimeoutDuration(FORGET_MS)
         yield out
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return events.groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def drop_stale(events: DataFrame, key: str = "chat_id", keep_kinds: tuple[str, ...] = ("cancelled",)) -> DataFrame:
     """Events(key, seq, generation, kind) without those of a generation before the latest seen; the kinds named pass in any case."""
+    if not events.isStreaming:  # a running maximum, which needs no state
+        seen = F.max("generation").over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+        return events.withColumn("__latest", seen).filter((F.col("generation") >= F.col("__latest")) | F.col("kind").isin(*keep_kinds)).select(key, "seq", "generation", "kind")
 
     def step(pdf: pd.DataFrame, state: tuple | None):
         latest = state[0] if state else None
@@ -73,7 +84,8 @@ def idle_sessions(messages: DataFrame, key: str = "chat_id", time: str = "ts", i
 
 
 def drop_in_flight(requests: DataFrame, key: str = "image_id", time: str = "ts", window: str = "10 minutes") -> DataFrame:
-    """The first request for an id; others within the window are dropped."""
+    """The first request for an id; others within the window of one that was taken are dropped, on a stream. In batch the table is one
+    window: requests without an end in between, of which the first stays."""
     if requests.isStreaming:
         return requests.withWatermark(time, window).dropDuplicatesWithinWatermark([key])
     first = requests.groupBy(key).agg(F.min(time).alias(time))

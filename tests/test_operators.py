@@ -174,9 +174,6 @@ def test_cleaning(picks, pool, n, want):
 
 
 def test_diversity(spark):
-    assert select.farthest_points([1, 2, 3], [0, 100000, 100], 2) == [2, 1]
-    assert select.farthest_points([1, 2, 3], [None, 5, None], 3) == [2, 1, 3]
-    assert select.farthest_points([1, 2], [None, None], 1) == [1]
     df = spark.createDataFrame([(1, 1, 1000), (1, 2, 1005), (1, 3, 100000), (1, 4, 200000)], "project_id long, winner long, captured_at long")
     assert rows(select.diverse_top(df, 2), "ordinal", "winner") == [(1, 4), (2, 1)]
 
@@ -202,17 +199,7 @@ def test_tournaments():
     assert tournament.pick_cost(6, 3, 2) == {"candidates": 6, "champions": 3, "first_stage": 3, "max_comparisons": 3 + tournament.comparison_bound(3, 2), "rejects": 4}
 
 
-def test_curate_with_a_model(spark):
-    df = shots(spark, [0, 1000, 2000, 3000], [1, 2, 4, 8])
-    answer = lambda i: {"assessment": "a", "unusable": i == 3, "content": f"c{i}"}
-    assert curate.curate(df, 3).ids == [4, 2, 1]
-    got = curate.curate(df, 2, evaluate=answer, choose=lambda d, n: ([2, 1, 2], " cap "))
-    assert len(got.ids) == 2 and got.caption == "cap" and sorted(got.evaluated) == [1, 2, 3, 4]
-    assert 3 not in got.ids
-    assert curate.curate(df, 2, evaluate=answer, choose=lambda d, n: ([9], "x")).ids == curate.curate(df, 2).ids
-    assert curate.curate(df, 2, evaluate=answer, choose=lambda d, n: None, gate=lambda c: False).outcome == "declined"
-    assert curate.curate(df, 2, evaluate=answer, choose=lambda d, n: None, cancelled=lambda: True).outcome == "cancelled"
-    assert curate.curate(df.limit(0), 2).outcome == "empty"
+def test_answers():
     assert curate.parse_answer('```json\n{"winner": "a", "n": 1}\n```', {"winner": str}) == {"winner": "a", "n": 1}
     assert curate.parse_answer('{"n": true}', {"n": int}) is None
     with pytest.raises(ValueError):
@@ -367,7 +354,9 @@ def test_list_files(spark, tmp_path):
 
 
 def plan(**gates):
-    return [runs.StagePlan(n, {"count": None if gates.get("curate") == "required" else 9} if n == "curate" else {}, gates.get(n, "off")) for n in runs.SHAPES[0]]
+    ai = {"ai_enabled": False, "provider": "local"}
+    params = {"dedup": ai, "curate": {**ai, "count": None if gates.get("curate") == "required" else 9, "apply_tag": "t"}, "style": {"provider": "local"}}
+    return [runs.StagePlan(n, dict(params.get(n, {})), gates.get(n, "off")) for n in runs.SHAPES[0]]
 
 
 def stages(log, fail=None):
