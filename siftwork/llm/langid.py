@@ -9,8 +9,9 @@ Training takes TRAIN_DOCS labelled documents, those with the smallest hash of do
 and that aren't held out (crc32(doc_id as text) mod 4 = 2), and TRAIN_WINDOWS windows of each at hashed places. That
 bound holds at every size, as does the driver's memory. Only text goes into a prediction.
 
-Defined cases: null text or one without a letter gives `und` with score 0; repeated rows are predicted one by one;
-without any labelled row all texts are `und`; null doc_id is not held out and is never trained on; extra columns are ignored.
+Defined cases: null text or one without a letter gives `und` with score 0; repeated rows are predicted one by one and alike; of equal
+probabilities the language that sorts first is taken; without any labelled row all texts are `und`; null doc_id is not held out and is never
+trained on; an empty table gives no rows; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -78,7 +79,25 @@ class ByteConvNet:
     def predict(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._soft(self._top(x[i : i + ROWS_AT_ONCE])[2]) for i in range(0, len(x), ROWS_AT_ONCE)])
 
+    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean weighted cross entropy of rows x with labels y."""
+        spans, conv, top = self._top(x)
+        dz = self._soft(top)
+        dz[np.arange(len(x)), y] -= 1
+        dz *= (weight / len(x))[:, None]
+        act = np.maximum(top, 0)
+        dtop = (dz @ self.p["d"].T) * (top > 0)
+        best = conv.argmax(1)
+        picked = np.take_along_axis(spans, best[:, :, None].repeat(1, 2), 1)  # the span each filter chose
+        dw = np.einsum("nfk,nf->kf", picked, dtop) * self.mask
+        dspan = dtop[:, :, None] * self.p["w"].T[None]
+        byte = x[np.arange(len(x))[:, None, None], best[:, :, None] + np.arange(SPAN)]
+        de = np.zeros_like(self.p["e"])
+        np.add.at(de, byte.reshape(-1), dspan.reshape(-1, EMBED))
+        return {"e": de, "w": dw, "b": dtop.sum(0), "d": act.T @ dz, "c": dz.sum(0)}
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> "ByteConvNet":
+        """Adam over EPOCHS in batches; languages weigh alike, however often they occur."""
         rng = np.random.default_rng(SEED)
         weight = (len(y) / np.maximum(np.bincount(y, minlength=len(self.labels)), 1) / len(self.labels)).astype(np.float32)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -88,22 +107,8 @@ class ByteConvNet:
             order = rng.permutation(len(x))
             for i in range(0, len(x), BATCH):
                 at = order[i : i + BATCH]
-                spans, conv, top = self._top(x[at])
-                prob = self._soft(top)
-                dz = prob.copy()
-                dz[np.arange(len(at)), y[at]] -= 1
-                dz *= (weight[y[at]] / len(at))[:, None]
-                act = np.maximum(top, 0)
-                dtop = (dz @ self.p["d"].T) * (top > 0)
-                best = conv.argmax(1)
-                picked = np.take_along_axis(spans, best[:, :, None].repeat(1, 2), 1)  # the span each filter chose
-                dw = np.einsum("nfk,nf->kf", picked, dtop) * self.mask
-                dspan = dtop[:, :, None] * self.p["w"].T[None]
-                byte = x[at][np.arange(len(at))[:, None, None], best[:, :, None] + np.arange(SPAN)]
-                de = np.zeros_like(self.p["e"])
-                np.add.at(de, byte.reshape(-1), dspan.reshape(-1, EMBED))
                 step += 1
-                for k, g in (("e", de), ("w", dw), ("b", dtop.sum(0)), ("d", act.T @ dz), ("c", dz.sum(0))):
+                for k, g in self.gradients(x[at], y[at], weight[y[at]]).items():
                     m[k] += 0.1 * (g - m[k])
                     v2[k] += 0.001 * (g * g - v2[k])
                     self.p[k] -= RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)

@@ -12,8 +12,11 @@ longer than both LONG_WORDS words and MAX_LONGEST of its words. What the spans c
 words, half of the text at most once that rule is passed, and a passage and its copy cover twice its length: so MAX_COVERED must
 stay well below 0.5 and MAX_LONGEST well below 0.25 for the method to add anything.
 
-Defined cases: null text has no words and fails; repeated rows are judged one by one; texts of any length; extra columns are
-ignored.
+Memory: a group of 1 MB of text at most, or one longer text, has a rank for each word and round; rounds end at the longest repeat, so a text that
+says one word n times holds log2(n) arrays of n ranks.
+
+Defined cases: null text has no words and fails; null doc_id is kept; repeated rows are judged one by one and alike; texts of any length; equal
+suffixes of one text go by place; an empty table gives no rows; extra columns of any name are ignored.
 """
 
 from __future__ import annotations

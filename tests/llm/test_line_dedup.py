@@ -63,7 +63,7 @@ def test_extra_columns_of_any_name_and_a_heavy_line(spark, monkeypatch):
     monkeypatch.setattr(line_dedup.c, "HEAVY", 2)  # the commonest lines are heavy, the others aren't
     other = "Another line that is repeated in a few documents, 40+"
     t = [f"{LINE}\n{other if i < 6 else ''}\n{i}" for i in range(60)]
-    df = frame(spark, t).selectExpr("*", "'a' __t", "'b' t", "'c' pos", "'d' gone", "'e' lines", "'f' `row`", "'g' n_lines", "'h' keeper", "'i' `x.y`")
+    df = frame(spark, t, extra=False).selectExpr("*", "'a' __t", "'b' t", "'c' pos", "'d' gone", "'e' lines", "'f' `row`", "'g' n_lines", "'h' keeper", "'i' `x.y`")
     rows = line_dedup.drop_repeated_lines(df).collect()
     want = brute(dict(enumerate(t)))
     assert all((r.n_dropped, r.text) == want[r.doc_id][1:] for r in rows) and len(rows) == 60
