@@ -112,3 +112,14 @@ def pass_through(candidates: DataFrame, excluded_ids: DataFrame) -> DataFrame:
     """Candidates(image_id, system_tags) without engine tags and not excluded by id."""
     clean = candidates.filter(~F.arrays_overlap(F.coalesce("system_tags", F.array().cast("array<string>")), F.array(F.lit("Reject"), F.lit("Duplicate"))))
     return clean.join(excluded_ids.select("image_id"), "image_id", "left_anti")
+
+
+MENU = 8  # a fixed value
+
+
+def menu(tags: DataFrame, by: str, length: int = MENU) -> DataFrame:
+    """Each project's own tags in order of id, the first `length` of them, with how many are hidden."""
+    own = tags.filter("not is_system")
+    n = own.groupBy(by).agg(F.count("*").alias("__n"))
+    first = own.withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy("tag_id"))).filter(F.col("__k") <= length)
+    return first.join(n, by).withColumn("hidden", F.greatest(F.lit(0), F.col("__n") - length)).drop("__k", "__n")

@@ -72,3 +72,25 @@ def delivered(chosen: DataFrame, candidates: DataFrame, by: str = "project_id",
     """A chosen set in delivery order: by, rank, id."""
     timed = chosen.join(candidates.select(by, id_col, "captured_at"), [by, id_col])
     return delivery_rank(timed, by, id_col).select(by, "rank", id_col)
+
+
+def list_positions(ranked: DataFrame, by: str = "project_id") -> DataFrame:
+    """ranked(by, rank) with n, the length of its list; counted before it is joined."""
+    return ranked.join(ranked.groupBy(by).agg(F.count("*").alias("n")), by)
+
+
+def head_without(ranked: DataFrame, excluded: DataFrame, count: int, by: str = "project_id") -> DataFrame:
+    """ranked(by, rank, image_id) without the excluded ids, numbered anew, `count` of each list. Only the first rows of a list can be among
+    them: those of a rank up to count and the list's excluded ones."""
+    gone = excluded.select("image_id").distinct()
+    room = ranked.join(gone, "image_id", "left_semi").groupBy(by).agg(F.count("*").alias("__gone"))
+    first = ranked.join(room, by, "left").filter(F.col("rank") <= count + F.coalesce("__gone", F.lit(0))).drop("__gone")
+    left = first.join(gone, "image_id", "left_anti")
+    return left.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("rank"))).filter(F.col("rank") <= count)
+
+
+def already_delivered(selection: DataFrame, sent: DataFrame, by: str = "project_id") -> DataFrame:
+    """by, delivered (whether all of the selection was sent before), missing (how many weren't)."""
+    missing = selection.join(sent.select("image_id").distinct(), "image_id", "left_anti").groupBy(by).agg(F.count("*").alias("missing"))
+    out = selection.select(by).distinct().join(missing, by, "left")
+    return out.select(by, F.col("missing").isNull().alias("delivered"), F.coalesce("missing", F.lit(0)).alias("missing"))

@@ -71,6 +71,11 @@ def remove_entry(image_tags: DataFrame, tag_id: int, image_id: int) -> DataFrame
     return image_tags.filter(~((F.col("tag_id") == tag_id) & (F.col("image_id") == image_id)))
 
 
+def remove_entries(image_tags: DataFrame, tag_id: int, ids: DataFrame) -> DataFrame:
+    gone = ids.select("image_id", F.lit(tag_id).cast("bigint").alias("tag_id")).distinct()
+    return image_tags.join(gone, ["image_id", "tag_id"], "left_anti")
+
+
 def clear_tag(image_tags: DataFrame, tag_id: int) -> DataFrame:
     return image_tags.filter(F.col("tag_id") != tag_id)
 

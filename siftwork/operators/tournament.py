@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.functions import scalar
+
 #: True if the first is better, False if the second is; None if the comparison failed.
 Compare = Callable[[int, int], bool | None]
 
@@ -165,3 +167,11 @@ def pick_cost(candidates: int, champions: int, count: int) -> dict[str, int]:
     count = max(0, count)
     first = candidates - champions
     return {"candidates": candidates, "champions": champions, "first_stage": first, "max_comparisons": first + (comparison_bound(champions, count) if count < champions else 0), "rejects": candidates - min(count, champions)}
+
+
+def pick_costs(groups: DataFrame, count: int) -> DataFrame:
+    """The same for a row of groups(candidates, champions) each."""
+    m = F.col("champions")
+    final = F.when(m <= count, 0).otherwise(m - 1 + (count - 1) * scalar.ceil_log2(m))
+    first = F.col("candidates") - m
+    return groups.withColumns({"first_stage": first, "max_comparisons": (first + final).cast("long"), "rejects": F.col("candidates") - F.least(F.lit(count), m)})

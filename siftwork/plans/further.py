@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import color, scalar, text
-from siftwork.operators import models, projects, replies, scope, select, tagging, tournament
+from siftwork.operators import commands, models, projects, replies, scope, select, tagging, tournament
 from siftwork.plans.catalogue import query
 from siftwork.sources import catalog as c
 from siftwork.streaming import sessions, store
@@ -77,22 +77,20 @@ def tag_removal(spark: SparkSession, sf: str) -> DataFrame:
     it = c.image_tags(spark, sf)
     t = c.tags(spark, sf).withColumnRenamed("tag_id", "id").withColumn("is_system", F.lit(False))
     _, left = tagging.delete_tag(t, it, 2)
-    return left.filter("not (tag_id = 1 and image_id % 9 = 0)").select("image_id", "tag_id")
+    return tagging.remove_entries(left, 1, c.items(spark, sf).filter("image_id % 9 = 0").select("image_id")).select("image_id", "tag_id")
 
 
 @query("SELECT project_id, image_id, row_number() OVER (PARTITION BY project_id ORDER BY captured_at DESC NULLS LAST, file_path, image_id) AS k, count(*) OVER (PARTITION BY project_id) AS n FROM items", "items")
 def list_positions(spark: SparkSession, sf: str) -> DataFrame:
     """K of n."""
-    r = select.browse_rank(c.items(spark, sf))
-    return r.select("project_id", "image_id", F.col("rank").alias("k"), F.count("*").over(Window.partitionBy("project_id")).alias("n"))
+    return select.list_positions(select.browse_rank(c.items(spark, sf))).select("project_id", "image_id", F.col("rank").alias("k"), "n")
 
 
-@query("SELECT tag_id, name, (SELECT greatest(0, count(*) - 3) FROM tags WHERE NOT is_system) AS hidden FROM tags WHERE NOT is_system ORDER BY tag_id LIMIT 3", "tags")
+@query("WITH t AS (SELECT p_partkey AS tag_id, p_brand AS project, p_name AS name, p_size % 5 = 0 AS is_system FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY tag_id) AS k, count(*) OVER (PARTITION BY project) AS n FROM t WHERE NOT is_system) SELECT project, tag_id, name, greatest(0, n - 8) AS hidden FROM k WHERE k <= 8")
 def tag_menu(spark: SparkSession, sf: str) -> DataFrame:
-    """The menu's first tags and how many it hides."""
-    t = c.tags(spark, sf).filter("not is_system")
-    n = t.agg(F.greatest(F.lit(0), F.count("*") - 3).alias("hidden")).withColumn("k", F.lit(1))
-    return t.orderBy("tag_id").limit(3).withColumn("k", F.lit(1)).join(n, "k").select("tag_id", "name", "hidden")
+    """Each project's menu of tags and how many it hides."""
+    part = c.table(spark, sf, "part").select(F.col("p_partkey").alias("tag_id"), F.col("p_brand").alias("project"), F.col("p_name").alias("name"), (F.col("p_size") % 5 == 0).alias("is_system"))
+    return scope.menu(part, "project").select("project", "tag_id", "name", "hidden")
 
 
 @query(
@@ -101,10 +99,9 @@ SELECT project_id, image_id, rank FROM r WHERE rank <= 4""",
     "items",
 )
 def exclude_then_head(spark: SparkSession, sf: str) -> DataFrame:
-    """Excludes dropped, then the head of each list."""
+    """Excludes dropped, then the head of each list."""
     e = c.items(spark, sf)
-    kept = e.join(e.filter("image_id % 3 = 0").select("image_id"), "image_id", "left_anti")
-    return select.delivery_rank(kept).filter("rank <= 4").select("project_id", "image_id", "rank")
+    return select.head_without(select.delivery_rank(e), e.filter("image_id % 3 = 0"), 4).select("project_id", "image_id", "rank")
 
 
 @query("SELECT row_number() OVER (ORDER BY captured_at DESC NULLS LAST, file_path, image_id) AS ordinal, image_id FROM items", "items")
@@ -117,14 +114,24 @@ def scope_all(spark: SparkSession, sf: str) -> DataFrame:
 def already_delivered(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a selection is a subset of what was sent."""
     e = c.items(spark, sf)
-    missing = e.join(e.filter("event_type = 'view'").select("image_id"), "image_id", "left_anti").groupBy("project_id").agg(F.count("*").alias("missing"))
-    return e.select("project_id").distinct().join(missing, "project_id", "left").select("project_id", F.col("missing").isNull().alias("delivered"), F.coalesce("missing", F.lit(0)).alias("missing"))
+    return select.already_delivered(e, e.filter("event_type = 'view'"))
 
 
-@query("SELECT command, tag FROM (VALUES ('dedup', '拒'), ('curate', '拒'), ('curate', '重复'), ('pick', '拒'), ('pick', '重复'), ('export', '拒'), ('export', '重复'), ('evaluate', '拒')) AS t(command, tag)")
+@query(
+    """WITH p AS (SELECT * FROM (VALUES ('dedup', ['拒']), ('curate', ['拒', '重复']), ('pick', ['拒', '重复']), ('export', ['拒', '重复']), ('evaluate', ['拒'])) AS t(command, names)),
+held AS (SELECT event_id AS image_id, CASE event_id % 4 WHEN 0 THEN ['拒'] WHEN 1 THEN ['重复'] WHEN 2 THEN [] ELSE ['拒', '重复'] END AS names FROM events)
+SELECT command, image_id FROM held, p WHERE NOT list_has_any(held.names, p.names)"""
+)
 def exclusion_policy(spark: SparkSession, sf: str) -> DataFrame:
-    """Which engine tags each command leaves out."""
-    return spark.createDataFrame([(k, t) for k, ts in scope.EXCLUDED.items() for t in ts], "command string, tag string")
+    """The candidates that each command keeps of the whole table."""
+    e = c.table(spark, sf, "events").select(F.col("event_id").alias("image_id"))
+    tags = spark.createDataFrame([(1, scope.REJECT), (2, scope.DUPLICATE)], "id bigint, name string")
+    held = e.withColumn("tag_id", F.explode(F.expr("case image_id % 4 when 0 then array(1L) when 1 then array(2L) when 2 then array() else array(1L, 2L) end")))
+    out = None
+    for command in scope.EXCLUDED:
+        part = commands.candidates(command, e, tags, held).select(F.lit(command).alias("command"), "image_id")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(
@@ -140,13 +147,13 @@ def fit_and_encode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """g AS (SELECT vec_id, list_transform(range(72), lambda i: (vec_id * (i + 3) * 7 + i * i) % 256) AS g FROM embeddings)
-SELECT vec_id, CAST(list_sum(list_transform(range(64), lambda i: CASE WHEN g[(i // 8) * 9 + i % 8 + 1] > g[(i // 8) * 9 + i % 8 + 2] THEN 1 ELSE 0 END)) AS INTEGER) AS set_bits FROM g""".replace("g AS (", "WITH g AS (", 1)
+SELECT vec_id, array_to_string(list_transform(range(63, -1, -1), lambda i: CASE WHEN g[(i // 8) * 9 + i % 8 + 1] > g[(i // 8) * 9 + i % 8 + 2] THEN '1' ELSE '0' END), '') AS bits FROM g""".replace("g AS (", "WITH g AS (", 1)
 )
 def difference_hash(spark: SparkSession, sf: str) -> DataFrame:
-    """the difference hash of a 9 x 8 grid, by its set bits."""
+    """the difference hash of a 9 x 8 grid, bit by bit, the highest first."""
     v = F.col("vec_id")
     grid = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: (v * (i + 3) * 7 + i * i) % 256)
-    return c.table(spark, sf, "embeddings").select("vec_id", F.bit_count(scalar.dhash(grid)).cast("int").alias("set_bits"))
+    return c.table(spark, sf, "embeddings").select("vec_id", F.lpad(F.bin(scalar.dhash(grid)), 64, "0").alias("bits"))
 
 
 @query("SELECT event_id, event_id % 256 AS r, (event_id * 7) % 256 AS g, (event_id * 13) % 256 AS b FROM events")
@@ -180,12 +187,13 @@ def evaluate_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT label AS project_id, count(*) AS candidates, count(DISTINCT vec_id % 10) AS champions, count(*) - count(DISTINCT vec_id % 10) AS first_stage, count(*) - least(3, count(DISTINCT vec_id % 10)) AS rejects FROM embeddings GROUP BY label"""
+    """WITH g AS (SELECT label AS project_id, count(*) AS c, count(DISTINCT vec_id % 10) AS m FROM embeddings GROUP BY label)
+SELECT project_id, c AS candidates, m AS champions, c - m AS first_stage, c - m + CASE WHEN 3 >= m THEN 0 ELSE m - 1 + 2 * CAST(ceil(log2(m)) AS BIGINT) END AS max_comparisons, c - least(3, m) AS rejects FROM g"""
 )
 def pick_costs(spark: SparkSession, sf: str) -> DataFrame:
-    """What a pick will cost, for each project."""
+    """What a pick will cost, for each project."""
     g = c.table(spark, sf, "embeddings").groupBy(F.col("label").alias("project_id")).agg(F.count("*").alias("candidates"), F.countDistinct(F.col("vec_id") % 10).alias("champions"))
-    return g.select("project_id", "candidates", "champions", (F.col("candidates") - F.col("champions")).alias("first_stage"), (F.col("candidates") - F.least(F.lit(3), F.col("champions"))).alias("rejects"))
+    return tournament.pick_costs(g, 3)
 
 
 @query("SELECT conv_id, turn AS seq FROM (SELECT *, max((turn * 7 + conv_id) % 5) OVER (PARTITION BY conv_id ORDER BY turn) AS latest FROM conversations) WHERE (turn * 7 + conv_id) % 5 >= latest OR role = 'system'")
@@ -233,12 +241,12 @@ def expired_runs(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.expired(r, 883612800).select("run_id")
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 10 <> 0")
+@query("SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 10 = 0 AS dead FROM events")
 def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
-    """ST2: messages that parse; the others are set aside."""
+    """ST2: messages that parse, and those that are set aside."""
     body = F.when(F.col("event_id") % 10 == 0, F.lit("{not json")).otherwise(F.col("props"))
-    good, _ = sessions.split_bad(c.table(spark, sf, "events").withColumn("body", body), scalar.strict_json(F.col("body"), "struct<k: bigint>", ["k"]))
-    return good.select("event_id", F.col("parsed.k").alias("k"))
+    good, bad = sessions.split_bad(c.table(spark, sf, "events").withColumn("body", body), scalar.strict_json(F.col("body"), "struct<k: bigint>", ["k"]))
+    return good.select("event_id", F.col("parsed.k").alias("k"), F.lit(False).alias("dead")).unionByName(bad.select("event_id", F.lit(None).cast("long").alias("k"), F.lit(True).alias("dead")))
 
 
 @query("SELECT project_id, max(captured_at) AS captured_at, arg_max(image_id, (captured_at IS NOT NULL, coalesce(captured_at, 0), -image_id)) AS winner FROM items GROUP BY project_id", "items")
@@ -248,14 +256,24 @@ def pictureless_winner(spark: SparkSession, sf: str) -> DataFrame:
     return tournament.top_k_total_order(c.items(spark, sf), rule, 1, "project_id").select("project_id", "captured_at", F.col("image_id").alias("winner"))
 
 
-@query("SELECT image_id, project_id FROM items WHERE project_id <> 7", "items")
+@query(
+    """left_ AS (SELECT image_id FROM items WHERE project_id <> 7)
+SELECT 'project' AS what, project_id AS id, count(*) AS n FROM (SELECT DISTINCT project_id FROM items) WHERE project_id <> 7 GROUP BY ALL UNION ALL SELECT 'image', image_id, 1 FROM left_
+UNION ALL SELECT 'tag', project_id, 1 FROM (SELECT DISTINCT project_id FROM items) WHERE project_id <> 7 UNION ALL SELECT 'entry', image_id, count(*) FROM image_tags JOIN left_ USING (image_id) GROUP BY ALL
+UNION ALL SELECT 'evaluation', image_id, count(*) FROM evaluations WHERE image_id NOT IN (SELECT image_id FROM items WHERE project_id = 7) GROUP BY ALL""",
+    "items tags image_tags evaluations",
+)
 def project_deletion(spark: SparkSession, sf: str) -> DataFrame:
-    """A project deleted with all that belongs to it, by what is left of its images."""
+    """A project deleted with all that belongs to it: what is left of the five tables."""
     e = c.items(spark, sf)
     p = e.select(F.col("project_id").alias("id")).distinct()
     it = c.image_tags(spark, sf).select("image_id", "tag_id")
-    _, images, _, _, _ = projects.delete_project(p, e.withColumn("id", F.col("image_id")), e.select("project_id").distinct(), it, c.evaluations(spark, sf), 7)
-    return images.select("image_id", "project_id")
+    left = projects.delete_project(p, e.withColumn("id", F.col("image_id")), e.select("project_id").distinct(), it, c.evaluations(spark, sf), 7)
+    out = None
+    for what, key, df in zip(("project", "image", "tag", "entry", "evaluation"), ("id", "image_id", "project_id", "image_id", "image_id"), left):
+        part = df.groupBy(F.lit(what).alias("what"), F.col(key).alias("id")).agg(F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4000 = 0 THEN NULL ELSE greatest(1, CAST(round_even(event_id % 4000 * 40 / 60.0, 0) AS INTEGER)) END AS minutes FROM events")

@@ -123,6 +123,12 @@ class Settings:
     preselection_multiple: float = 2.0
     request_timeout: int = 180
     evaluate_rejected: bool = False
+    export_rejected: bool = False
+    export_duplicates: bool = False
+    reject_by_evaluation: bool = False
+    provider: str = "local"
+    language: str = ""
+    prefetch: int = 3
 
     @classmethod
     def load(cls, text: str | None) -> "Settings":
@@ -134,7 +140,7 @@ class Settings:
             return cls()
         if not isinstance(given, dict):
             return cls()
-        kinds = {"int": int, "float": (int, float), "bool": bool}
+        kinds = {"int": int, "float": (int, float), "bool": bool, "str": str}
         ok = {f.name: given[f.name] for f in fields(cls) if f.name in given and isinstance(given[f.name], kinds[f.type]) and (f.type == "bool" or not isinstance(given[f.name], bool))}
         return cls(**ok)
 
