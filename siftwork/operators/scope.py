@@ -56,10 +56,14 @@ def parse(text: str) -> Scope:
     return Scope("tag", ALIASES.get(folded(name), name))
 
 
-def in_tag_order(entries: DataFrame, ordered: bool) -> DataFrame:
-    """entries(image_id, position, tagged_at) with an ordinal: by position if the tag is ordered, else by time; ties by id."""
-    key = F.col("position") if ordered else F.col("tagged_at")
-    return entries.withColumn("ordinal", F.row_number().over(Window.partitionBy("tag_id").orderBy(key, "image_id")))
+def in_tag_order(entries: DataFrame, ordered: bool | F.Column) -> DataFrame:
+    """entries(tag_id, image_id, position, tagged_at) with an ordinal in their tag: by position if the tag is ordered, else by time; ties by
+    id. Tags may be few and large: all entries are numbered by range, then each tag from its first."""
+    is_ordered = F.lit(ordered) if isinstance(ordered, bool) else ordered
+    keyed = entries.withColumn("__key", F.when(is_ordered, F.col("position")).otherwise(F.col("tagged_at")))
+    numbered = global_ordinal(keyed, [F.asc("tag_id"), F.asc("__key"), F.asc("image_id")], "__g")
+    first = numbered.groupBy("tag_id").agg(F.min("__g").alias("__first"))
+    return numbered.join(first, "tag_id").withColumn("ordinal", F.col("__g") - F.col("__first") + 1).drop("__key", "__g", "__first")
 
 
 def resolve(scope: Scope, images: DataFrame, tags: DataFrame, image_tags: DataFrame, allow_system: bool = True, explicit: DataFrame | None = None) -> tuple[DataFrame, int | None]:

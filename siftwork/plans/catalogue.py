@@ -151,8 +151,7 @@ def json_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def _in_tag_order(spark: SparkSession, sf: str) -> DataFrame:
     e = c.image_tags(spark, sf).join(c.tags(spark, sf).select("tag_id", "is_ordered"), "tag_id")
-    ordered = scope.in_tag_order(e.filter("is_ordered"), True)
-    return ordered.unionByName(scope.in_tag_order(e.filter("not is_ordered"), False)).drop("is_ordered")
+    return scope.in_tag_order(e, F.col("is_ordered")).drop("is_ordered")
 
 
 @query("SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY captured_at DESC NULLS LAST, file_path, image_id) AS rank, image_id FROM items", "items")
