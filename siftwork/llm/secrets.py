@@ -157,9 +157,9 @@ def _tested(places: str) -> str:
     return f"transform({out}, x -> named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'band', {band}, 'written', {in_bin('written')}, 'random', {in_bin('random')}))"
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """row (all columns of docs), base spans (s, k: number of the kind, e) and candidates of each row."""
-    df = docs.select(F.struct(*[F.col(c.quoted(x)) for x in docs.columns]).alias("row")).withColumn("__text", F.coalesce("row.text", F.lit("")))
+def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """row (the columns of docs to keep), base spans (s, k: number of the kind, e) and candidates of each row."""
+    df = docs.select(F.struct(*[F.col(c.quoted(x)) for x in keep]).alias("row"), F.coalesce("text", F.lit("")).alias("__text"))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("candidates", CANDIDATE)):
         df = _found(df, f"__{name}", pattern)
     value = F.expr(f"filter(__assign, x -> char_length(regexp_extract(x.m, {_quoted(ASSIGN)}, 1)) >= 6)")
@@ -199,9 +199,9 @@ def thresholds(found: DataFrame) -> dict[tuple[str, int], tuple[int, int]]:
     return out
 
 
-def spanned(docs: DataFrame) -> DataFrame:
+def spanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     """row, base and spans: sorted array of (s, k, e), k a number in KINDS, places in code points."""
-    found = c.cut(scanned(docs), "op3-found")
+    found = c.cut(scanned(docs, keep), "op3-found")
     limits = thresholds(found)
     test = " or ".join(f"(x.enc = '{enc}' and x.band = {band} and x.written >= {w} and x.random < {r})" for (enc, band), (w, r) in sorted(limits.items())) or "false"
     kind = "struct<s: int, k: int, e: int, free: boolean>"
@@ -216,7 +216,7 @@ def spanned(docs: DataFrame) -> DataFrame:
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans of each row of docs(doc_id, text)."""
-    return spanned(c.no_clash(docs, ["doc_id", "text"])).select("row.doc_id", "base", "spans")
+    return spanned(docs, ["doc_id"]).select("row.doc_id", "base", "spans")
 
 
 def _joined(spans: str) -> str:
@@ -230,7 +230,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     kind = "struct<f: int, t: int, first: boolean>"
     # what stands before each span, and whether a mark follows; then text by text of a block, as substring counts from a text's start
     blocks = _scan("spans", "named_struct('at', 0)", "named_struct('at', greatest(a.at, x.e))", "named_struct('f', a.at, 't', greatest(a.at, x.s), 'first', x.s >= a.at)", kind)
-    cuts = spanned(docs).withColumn("__blocks", F.expr(f"if(size(spans) = 0, null, {blocks})"))
+    cuts = spanned(docs, docs.columns).withColumn("__blocks", F.expr(f"if(size(spans) = 0, null, {blocks})"))
     held = "transform(__blocks, b -> named_struct('b', filter(b, x -> x.first), 'at', get(b, 0).f, 'x', substring(row.text, get(b, 0).f + 1, element_at(b, -1).t - get(b, 0).f)))"
     pieces = f"flatten(transform({held}, y -> transform(y.b, x -> substring(y.x, x.f - y.at + 1, x.t - x.f))))"
     end = "aggregate(spans, 0, (a, x) -> greatest(a, x.e))"
