@@ -234,3 +234,37 @@ def test_evaluation_sink(spark):
     for _ in range(2):  # a batch that is run again
         sink(requests, 0)
     assert rows(held[-1], "image_id", "provider") == [(1, "local"), (2, "local")] and {r.image_id for r in lost} == {3}
+
+
+def test_a_run_from_intent_to_delivery(spark):
+    from siftwork.plans import stages
+
+    images, tags, held = project(spark, SHOTS)
+    images = images.withColumns({"kind": F.lit("jpeg"), "recipe_id": F.lit(None).cast("long")})
+    recipes = spark.createDataFrame([(1, None, "Origin", None), (2, None, "Rome 1960", None)], "id long, parent_id long, name string, deleted_at long")
+    cat = stages.Catalog(1, images, tags, held, recipes, spark.createDataFrame([], "signature string, image_id long"))
+    out, broken = [], [True]
+
+    def send(row):
+        if broken and len(out) == 1:
+            broken.clear()
+            raise OSError("no line")
+        out.append((row["image_id"], row["target"], row["route"]))
+
+    services = stages.Services(send, match=lambda text, names: {"recipe_name": names[1]})
+    run = stages.start({"count": 2, "apply_tag": "best"}, cat, services, 9, description="warm")
+    assert (run.status, run.waiting) == ("waiting", "style") and run.outputs["curate"]["ids"] == [7, 3]
+    assert cat.images.filter("recipe_id = 2").count() == 1
+    assert run.answer() == "waiting" and run.waiting == "style_all" and cat.images.filter("recipe_id = 2").count() == 2
+    assert run.answer() == "failed" and len(out) == 1 and cat.sent.count() == 1
+    assert run.adjust("deliver") == "done" and len(out) == 2 and out[0][2] == "bake"  # goes on where it stopped
+    assert run.adjust("deliver") == "done" and len(out) == 2  # nothing is sent twice
+    assert run.outputs["deliver"]["delivered"]
+    # another order, selection or style is another delivery
+    again = stages.start({"count": 2, "apply_tag": "best"}, cat, services, 9, gates=False)
+    assert again.status == "done" and len(out) == 4
+    first = stages.start({"dedup_requested": True}, cat, services, 9)
+    assert (first.status, first.waiting, first.outputs["curate"]["ids"]) == ("waiting", "curate", [])
+    assert first.outputs["dedup"] == {"tagged": 3, "remaining": 5}
+    assert first.adjust("curate", count=1) == "waiting" and first.outputs["curate"]["ids"] == [7]
+    assert first.answer() == "waiting" and first.waiting == "style"
