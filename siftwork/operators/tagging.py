@@ -110,6 +110,11 @@ def tag_counts(tags: DataFrame, image_tags: DataFrame) -> DataFrame:
     return tags.join(n, "tag_id", "left").withColumn("n_images", F.coalesce("n_images", F.lit(0)))
 
 
+def tags_of_images(tags: DataFrame, image_tags: DataFrame) -> DataFrame:
+    """A row for each image and tag of it, with the tag's name and number of entries; tags are counted once, before they are joined."""
+    return image_tags.select("image_id", "tag_id").join(tag_counts(tags, image_tags), "tag_id")
+
+
 def next_positions(image_tags: DataFrame) -> DataFrame:
     return image_tags.groupBy("tag_id").agg((F.coalesce(F.max("position"), F.lit(0)) + 1).alias("next_position"))
 

@@ -324,3 +324,9 @@ def task_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Evaluation tasks by state."""
     state = F.expr("case event_type when 'view' then 'queued' when 'click' then 'processing' when 'error' then 'failed' else 'other' end")
     return store.counters(c.table(spark, sf, "events").select(state.alias("state")))
+
+
+@query("SELECT t.image_id, t.tag_id, g.name, count(*) OVER (PARTITION BY t.tag_id) AS n_images FROM image_tags t JOIN tags g USING (tag_id)", "items tags image_tags")
+def image_tag_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Each image's tags, with how many images carry them."""
+    return tagging.tags_of_images(c.tags(spark, sf).select("tag_id", "name"), c.image_tags(spark, sf)).select("image_id", "tag_id", "name", "n_images")
