@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, line_dedup, minhash, oracles, packing, quality, secrets, substring_dedup, warc
+from . import ann, bpe, langid, line_dedup, minhash, oracles, packing, quality, resampling, secrets, substring_dedup, warc
 
 QUERIES = {
     "op1_hilbert_packing": packing.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_tree_bpe": bpe.query,
     "op9_line_dedup": line_dedup.query,
     "op10_adaptive_ann": ann.query,
+    "op12_importance_resampling": resampling.query,
 }
 ORACLES: dict[str, str] = {
     "op2_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op4_warc_salvage": warc.ORACLE,
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op12_importance_resampling": resampling.ORACLE,
 }
