@@ -29,6 +29,11 @@ def parts_for(df: DataFrame, bytes_per_part: int = 64 << 20, least: int | None =
     return max(1, least or int(spark.conf.get("spark.sql.shuffle.partitions")), min(by_size, 1 << 20))
 
 
+def parts_by(size: int | None, bytes_per_part: int, least: int) -> int:
+    """Hash parts for so many bytes, as measured by a scan."""
+    return max(least, -(-(size or 0) // bytes_per_part))
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The column's texts as UTF-8 bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, line_dedup, minhash, oracles, packing, quality, resampling, secrets, substring_dedup, warc
+from . import ann, bpe, conversations, langid, line_dedup, minhash, oracles, packing, quality, resampling, secrets, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_hilbert_packing": packing.query,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_tree_bpe": bpe.query,
     "op9_line_dedup": line_dedup.query,
     "op10_adaptive_ann": ann.query,
+    "op11_conversation_repair": conversations.query,
     "op12_importance_resampling": resampling.query,
+    "op13_suffix_array_dedup": suffix_dedup.query,
 }
 ORACLES: dict[str, str] = {
     "op2_minhash_near_dedup": oracles.NEAR_DUPLICATES,
@@ -23,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op9_line_dedup": line_dedup.ORACLE,
     "op12_importance_resampling": resampling.ORACLE,
+    "op13_suffix_array_dedup": oracles.SUFFIX_DEDUP,
 }
