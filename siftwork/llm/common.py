@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.plans.lineage import cut, drop, release, shared_dir  # noqa: F401
+from siftwork.plans.lineage import cut, drop, shared_dir  # noqa: F401
 from siftwork.sources.catalog import table  # noqa: F401
 
 #: Texts are handled in groups of about this many bytes, so that memory does not follow the Arrow batch.

@@ -183,7 +183,6 @@ def pairs_of(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     rows = c.cut(docs.mapInArrow(sketched, SKETCH_DDL), "op2-sketches")
     held = rows.filter("n > 0 and doc_id is not null")
@@ -196,7 +195,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     c.drop(entries, buckets)
     used = hot.select(F.col("node").alias("doc_id")).distinct()
     sets = c.cut(docs.join(used, "doc_id", "left_semi").mapInArrow(full_sets, SETS_DDL).dropDuplicates(["node", "k1"]), "op2-sets")
-    c.release(spark)
     led = hot.filter("leader <> struct(node, k1)").select(F.col("leader.node").alias("a"), F.col("leader.k1").alias("ka"), F.col("node").alias("b"), F.col("k1").alias("kb"), F.expr(f"size div {LEADER_ROWS} + 1").alias("lots"))
     links = links_of(led, sets)
     # a doc_id of several texts stands for each of them

@@ -289,7 +289,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     parts = c.parts_for(docs, PART_BYTES, LEAST_PARTS)
     plan = planned(docs, parts)
-    c.release(docs.sparkSession)
     windows = plan.filter("runs is not null").select("doc_id", "text", "runs")
     gone = exchanged(windows.mapInArrow(send_windows(parts), PARTS_DDL), smallest=True)
     return plan.join(gone, "doc_id", "left").mapInArrow(cut_words, KEPT_DDL)
