@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,12 +24,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: With it Spark deletes the shuffle files of an execution when that ends, instead of when the driver's garbage happens to be collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def without_leftovers(spark: SparkSession):
+    """Executions within leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: what follows survives the loss of any executor and never runs
-    df's plan again."""
+    df's plan again. The shuffle files of the execution go with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with without_leftovers(spark):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -44,13 +62,3 @@ def drop(*tables: DataFrame | None) -> None:
             jvm = df.sparkSession._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that nothing refers to any more; by itself it waits for the
-    driver's next full collection, and a finished phase would hold its disk until then. The first collection frees Python's
-    handles in the JVM, the second what they held."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
