@@ -136,10 +136,10 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
 HEAVY = 10_000
 
 
-def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, values: list[str], spread: list[str] | None = None) -> DataFrame:
+def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, values: list[str], spread: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Inner join of rows with per_key (a written table: one row for each key, with `weight`, the number of its rows) without a hot task:
     heavy keys, HEAVY at most by the way they are chosen, are broadcast. With `spread`, rows are read once and those of heavy keys are dealt
-    by these columns; the first of the keys is a long. Without, rows are a written table that is read twice, and only the others
+    by these columns; the first of the keys is a long; with `keep` rows without a match stay. Without, rows are a written table that is read twice, and only the others
     cross the network."""
     total = per_key.agg(F.sum(weight)).first()[0] or 0
     is_heavy = F.col(weight) * HEAVY >= total
@@ -154,7 +154,8 @@ def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: s
     rows = rows.join(heavy, at("h"), "left").drop(*[f"__h_{k}" for k in keys])
     rows = rows.withColumn("__only", F.col("__heavy").isNull()).withColumn("__at", F.when(F.col("__only"), F.col(keys[0])).otherwise(F.xxhash64(*spread)))
     on = [F.col("__at") == F.col(f"__l_{keys[0]}"), F.col("__only") == F.col("__l_only"), *at("l")[1:]]
-    done = rows.join(light, on, "left").withColumn("__found", F.coalesce("__heavy", "__light")).filter("__found is not null")
+    done = rows.join(light, on, "left").withColumn("__found", F.coalesce("__heavy", "__light"))
+    done = done if keep else done.filter("__found is not null")
     own = [c for c in done.columns if not c.startswith("__")]
     return done.select(*own, *[F.col(f"__found.{v}").alias(v) for v in values])
 

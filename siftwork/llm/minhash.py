@@ -17,7 +17,8 @@ A copy that lies too far from the group's text has too few shared shingles and i
 
 While the nodes left would make more than PAIRS_PER_ROW pairs each, up to TURNS further leaders take a turn, the one with the greatest
 m / n (closest to the text that the others were made from), are verified against the nodes of other components, and
-leave the bucket. What is left meets by bucket and size class under an exact bitmap filter: shared shingles are hashed to SIGNATURE bits, two
+leave the bucket. What is left is compared in the bucket of the smallest key that a pair shares, so once, in tiles of TILE x TILE nodes that are dealt over all
+tasks, under an exact bitmap filter: shared shingles are hashed to SIGNATURE bits, two
 bitmaps differ in no more bits than the sets in elements, and a link leaves m_a + m_b - 6/7 (n_a + n_b) elements to differ in at most. Pairs that
 pass are verified on full sets, so no link is lost.
 
@@ -50,6 +51,10 @@ SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()
 SKETCH_DDL = "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
 SETS = pa.schema([("node", pa.int64()), ("k1", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 SETS_DDL = "node bigint, k1 bigint, shingles array<bigint>"
+PAIRS = pa.schema([(x, pa.int64()) for x in ("a", "ka", "b", "kb", "lots")])
+PAIRS_DDL = "a bigint, ka bigint, b bigint, kb bigint, lots bigint"
+#: Nodes in a block of a contested bucket; rows of a block that are compared at once.
+TILE, STRIP = 1024, 128
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -131,7 +136,8 @@ def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     of = lambda end: parts.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
     between = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
     joined = connected_components(between).select(F.col("id").alias("component"), F.col("component").alias("to"))
-    moved = parts.join(joined, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    sizes = c.cut(parts.groupBy("component").agg(F.count("*").alias("size")).join(joined, "component"), "op2-moves")
+    moved = c.join_counted(parts, sizes, ["component"], "size", ["to"], ["id"], keep=True).select("id", F.coalesce("to", "component").alias("component"))
     alone = joined.join(parts.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("to").alias("component"))
     return moved.unionByName(alone)
 
@@ -171,14 +177,84 @@ def contested(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return c.cut(found.select("key", "node", "k1", "n", "component", "m", "most", "bits", "class", smaller.alias("classes"), pairs.alias("pairs")), "op2-contested")
 
 
+class Nodes:
+    """Contested nodes of one bucket, as arrays."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = rows
+        number = lambda x: np.array([r[x] for r in rows], np.int64)
+        self.node, self.n, self.m, self.most, self.component = (number(x) for x in ("node", "n", "m", "most", "component"))
+        self.bits = np.array([r["bits"] for r in rows], np.int64).view(np.uint64).reshape(len(rows), SIGNATURE // 64)
+
+
+def may_link(a: Nodes, b: Nodes, key: int, same: bool) -> tuple[list[tuple[int, int]], int]:
+    """Pairs (i of a, j of b) of different components and mutually possible sizes whose bitmaps allow a link, and how many were compared. A
+    pair that shares a smaller key is left to that key's bucket; same: a is b, and each pair is taken once."""
+    smaller = [[[k for k in r["keys"] if k < key] for r in x.rows] for x in (a, b)]
+    known = {k: i for i, k in enumerate({k for r in smaller[0] for k in r} & {k for r in smaller[1] for k in r})}
+    held = []
+    for rows in smaller:
+        x = np.zeros((len(rows), max(1, len(known))), np.float32)
+        for i, r in enumerate(rows):
+            x[i, [known[k] for k in r if k in known]] = 1
+        held.append(x)
+    found, compared = [], 0
+    for lo in range(0, len(a.rows), STRIP):
+        at = slice(lo, lo + STRIP)
+        col = lambda x: x[at, None]
+        ok = (held[0][at] @ held[1].T) == 0
+        ok &= (col(a.component) != b.component) & (DEN * np.minimum(col(a.n), b.n) >= NUM * np.maximum(col(a.n), b.n)) & (b.n <= col(a.most)) & (col(a.n) <= b.most)
+        if same:
+            ok &= np.arange(len(b.rows)) > np.arange(lo, lo + len(ok))[:, None]
+        i, j = np.nonzero(ok)
+        compared += len(i)
+        i += lo
+        for k in range(0, len(i), 1 << 16):
+            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            apart = np.bitwise_count(a.bits[x] ^ b.bits[y]).sum(1, dtype=np.int64)
+            near = (NUM + DEN) * apart <= (NUM + DEN) * (a.m[x] + b.m[y]) - 2 * NUM * (a.n[x] + b.n[y])
+            found += zip(x[near].tolist(), y[near].tolist())
+    return found, compared
+
+
+def tiles(batches):
+    """Rows in order of (key, lo, hi): the pairs of each tile that may be links, the larger set first."""
+    now, held = None, []
+
+    def done() -> pa.RecordBatch | None:
+        key, lo, hi = now
+        a = Nodes([r for r in held if r["block"] == lo])
+        b = a if lo == hi else Nodes([r for r in held if r["block"] == hi])
+        out = []
+        for i, j in may_link(a, b, key, lo == hi)[0] if a.rows and b.rows else ():
+            x, y = sorted((a.rows[i], b.rows[j]), key=lambda r: (-r["n"], r["node"]))
+            out.append((x["node"], x["k1"], y["node"], y["k1"], 1))
+        return c.rows_of(PAIRS, list(zip(*out))) if out else None
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            at = (row["key"], row["lo"], row["hi"])
+            if at != now:
+                if len(held) > 1 and (made := done()):
+                    yield made
+                now, held = at, []
+            held.append(row)
+    if len(held) > 1 and (made := done()):
+        yield made
+
+
 def pairs_of(rows: DataFrame) -> DataFrame:
-    """Pairs of one bucket, different components and mutually possible sizes whose bitmaps allow a link, the larger set first."""
-    side = lambda x, *more: rows.select("key", *more, F.col("node").alias(x), *[F.col(y).alias(f"{z}{x}") for y, z in (("k1", "k"), ("n", "n"), ("m", "m"), ("most", "o"), ("bits", "s"), ("component", "c"))])
-    apart = " + ".join(f"bit_count(sa[{i}] ^ sb[{i}])" for i in range(SIGNATURE // 64))
-    sizes = f"ca <> cb and na >= nb and {DEN} * nb >= {NUM} * na and nb <= oa and na <= ob and (na > nb or a < b)"
-    near = side("a", F.explode("classes").alias("class")).join(side("b", "class"), ["key", "class"])
-    near = near.filter(f"{sizes} and {NUM + DEN} * ({apart}) <= {NUM + DEN} * (ma + mb) - {2 * NUM} * (na + nb)")
-    return near.select("a", "ka", "b", "kb", F.lit(1).cast("long").alias("lots"))
+    """Pairs of contested nodes that may be links. Each pair is compared once, in the smallest key that both have; a bucket of more than TILE nodes is
+    dealt out in tiles of two blocks, so no task compares a whole bucket. Only pairs that pass become rows."""
+    first = [F.first(x).alias(x) for x in ("n", "m", "most", "component", "bits")]
+    nodes = rows.groupBy("node", "k1").agg(*first, F.sort_array(F.collect_set("key")).alias("keys"))  # BANDS keys at most
+    sizes = c.cut(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "op2-sizes")
+    placed = c.join_counted(nodes.withColumn("key", F.explode("keys")), sizes, ["key"], "size", ["size"], ["node", "k1"])
+    blocks = F.expr(f"(size - 1) div {TILE} + 1")
+    placed = placed.withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(node, k1), blocks)"))
+    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    dealt = dealt.select("key", "lo", "hi", "block", "node", "k1", "n", "m", "most", "component", "bits", "keys")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(tiles, PAIRS_DDL)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -186,8 +262,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     rows = c.cut(docs.mapInArrow(sketched, SKETCH_DDL), "op2-sketches")
     held = rows.filter("n > 0 and doc_id is not null")
-    nodes = c.cut(held.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "op2-nodes")
-    own = held.join(nodes, ["k1", "k2"])
+    nodes = c.cut(held.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "op2-nodes")
+    own = c.join_counted(held, nodes, ["k1", "k2"], "copies", ["node"], ["doc_id"])
     entries = c.cut(own.filter("doc_id = node").dropDuplicates(["k1", "k2"]).select("node", "k1", "n", F.explode("bands").alias("key")), "op2-entries")
     least = F.min(F.struct("node", "k1"))
     buckets = c.cut(entries.groupBy("key").agg(least.alias("leader"), F.count("*").alias("size")).filter("size > 1"), "op2-leaders")
@@ -223,8 +299,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         open_ = still_open(turned.filter("struct(node, k1) <> struct(l.node, l.k1)").select("key", "node", "k1", "n"), parts)
         c.drop(left, turned)
     c.drop(hot, sets, links)
-    member = rows.join(nodes, ["k1", "k2"], "left").select("doc_id", "n", F.expr("case when doc_id is null then null when n = 0 then doc_id else node end").alias("node"))
-    done = member.join(parts.withColumnRenamed("id", "node"), "node", "left")
+    bare = rows.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("node"))
+    done = own.select("doc_id", "n", "node").unionByName(bare).join(parts.withColumnRenamed("id", "node"), "node", "left")
     return done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")).withColumn("kept", F.expr("coalesce(doc_id = component_id, true)"))
 
 

@@ -101,3 +101,52 @@ def test_large_group_of_near_copies_of_all_degrees(spark, monkeypatch):
             del w[:rng.randrange(8)]
         texts.append(" ".join(w))
     assert result(minhash.near_duplicates(frame(spark, texts))) == brute(dict(enumerate(texts)))
+
+
+def near_threshold(n, words=400, changes=9, seed=21):
+    """Texts made from one base with so many changes, nearly all pairs of them below the threshold."""
+    rng = random.Random(seed)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(words)]
+    texts = []
+    for _ in range(n):
+        w = list(base)
+        for at in rng.sample(range(words), changes):
+            w[at] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def contested_nodes(rng, n, keys):
+    rows = []
+    for i in range(n):
+        mine = rng.sample(range(keys), rng.randrange(1, 4))
+        rows.append({"node": i, "k1": -i, "n": rng.randrange(90, 110), "m": 80 + rng.randrange(20), "most": 110, "component": rng.randrange(n), "bits": [rng.getrandbits(63) & rng.getrandbits(63) & rng.getrandbits(63) & rng.getrandbits(63) for _ in range(minhash.SIGNATURE // 64)], "keys": sorted(mine)})
+    return rows
+
+
+def test_each_pair_is_compared_once_in_its_smallest_shared_key():
+    rng = random.Random(3)
+    rows = contested_nodes(rng, 120, 8)
+    possible = {(a["node"], b["node"]) for i, a in enumerate(rows) for b in rows[i + 1 :] if set(a["keys"]) & set(b["keys"]) and a["component"] != b["component"] and 100 * min(a["n"], b["n"]) >= 75 * max(a["n"], b["n"]) and b["n"] <= a["most"] and a["n"] <= b["most"]}
+    apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a["bits"], b["bits"]))
+    want = {(i, j) for i, j in possible if 175 * apart(rows[i], rows[j]) <= 175 * (rows[i]["m"] + rows[j]["m"]) - 150 * (rows[i]["n"] + rows[j]["n"])}
+    for blocks in (1, 3):
+        total, got = 0, []
+        for key in range(8):
+            held = [[r for r in rows if key in r["keys"] and r["node"] % blocks == b] for b in range(blocks)]
+            for lo in range(blocks):
+                for hi in range(lo, blocks):
+                    if held[lo] and held[hi]:
+                        a = minhash.Nodes(held[lo])
+                        b = a if lo == hi else minhash.Nodes(held[hi])
+                        found, compared = minhash.may_link(a, b, key, lo == hi)
+                        total += compared
+                        got += [tuple(sorted((a.rows[i]["node"], b.rows[j]["node"]))) for i, j in found]
+        assert total == len(possible)
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_group_just_below_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 60)  # the group's buckets are dealt out in tiles
+    texts = near_threshold(150) + near_threshold(60, changes=6, seed=22)
+    assert result(minhash.near_duplicates(frame(spark, texts, extra=False))) == brute(dict(enumerate(texts)))
