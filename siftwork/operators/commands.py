@@ -61,26 +61,32 @@ def dedup(project_id: int, ids: DataFrame, images: DataFrame, tags: DataFrame, i
     return Outcome(tags, done, groups=chosen.groups, tagged=tagged, skipped=chosen.skipped, fallbacks=chosen.fallbacks, remaining=n - tagged)
 
 
-def curate(project_id: int, ids: DataFrame, images: DataFrame, tags: DataFrame, image_tags: DataFrame, count: int, apply_tag: str, now: int, scope_tag: int | None = None, exclude: DataFrame | None = None, **model) -> Outcome:
-    """Selects `count` of the scope and gives them the tag anew, in order: what the tag held before goes. exclude(image_id): ids that may not
-    be selected. model: what curate() takes (window, threshold, evaluate, choose, compare, gate, cancelled...)."""
-    own = candidates("curate", ids, tags, image_tags, scope_tag)
-    if exclude is not None:
-        own = own.join(exclude.select("image_id"), "image_id", "left_anti")
-    got = cur.curate(images.join(own.select("image_id").distinct(), "image_id", "left_semi"), count, **model)
-    if got.outcome != "chosen":
-        return Outcome(tags, image_tags, got.outcome)
-    spark = images.sparkSession
-    chosen = spark.createDataFrame(list(enumerate(got.ids, 1)), "ordinal bigint, image_id bigint")  # count, 50 at most
+def retagged(project_id: int, images: DataFrame, tags: DataFrame, image_tags: DataFrame, chosen: DataFrame, apply_tag: str, now: int) -> tuple[DataFrame, DataFrame]:
+    """tags and image_tags with the tag on exactly chosen(ordinal, image_id), in order: what it held before goes."""
     known = images.select(F.col("image_id").alias("id"), F.lit(project_id).cast("bigint").alias("project_id"))
     held = tags.filter((F.col("project_id") == project_id) & (scope.fold(F.col("name")) == scope.folded(apply_tag))).select("id").first()
     if held:
         image_tags = tagging.clear_tag(image_tags, held.id)
     else:
         tags = tagging.create_tag(tags, project_id, apply_tag, ordered=True)
-    tags, image_tags, _ = tagging.apply_tag(tags, image_tags, known, project_id, apply_tag, chosen, now)
+    tags, image_tags, _ = tagging.apply_tag(tags, image_tags, known, project_id, apply_tag, chosen.select("ordinal", "image_id"), now)
+    return tags, image_tags
+
+
+def curate(project_id: int, ids: DataFrame, images: DataFrame, tags: DataFrame, image_tags: DataFrame, count: int, apply_tag: str, now: int, scope_tag: int | None = None, exclude: DataFrame | None = None, **model) -> Outcome:
+    """Selects `count` of the scope and gives them the tag anew, in order: what the tag held before goes. exclude(image_id): ids that may not
+    be selected. They take part in the selection, of as many more items as they are, and go afterwards, so a picture that was swapped out isn't
+    replaced by its own near-duplicate. model: what curate() takes (window, threshold, evaluate, choose, compare, gate, cancelled...)."""
+    own = candidates("curate", ids, tags, image_tags, scope_tag)
+    out = {r.image_id for r in exclude.select("image_id").distinct().collect()} if exclude is not None and count > 0 else set()  # swapped out by hand
+    got = cur.curate(images.join(own.select("image_id").distinct(), "image_id", "left_semi"), count + len(out), **model)
+    if got.outcome != "chosen":
+        return Outcome(tags, image_tags, got.outcome)
+    kept = [i for i in got.ids if i not in out][:count]
+    chosen = images.sparkSession.createDataFrame(list(enumerate(kept, 1)), "ordinal bigint, image_id bigint")  # count, 50 at most
+    tags, image_tags = retagged(project_id, images, tags, image_tags, chosen, apply_tag, now)
     paths = chosen.join(images.select("image_id", "file_path"), "image_id") if "file_path" in images.columns else chosen
-    return Outcome(tags, image_tags, selected=paths, tagged=len(got.ids), fallbacks=got.comparison_fallbacks, caption=got.caption)
+    return Outcome(tags, image_tags, selected=paths, tagged=len(kept), fallbacks=got.comparison_fallbacks, caption=got.caption)
 
 
 def pick(project_id: int, ids: DataFrame, images: DataFrame, tags: DataFrame, image_tags: DataFrame, count: int, compare: tournament.CompareRows, now: int, window: int = 20, threshold: int = 10, gate: cur.Gate | None = None, cancelled: Callable[[], bool] = lambda: False) -> Outcome:
@@ -104,9 +110,10 @@ def pick(project_id: int, ids: DataFrame, images: DataFrame, tags: DataFrame, im
     single = clusters.members.filter("size = 1").select("image_id")
     champions = clusters.members.join(first.select("image_id").unionByName(single), "image_id", "left_semi")
     if count >= clusters.candidates:
-        ranked = global_ordinal(champions.select("cluster", "image_id"), [F.asc("cluster")]).select("ordinal", "image_id")
+        ranked = global_ordinal(champions, cur.seats()).select("ordinal", "image_id")
     else:
-        final = cut(tournament.top_k_in_groups(champions.withColumn("final", F.lit(1)), compare, count, ["final"]), "final")
+        seated = global_ordinal(champions, cur.seats(), "seat").withColumn("final", F.lit(1))
+        final = cut(tournament.top_k_in_groups(seated, compare, count, ["final"]), "final")
         if cancelled() or not final.filter("image_id is null").isEmpty():
             return Outcome(tags, image_tags, "cancelled", cost=cost)
         made += final.first().comparisons

@@ -52,6 +52,11 @@ def well_formed(answer: dict | None) -> bool:
     return answer is not None and isinstance(answer.get("assessment"), str) and isinstance(answer.get("unusable"), bool) and isinstance(answer.get("content"), str)
 
 
+def seats() -> list:
+    """The order of clusters: groups by their block in time, then by smallest member, and single items behind them."""
+    return [F.asc(F.col("size") < 2), F.asc_nulls_last(F.when(F.col("size") >= 2, F.col("block"))), F.asc("cluster")]
+
+
 def choose_winners(items: DataFrame, window: int, threshold: int, compare: tournament.CompareRows | None = None, gate: Gate | None = None, cancelled: Callable[[], bool] = lambda: False) -> Chosen:
     """Clusters of one project's items with a winner each: the representative, or who wins the comparator's elimination (its failure
     leaves the representative). The gate hears the cost before any comparison; without groups it isn't asked."""
@@ -101,7 +106,7 @@ def curate(items: DataFrame, count: int, window: int = 20, threshold: int = 10,
         return Curated([], outcome=chosen.outcome)
     if not chosen.candidates:
         return Curated([], outcome="empty")
-    winners = chosen.members.filter("image_id = winner").select("project_id", "winner", "captured_at", "size", "cluster")
+    winners = chosen.members.filter("image_id = winner").select("project_id", "winner", "captured_at", "size", "block", "cluster")
 
     def in_time(rows: list) -> list[int]:
         return [r.winner for r in sorted(rows, key=lambda r: (r.captured_at is None, -(r.captured_at or 0), r.winner))]
@@ -115,7 +120,7 @@ def curate(items: DataFrame, count: int, window: int = 20, threshold: int = 10,
     if size < chosen.candidates:
         pool = [r.winner for r in select.diverse_top(winners, size).orderBy("ordinal").collect()]
     else:  # no more than the preselection: clusters first, then single items
-        pool = [r.winner for r in winners.orderBy(F.col("size") < 2, "cluster").select("winner").collect()]
+        pool = [r.winner for r in winners.orderBy(*seats()).select("winner").collect()]
     ids = winners.sparkSession.createDataFrame([(i,) for i in pool], "image_id bigint")
     cached: dict[int, dict] = {}
     if evaluations is not None:

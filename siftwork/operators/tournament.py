@@ -123,7 +123,8 @@ def judged(compare: CompareRows, rows: list[dict]) -> Compare:
 
 
 def _members(pdf: pd.DataFrame) -> list[dict]:
-    ordered = pdf.sort_values("image_id").astype(object)
+    """In order of their seat, or else of their id: a comparator that isn't transitive finds its winner by the pairing."""
+    ordered = pdf.sort_values("seat" if "seat" in pdf else "image_id").astype(object)
     return ordered.where(ordered.notna(), None).to_dict("records")
 
 

@@ -1,7 +1,7 @@
 """The stages of a run over a project's tables: ingest, dedup, curate, style, style_all, deliver.
 
-Stages read and replace the tables of a Catalog; what they hand on is small: the selection (50 items at most), its styles, counts. Services are
-injected callables. start() makes a run from an intent's answer, which is all that a watch folder, a chat or a one-shot command differ in.
+Stages read and replace the tables of a Catalog. The selection that they hand on is a table too, since without a count all survivors are
+delivered; only its head and counts reach the driver, and what is sent streams through it in order. Services are injected callables. start() makes a run from an intent's answer, which is all that a watch folder, a chat or a one-shot command differ in.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions import scalar
-from siftwork.operators import commands, projects, replies, select
+from siftwork.operators import commands, projects, replies, scope, select
+from siftwork.operators.order import global_ordinal
 from siftwork.sources import export
 
+from .lineage import cut
 from .runs import Run, Stage, validate_plan
 
 
@@ -42,17 +44,17 @@ class Services:
     cancelled: Callable[[], bool] = lambda: False
 
 
-class StageError(RuntimeError):
-    pass
+#: Sent pictures that are marked together.
+MARKS = 50
 
 
-def _ids(cat: Catalog, ids: list[int]) -> DataFrame:
-    return cat.images.sparkSession.createDataFrame(list(enumerate(ids, 1)), "ordinal bigint, image_id bigint")
+class StageError(RuntimeError):
+    pass
 
 
-def _styled(cat: Catalog, ids: list[int], recipe_id: int) -> None:
+def _styled(cat: Catalog, ids: DataFrame, recipe_id: int) -> None:
     images = cat.images.withColumnRenamed("image_id", "id")
-    cat.images = projects.set_recipe(images, cat.recipes, _ids(cat, ids), recipe_id).withColumnRenamed("id", "image_id")
+    cat.images = cut(projects.set_recipe(images, cat.recipes, ids, recipe_id).withColumnRenamed("id", "image_id"), "styled")
 
 
 def _preset(cat: Catalog, name: str) -> int:
@@ -77,62 +79,80 @@ def stages(cat: Catalog, services: Services, now: int) -> dict[str, Stage]:
         return {"tagged": out.tagged, "remaining": out.remaining}
 
     def curate(inputs: dict, params: dict) -> dict:
-        """Without a count nothing is selected yet: the gate waits for a number, with which the stage runs again."""
+        """selection: ordinal, image_id, file_path. With a count: the command, asked for as many more as are to be left out. Without: all
+        images that carry no engine tag pass through. What is left out goes after the selection, and the tag holds the rest anew, in order."""
+        left_out = cat.images.filter(F.col("file_path").isin(params.get("exclude") or [])).select("image_id")
+        caption = ""
         if params["count"] is None:
-            return {"ids": [], "selected": [], "caption": ""}
-        ai = {"compare": services.compare, "evaluate": services.evaluate, "choose": services.choose, "gate": services.gate} if params.get("ai_enabled") else {}
-        left_out = cat.images.filter(F.col("file_path").isin(params["exclude"])).select("image_id") if params.get("exclude") else None
-        out = commands.curate(cat.project_id, cat.images.select("image_id"), cat.images, cat.tags, cat.image_tags, params["count"], params["apply_tag"], now, exclude=left_out, cancelled=services.cancelled, **ai)
-        if out.outcome != "done":
-            raise StageError(out.outcome)
-        cat.tags, cat.image_tags = out.tags, out.image_tags
-        rows = out.selected.orderBy("ordinal").collect()
-        return {"ids": [r.image_id for r in rows], "selected": [r.file_path for r in rows], "caption": out.caption}
+            own = cat.images.filter(F.col("project_id") == cat.project_id)
+            shown = F.when(F.col("name") == scope.REJECT, "Reject").when(F.col("name") == scope.DUPLICATE, "Duplicate")  # as listings name them
+            marks = cat.tags.filter("is_system").select(F.col("id").alias("tag_id"), shown.alias("name"))
+            marked = cat.image_tags.join(marks, "tag_id").groupBy("image_id").agg(F.collect_set("name").alias("system_tags"))
+            passed = scope.pass_through(own.select("image_id", "file_path").join(marked, "image_id", "left"), left_out)
+            selection = cut(global_ordinal(passed.select("image_id", "file_path"), [F.asc("image_id")]).select("ordinal", "image_id", "file_path"), "selection")
+            cat.tags, cat.image_tags = commands.retagged(cat.project_id, cat.images, cat.tags, cat.image_tags, selection, params["apply_tag"], now)
+        else:
+            ai = {"compare": services.compare, "evaluate": services.evaluate, "choose": services.choose, "gate": services.gate} if params.get("ai_enabled") else {}
+            out = commands.curate(cat.project_id, cat.images.select("image_id"), cat.images, cat.tags, cat.image_tags, params["count"], params["apply_tag"], now, exclude=left_out, cancelled=services.cancelled, **ai)
+            if out.outcome != "done":
+                raise StageError(out.outcome)
+            cat.tags, cat.image_tags, caption = out.tags, out.image_tags, out.caption
+            selection = cut(out.selected.select("ordinal", "image_id", "file_path"), "selection")
+        return {"selection": selection, "requested": params["count"], "returned": selection.count(), "caption": caption}
 
     def style(inputs: dict, params: dict) -> dict:
         """Matches the description to a preset and applies it to the first of the selection; without a description pictures stay as they are."""
         if not params.get("description"):
-            return {"recipe": None, "styles": {}}
+            return {"recipe": None, "applied": 0}
         names = [r.name for r in cat.recipes.filter("parent_id is null").orderBy("id").select("name").collect()]
         name = replies.style_of(services.match(params["description"], names), names)
-        chosen = inputs["curate"]
-        _styled(cat, chosen["ids"][:1], _preset(cat, name))
-        return {"recipe": name, "styles": {p: name for p in chosen["selected"][:1]}}
+        first = inputs["curate"]["selection"].filter("ordinal = 1")
+        _styled(cat, first, _preset(cat, name))
+        return {"recipe": name, "applied": first.count()}
 
     def style_all(inputs: dict, params: dict) -> dict:
-        """The style of the first on all others, one by one; the stage fails only if each of them does."""
-        held, chosen = inputs["style"], inputs["curate"]
-        styles, failed = dict(held["styles"]), {}
-        if held["recipe"]:
-            preset = _preset(cat, held["recipe"])
-            for i, path in list(zip(chosen["ids"], chosen["selected"]))[1:]:
-                try:
-                    _styled(cat, [i], preset)
-                    styles[path] = held["recipe"]
-                except projects.ProjectError as e:
-                    failed[path] = str(e)
-            if failed and len(failed) == len(chosen["ids"]) - 1:
-                raise StageError(f"no style could be applied: {failed}")
-        return {"styles": styles, "failed": failed}
+        """The style of the first on all others that are still there; the stage fails only if none of them is."""
+        recipe = inputs["style"]["recipe"]
+        if not recipe:
+            return {"recipe": None, "failed": 0}
+        others = inputs["curate"]["selection"].filter("ordinal > 1")
+        there = cut(others.join(cat.images.select("image_id"), "image_id", "left_semi"), "others")
+        failed = others.count() - there.count()
+        if failed and there.isEmpty():
+            raise StageError(f"no style could be applied to {failed} pictures")
+        _styled(cat, there, _preset(cat, recipe))
+        return {"recipe": recipe, "failed": failed}
 
     def deliver(inputs: dict, params: dict) -> dict:
         """Sends what wasn't sent under this selection, order and styles, and marks each at once, so that a run after a failure goes on."""
-        chosen, styles = inputs["curate"], inputs["style_all"]["styles"]
-        spark = cat.images.sparkSession
-        key = spark.createDataFrame([(chosen["selected"], [styles.get(p) for p in chosen["selected"]])], "paths array<string>, styles array<string>")
+        selection, recipe = inputs["curate"]["selection"], inputs["style_all"]["recipe"]
+        styled = F.lit(recipe).cast("string")
+        rows = F.sort_array(F.collect_list(F.struct("ordinal", "file_path", styled.alias("style"))))
+        key = selection.agg(rows.alias("rows")).select(F.col("rows.file_path").alias("paths"), F.col("rows.style").alias("styles"))  # a signature is over all of a selection
         signature = key.select(scalar.delivery_signature(F.col("paths"), F.col("styles")).alias("s")).first().s
-        manifest = export.batch(_ids(cat, chosen["ids"]), cat.images.withColumnRenamed("image_id", "id"))
+        manifest = export.batch(selection.select("ordinal", "image_id"), cat.images.withColumnRenamed("image_id", "id"))
         before = cat.sent.filter(F.col("signature") == signature).select("image_id")
-        todo = manifest.join(before, "image_id", "left_anti").filter("reason is null").orderBy("ordinal").collect()  # a selection, 50 at most
-        new: list[tuple] = []
+        todo = cut(manifest.join(before, "image_id", "left_anti").filter("reason is null"), "deliver").orderBy("ordinal")
+        sent, held = 0, []
+        spark = cat.images.sparkSession
+
+        def mark() -> None:
+            if held:
+                cat.sent = cut(cat.sent.unionByName(spark.createDataFrame(held, "signature string, image_id bigint")), "sent")
+                held.clear()
+
         try:
-            for row in todo:
+            for row in todo.toLocalIterator():
                 services.send(row.asDict())
-                new.append((signature, row.image_id))
+                held.append((signature, row.image_id))
+                sent += 1
+                if len(held) >= MARKS:
+                    mark()
         finally:
-            if new:
-                cat.sent = cat.sent.unionByName(spark.createDataFrame(new, "signature string, image_id bigint"))
-        return {"signature": signature, "sent": len(new), "delivered": select.already_delivered(_ids(cat, chosen["ids"]).withColumn("project_id", F.lit(0)), cat.sent.filter(F.col("signature") == signature)).first().delivered}
+            mark()
+        mine = selection.select("image_id").withColumn("project_id", F.lit(0))
+        done = select.already_delivered(mine, cat.sent.filter(F.col("signature") == signature)).first()
+        return {"signature": signature, "sent": sent, "delivered": done is None or done.delivered}
 
     needs = {"dedup": ("ingest",), "curate": ("ingest",), "style": ("curate",), "style_all": ("curate", "style"), "deliver": ("curate", "style_all")}
     return {f.__name__: Stage(f.__name__, f, needs.get(f.__name__, ())) for f in (ingest, dedup, curate, style, style_all, deliver)}

@@ -252,19 +252,31 @@ def test_a_run_from_intent_to_delivery(spark):
         out.append((row["image_id"], row["target"], row["route"]))
 
     services = stages.Services(send, match=lambda text, names: {"recipe_name": names[1]})
+    chosen = lambda r: [x.image_id for x in r.outputs["curate"]["selection"].orderBy("ordinal").collect()]
     run = stages.start({"count": 2, "apply_tag": "best"}, cat, services, 9, description="warm")
-    assert (run.status, run.waiting) == ("waiting", "style") and run.outputs["curate"]["ids"] == [7, 3]
-    assert cat.images.filter("recipe_id = 2").count() == 1
-    assert run.answer() == "waiting" and run.waiting == "style_all" and cat.images.filter("recipe_id = 2").count() == 2
-    assert run.answer() == "failed" and len(out) == 1 and cat.sent.count() == 1
-    assert run.adjust("deliver") == "done" and len(out) == 2 and out[0][2] == "bake"  # goes on where it stopped
-    assert run.adjust("deliver") == "done" and len(out) == 2  # nothing is sent twice
-    assert run.outputs["deliver"]["delivered"]
+    assert (run.status, run.waiting) == ("waiting", "style") and chosen(run) == [7, 3]
+    assert cat.images.filter("recipe_id = 2").count() == 0  # nothing is touched before the answer
+    assert run.answer() == "waiting" and run.waiting == "style_all" and cat.images.filter("recipe_id = 2").count() == 1
+    assert run.answer() == "failed" and len(out) == 1 and cat.sent.count() == 1 and cat.images.filter("recipe_id = 2").count() == 2
+    assert run.adjust("deliver") == "review" and len(out) == 2 and out[0][2] == "bake"  # goes on where it stopped
+    assert run.adjust("deliver") == "review" and len(out) == 2  # nothing is sent twice
+    assert run.outputs["deliver"]["delivered"] and run.approve() == "done"
     # another order, selection or style is another delivery
     again = stages.start({"count": 2, "apply_tag": "best"}, cat, services, 9, gates=False)
-    assert again.status == "done" and len(out) == 4
-    first = stages.start({"dedup_requested": True}, cat, services, 9)
-    assert (first.status, first.waiting, first.outputs["curate"]["ids"]) == ("waiting", "curate", [])
+    assert again.status == "review" and len(out) == 4
+    first = stages.start({"dedup_requested": True, "apply_tag": "best"}, cat, services, 9)
+    assert (first.status, first.waiting, first.outputs.get("curate")) == ("waiting", "curate", None)
     assert first.outputs["dedup"] == {"tagged": 3, "remaining": 5}
-    assert first.adjust("curate", count=1) == "waiting" and first.outputs["curate"]["ids"] == [7]
-    assert first.answer() == "waiting" and first.waiting == "style"
+    assert first.rerun("curate", count=1) == "waiting" and chosen(first) == [7] and first.waiting == "style"
+    # proceeding without a number: all survivors pass through, and the tag holds them alone
+    second = stages.start({"dedup_requested": True, "apply_tag": "best"}, cat, services, 9)
+    second.plan[2].params["exclude"] = [r.file_path for r in cat.images.filter("image_id = 7").collect()]
+    assert second.answer() == "waiting" and second.waiting == "style"
+    duplicates = {r.image_id for r in cat.image_tags.join(cat.tags.filter(F.col("name") == scope.DUPLICATE).select(F.col("id").alias("tag_id")), "tag_id").collect()}
+    rejects = {r.image_id for r in cat.image_tags.join(cat.tags.filter(F.col("name") == scope.REJECT).select(F.col("id").alias("tag_id")), "tag_id").collect()}
+    survivors = sorted({r.image_id for r in cat.images.collect()} - duplicates - rejects - {7})
+    assert chosen(second) == survivors and len(survivors) >= 3 and len(duplicates) == 3
+    tagged = cat.image_tags.join(cat.tags.filter("name = 'best'").select(F.col("id").alias("tag_id")), "tag_id")
+    assert [r.image_id for r in tagged.orderBy("position").collect()] == survivors
+    before = len(out)
+    assert second.answer() == "waiting" and second.answer() == "review" and len(out) == before + len(survivors)

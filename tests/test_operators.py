@@ -384,12 +384,24 @@ def test_runs():
     with pytest.raises(runs.PlanError):
         runs.validate_plan(p)
     log = []
+    names = list(runs.SHAPES[0])
     r = runs.Run(plan(curate="courtesy", style="required"), stages(log))
-    assert r.advance() == "waiting" and r.waiting == "curate"
-    assert r.timed_out() == "waiting" and r.waiting == "style" and r.timed_out() == "waiting"
-    assert r.answer() == "done" and log == list(runs.SHAPES[0])
+    assert r.advance() == "waiting" and r.waiting == "curate" and log == names[:2]  # a gate stops its stage, not what follows
+    assert r.timed_out() == "waiting" and r.waiting == "style" and r.timed_out() == "waiting" and log == names[:3]
+    assert r.answer() == "review" and log == names
+    assert r.approve() == "done"
+    with pytest.raises(runs.PlanError):
+        r.approve()
+    log.clear()
+    assert r.adjust("style") == "waiting" and log == []  # asked again before anything runs
+    assert r.rerun("style", answered=True, provider="gemini") == "review" and log == names[3:] and r.plan[3].params["provider"] == "gemini"
+    assert r.adjust("style") == "review"
+    assert r.rearm("style") == "waiting" and r.states["style"] == "pending"
     log.clear()
-    assert r.adjust("style") == "waiting" and log == ["style"]
+    assert r.answer(False) == "cancelled" and log == [] and r.states["style"] == "pending"
+    held = runs.Run(plan(curate="courtesy"), stages(log))
+    held.plan[2].on_timeout = "hold"
+    assert held.advance() == "waiting" and held.timed_out() == "cancelled" and log == names[:2]
     assert runs.Run(plan(), stages([], "dedup")).advance() == "failed"
     optional = runs.Run(plan(), stages([], "style"))
-    assert optional.advance() == "done" and optional.states["style"] == "skipped"
+    assert optional.advance() == "review" and optional.states["style"] == "skipped"
