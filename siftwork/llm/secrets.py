@@ -13,15 +13,15 @@ symbols three tests of the hypothesis "drawn at random" are made:
 The tails are those of the complementary error function, with a relative error below 2e-7 however far out. Fisher's rule combines the
 three into one p (chi-squared with six degrees of freedom).
 
-A second p has the null that the candidate is written: a chain of lower-case, upper-case, digit and mark (STEPS) that
-draws a symbol by its class (LETTERS, MARKS, digits alike). For a string drawn from the null, its chance by the null
-over that by k equally likely symbols falls below p with chance p at most (Markov), so this ratio, times the CHOICES of
-encoding, serves as p. It falls with each symbol: 20 random characters of any encoding have a median p of about 1e-8.
+The null is that the candidate is written: a chain of lower-case, upper-case, digit and mark (STEPS) that draws a symbol by its
+class (LETTERS, MARKS, digits alike). Against it stands "drawn at random from the alphabet, weighted by what the battery says": a random
+string's battery p is uniform, so the weight (WEIGHT + 1) * p ** WEIGHT has mean 1 and leaves a distribution. The ratio of the two chances has mean
+1 under the null, hence its reciprocal, times the CHOICES of encoding, is a p (Markov). The part of the ratio that symbols alone give counts up to
+10 ** RATIO, so that no length outvotes the battery: letters in an order that fails a test at 1e-6 aren't random, however rare they are.
 
-Both are controlled over the whole corpus by the Benjamini-Hochberg rule among all candidates of an encoding and length band, since short strings
-can't give small p: a candidate is a secret if "written" is rejected at the false discovery rate RATE and "random" isn't at the rate
-LOSS. Candidates are counted in bins of p (bounded in number), and each threshold is the largest p whose expected false
-discoveries stay below the rate. Base spans always stay; added ones that overlap them are left out.
+That p is controlled over the whole corpus by the Benjamini-Hochberg rule at the rate RATE among all candidates of an encoding and length band, since
+short strings can't give small p. Candidates are counted in bins of p (bounded in number), and each threshold is the largest p whose expected
+false discoveries stay below the rate. Base spans always stay; added ones that overlap them are left out.
 
 Running sums over a text's matches are made in blocks of BLOCK, so time stays in proportion to the matches.
 
@@ -45,7 +45,8 @@ HEX = r"[0-9a-f]{24,}"  # [0-9a-f]+ of 24 characters or more
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE_CHARS = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{CANDIDATE_CHARS},}}={{0,2}}"
-RATE, LOSS, TOLERANCE, BANDS, BINS, BLOCK = 1e-3, 0.01, 0.1, (20, 32, 64), 300, 100
+RATE, RATIO, WEIGHT, TOLERANCE, BANDS, BINS, BLOCK = 1e-3, 12, 2, 0.1, (20, 32, 64), 300, 100
+TESTS = ("chi", "runs", "serial")
 _LOW, _UP, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: encoding: pattern of the whole candidate, alphabet
 SHAPE = {
@@ -119,13 +120,15 @@ def _ln_erfc(w: str, t: str) -> str:
     return f"(ln({t}) - {w} * {w} + {poly})"
 
 
-def _tested(places: str) -> str:
-    """SQL: array of (s, e, enc, band, written, random: bins of the two p) for the candidates in an array of (s, e, m)."""
+def _tested(places: str, tests: tuple[str, ...] = TESTS) -> str:
+    """SQL: array of (s, e, enc, band, bin of p) for the candidates in an array of (s, e, m)."""
     alphabet = _case({k: f"'{v[1]}'" for k, v in SHAPE.items()})
     halves = _case({k: "'" + "0" * (len(v[1]) // 2) + "1" * (len(v[1]) - len(v[1]) // 2) + "'" for k, v in SHAPE.items()})
     enc = "case " + " ".join(f"when x.m rlike '{v[0]}' then '{k}'" for k, v in SHAPE.items() if v[0]) + " else 'base64' end"
     own = "'s', x.s, 'e', x.e, 'enc', x.enc, 'n', x.n, 'k', x.k, 'cost', x.cost"
     root, tail = math.sqrt(0.5), lambda z: f"'w_{z}', abs(x.z_{z}) * {math.sqrt(0.5)}D, 't_{z}', 1 / (1 + abs(x.z_{z}) * {root / 2}D)"
+    half = {"chi": "if(x.z_chi >= 0, x.chi, ln(1 - exp(x.chi)))", "runs": "x.runs", "serial": "x.serial"}
+    tail_sum = " + ".join(f"pow(x.h, {j}) / {math.factorial(j)}" for j in range(len(tests)))
     steps = [
         f"named_struct('s', x.s, 'e', x.e, 'enc', {enc}, 'm', rtrim('=', x.m))",
         f"""named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'n', cast(char_length(x.m) as double), 'k', cast(char_length({alphabet}) as double), 'cost', {_written('x.m')},
@@ -145,19 +148,19 @@ def _tested(places: str) -> str:
         f"named_struct({own}, 'z_chi', x.z_chi, {tail('chi')}, {tail('runs')}, {tail('serial')})",
         f"named_struct({own}, 'z_chi', x.z_chi, 'chi', {_ln_erfc('x.w_chi', 'x.t_chi')} + {math.log(0.5)}D, 'runs', {_ln_erfc('x.w_runs', 'x.t_runs')}, 'serial', {_ln_erfc('x.w_serial', 'x.t_serial')})",
         # Fisher: half of the statistic is the sum of -ln p, and the tail is closed
-        f"named_struct({own}, 'h', - if(x.z_chi >= 0, x.chi, ln(1 - exp(x.chi))) - least(0D, x.runs) - least(0D, x.serial))",
-        f"""named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'n', x.n, 'written', least(0D, ({math.log2(CHOICES)}D + x.n * log2(x.k) - x.cost) * {math.log10(2)}D),
-            'random', (ln(1 + x.h + x.h * x.h / 2) - x.h) * {math.log10(math.e)}D)""",
+        f"named_struct({own}, 'h', {' + '.join(['0D'] + [f'greatest(0D, - {half[t]})' for t in tests])})",
+        f"named_struct({own}, 'battery', {f'(ln({tail_sum}) - x.h) * {math.log10(math.e)}D' if tests else '0D'})",
+        f"""named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'n', x.n, 'p', least(0D, {math.log10(CHOICES)}D + greatest(-{RATIO}D, (x.n * log2(x.k) - x.cost) * {math.log10(2)}D)
+            - {math.log10(WEIGHT + 1) if tests else 0}D - {WEIGHT} * x.battery))""",
     ]
     out = f"filter({places}, x -> x.m rlike '[0-9]' and x.m rlike '[A-Za-z]')"
     for step in steps:
         out = f"transform({out}, x -> {step})"
     band = "case " + " ".join(f"when x.n >= {b} then {b}" for b in reversed(BANDS)) + f" else {BANDS[0]} end"
-    in_bin = lambda p: f"cast(least({BINS}, floor(-10 * x.{p} + 1e-9)) as int)"
-    return f"transform({out}, x -> named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'band', {band}, 'written', {in_bin('written')}, 'random', {in_bin('random')}))"
+    return f"transform({out}, x -> named_struct('s', x.s, 'e', x.e, 'enc', x.enc, 'band', {band}, 'bin', cast(least({BINS}, floor(-10 * x.p + 1e-9)) as int)))"
 
 
-def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
+def scanned(docs: DataFrame, keep: list[str], tests: tuple[str, ...] = TESTS) -> DataFrame:
     """row (the columns of docs to keep), base spans (s, k: number of the kind, e) and candidates of each row."""
     df = docs.select(F.struct(*[F.col(c.quoted(x)) for x in keep]).alias("row"), F.coalesce("text", F.lit("")).alias("__text"))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("candidates", CANDIDATE)):
@@ -165,7 +168,7 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     value = F.expr(f"filter(__assign, x -> char_length(regexp_extract(x.m, {_quoted(ASSIGN)}, 1)) >= 6)")
     df = df.withColumn("__assign", value)
     base = "concat(" + ", ".join(f"transform(__{k}, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e))" for i, k in enumerate(KINDS[:3])) + ")"
-    return df.select("row", F.expr(f"sort_array({base})").alias("base"), F.expr(_tested("__candidates")).alias("candidates"))
+    return df.select("row", F.expr(f"sort_array({base})").alias("base"), F.expr(_tested("__candidates", tests)).alias("candidates"))
 
 
 def _quoted(pattern: str) -> str:
@@ -182,28 +185,20 @@ def _limit(counts: dict[int, int], rate: float, total: int) -> int | None:
     return out
 
 
-def thresholds(found: DataFrame) -> dict[tuple[str, int], tuple[int, int]]:
-    """For each encoding and length band that has one, the bin from which on "written" is rejected, and the bin from which on
-    "random" is. Only the bins' counts, bounded in number, come to the driver."""
-    x = found.select(F.explode("candidates").alias("x"))
-    of = lambda p: x.groupBy("x.enc", "x.band", F.lit(p).alias("p"), F.col(f"x.{p}").alias("bin")).count()
+def thresholds(found: DataFrame) -> dict[tuple[str, int], int]:
+    """For each encoding and length band that has one, the bin from which on "written" is rejected. Only the bins' counts, bounded
+    in number, come to the driver."""
     counts: dict[tuple, dict[int, int]] = {}
-    for r in of("written").unionByName(of("random")).collect():
-        counts.setdefault((r.enc, r.band), {}).setdefault(r.p, {})[r.bin] = r["count"]
-    out = {}
-    for kind, own in counts.items():
-        total = sum(own["written"].values())
-        written, random = _limit(own["written"], RATE, total), _limit(own["random"], LOSS, total)
-        if written is not None:
-            out[kind] = written, BINS + 1 if random is None else random
-    return out
+    for r in found.select(F.explode("candidates").alias("x")).groupBy("x.enc", "x.band", "x.bin").count().collect():
+        counts.setdefault((r.enc, r.band), {})[r.bin] = r["count"]
+    limits = {kind: _limit(own, RATE, sum(own.values())) for kind, own in counts.items()}
+    return {kind: limit for kind, limit in limits.items() if limit is not None}
 
 
-def spanned(docs: DataFrame, keep: list[str]) -> DataFrame:
+def spanned(docs: DataFrame, keep: list[str], tests: tuple[str, ...] = TESTS) -> DataFrame:
     """row, base and spans: sorted array of (s, k, e), k a number in KINDS, places in code points."""
-    found = c.cut(scanned(docs, keep), "op3-found")
-    limits = thresholds(found)
-    test = " or ".join(f"(x.enc = '{enc}' and x.band = {band} and x.written >= {w} and x.random < {r})" for (enc, band), (w, r) in sorted(limits.items())) or "false"
+    found = c.cut(scanned(docs, keep, tests), "op3-found")
+    test = " or ".join(f"(x.enc = '{enc}' and x.band = {band} and x.bin >= {at})" for (enc, band), at in sorted(thresholds(found).items())) or "false"
     kind = "struct<s: int, k: int, e: int, free: boolean>"
     # added spans that no base span overlaps: none before that ends later than they begin, none after that begins before they end
     both = f"transform(sort_array(concat(base, transform(filter(candidates, x -> {test}), x -> named_struct('s', x.s, 'k', 3, 'e', x.e)))), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'free', true))"
@@ -214,9 +209,9 @@ def spanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     return found.select("row", "base", F.expr(spans).alias("spans"))
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, base and spans of each row of docs(doc_id, text)."""
-    return spanned(docs, ["doc_id"]).select("row.doc_id", "base", "spans")
+def find_secrets(docs: DataFrame, tests: tuple[str, ...] = TESTS) -> DataFrame:
+    """doc_id, base and spans of each row of docs(doc_id, text). tests: those of the battery that take part."""
+    return spanned(docs, ["doc_id"], tests).select("row.doc_id", "base", "spans")
 
 
 def _joined(spans: str) -> str:

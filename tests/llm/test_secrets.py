@@ -105,8 +105,8 @@ def test_redaction_and_hostile(spark):
     assert secrets.find_secrets(with_null_id(frame(spark))).count() == len(HOSTILE) + 3
 
 
-def battery(m):
-    """Encoding, length and the two p of a candidate, by another way: exact erfc, loops instead of array functions."""
+def battery(m, tests=secrets.TESTS):
+    """Encoding, length, p, the battery's p and that of each test, of a candidate, by another way: exact erfc, loops instead of array functions."""
     m = m.rstrip("=")
     enc = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", m) else "base32" if re.fullmatch("[A-Z2-7]+", m) else "base36" if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", m) else "base64"
     alphabet = secrets.SHAPE[enc][1]
@@ -126,40 +126,111 @@ def battery(m):
     c = at + 1.0 - (at + 1.0).mean()
     r = (c * np.roll(c, -1)).sum() / (c * c).sum()
     p_serial = math.erfc(abs((r + 1 / (n - 1)) * math.sqrt(n)) / math.sqrt(2))
-    h = -sum(math.log(max(p, 1e-300)) for p in (p_chi, p_runs, p_serial))
-    random_ = math.log10(1 + h + h * h / 2) - h / math.log(10)
+    each = {"chi": p_chi, "runs": p_runs, "serial": p_serial}
+    h = -sum(math.log(max(each[t], 1e-300)) for t in tests)
+    tail = (math.log(sum(h**j / math.factorial(j) for j in range(len(tests)))) - h) / math.log(10) if tests else 0.0
     cost, before = 0.0, "S"
     for ch in m:
         kind = "L" if ch.islower() else "U" if ch.isupper() else "D" if ch.isdigit() else "S"
         cost -= math.log2(secrets.STEPS[before][secrets.CLASSES.index(kind)])
         cost -= math.log2(secrets.LETTERS[ord(ch.lower()) - 97] / sum(secrets.LETTERS) if ch.isalpha() else 0.1 if kind == "D" else secrets.MARKS[ch])
         before = kind
-    return enc, n, min(0.0, (math.log2(secrets.CHOICES) + n * math.log2(k) - cost) * math.log10(2)), random_
+    ratio = max(-secrets.RATIO, (n * math.log2(k) - cost) * math.log10(2))
+    p = min(0.0, math.log10(secrets.CHOICES) + ratio - (math.log10(secrets.WEIGHT + 1) if tests else 0) - secrets.WEIGHT * tail)
+    return enc, n, p, tail, each
 
 
-def candidates(text):
+def candidates(text, tests=secrets.TESTS):
     for m in re.finditer(secrets.CANDIDATE, text or ""):
         if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
-            yield m.start(), m.end(), *battery(m[0])
+            yield m.start(), m.end(), *battery(m[0], tests)[:3]
+
+
+ALPHABETS = {"hex": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "base36": string.ascii_lowercase + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+
+
+def ordered(rng, test):
+    """A string of rare symbols that fails this test of the battery and passes the others."""
+    if test == "chi":
+        while True:
+            m = "".join(rng.choice("Q7zK") for _ in range(48))
+            if min(battery(m)[4][t] for t in ("runs", "serial")) > 0.05:
+                return m
+    at = list(ALPHABETS["base64"])
+    rng.shuffle(at)
+
+    def worth(x):
+        each = battery("".join(x))[4]
+        return math.log(max(each[test], 1e-30)) + 8 * max(0.0, math.log(0.2 / max(1e-30, min(v for t, v in each.items() if t != test))))
+
+    now = worth(at)
+    for _ in range(4000):
+        i, j = rng.sample(range(len(at)), 2)
+        at[i], at[j] = at[j], at[i]
+        new = worth(at)
+        if new <= now:
+            now = new
+        else:
+            at[i], at[j] = at[j], at[i]
+    return "".join(at)
+
+
+def planted():
+    """Texts, the random strings in them, and the ordered ones with the test that each fails."""
+    rng = random.Random(31)
+    random_, structured, texts = {}, {}, []
+    names = ["chapter-12-of-the-river-2024", "src/module/version_2/index_17", "IndexMarginValidator77", "holiday_in_the_mountains_v2"]
+    for i in range(600):
+        text = f"{rng.choice(names)} and {rng.choice(names)} "
+        if i % 5 == 0:
+            enc = list(ALPHABETS)[i // 5 % 4]
+            m = ""
+            while not (re.search("[0-9]", m) and re.search("[A-Za-z]", m)):
+                m = "".join(rng.choice(ALPHABETS[enc]) for _ in range(rng.choice([24, 40, 64])))
+            random_[i] = (enc, len(text), len(text) + len(m))
+            text += m
+        elif i % 50 == 1:
+            test = secrets.TESTS[i // 50 % 3]
+            m = ordered(rng, test)
+            structured[i] = (test, len(text), len(text) + len(m))
+            text += m
+        texts.append(text + " end")
+    return texts, random_, structured
+
+
+def added(spark, texts, tests=secrets.TESTS):
+    return {(r.doc_id, s.s, s.e) for r in secrets.find_secrets(frame(spark, texts, extra=False), tests).collect() for s in r.spans if s.k == 3}
 
 
 def test_added_spans_against_an_independent_battery(spark):
-    sf = "/root/testdata/sf0.1"
-    texts = dict(common.table(spark, sf, "documents").select("doc_id", "text").collect())
+    texts, random_, structured = planted()
     held = defaultdict(list)
-    for i, t in texts.items():
-        for a, b, enc, n, written, random_ in candidates(t):
-            held[enc, max(x for x in secrets.BANDS if n >= x)].append((i, a, b, math.floor(-10 * written + 1e-9), math.floor(-10 * random_ + 1e-9)))
+    for i, t in enumerate(texts):
+        for a, b, enc, n, p in candidates(t):
+            held[enc, max(x for x in secrets.BANDS if n >= x)].append((i, a, b, math.floor(-10 * p + 1e-9)))
     want = set()
     for rows in held.values():
-        limits = []
-        for at, rate in ((3, secrets.RATE), (4, secrets.LOSS)):
-            ordered = sorted((min(secrets.BINS, r[at]) for r in rows), reverse=True)
-            limits.append(min((b for b in set(ordered) if 10 ** (-b / 10) <= sum(x >= b for x in ordered) * rate / len(rows)), default=10**9))
-        want |= {r[:3] for r in rows if min(secrets.BINS, r[3]) >= limits[0] and min(secrets.BINS, r[4]) < limits[1]}
+        ranked = sorted((min(secrets.BINS, r[3]) for r in rows), reverse=True)
+        limit = min((b for b in set(ranked) if 10 ** (-b / 10) <= sum(x >= b for x in ranked) * secrets.RATE / len(rows)), default=10**9)
+        want |= {r[:3] for r in rows if min(secrets.BINS, r[3]) >= limit}
     want = {(i, a, b) for i, a, b in want if not any(x < b and a < y for x, _, y in base(texts[i]))}
-    got = {(r.doc_id, s.s, s.e) for r in secrets.find_secrets(common.table(spark, sf, "documents")).collect() for s in r.spans if s.k == 3}
-    assert got == want and held
+    assert added(spark, texts) == want
+    found = {e: [(i, a, b) in want for i, (x, a, b) in random_.items() if x == e] for e in ALPHABETS}
+    assert all(sum(x) >= 0.9 * len(x) and len(x) >= 20 for x in found.values()), found
+    assert not {i for i, _, _ in want} - set(random_)
+
+
+def test_each_test_of_the_battery_keeps_what_it_alone_rejects(spark):
+    """With a test switched off, the strings that only it rejects are taken for secrets; with all on, none is."""
+    texts, random_, structured = planted()
+    every = added(spark, texts)
+    assert not {i for i, _, _ in every} & set(structured)
+    changed = {}
+    for test in secrets.TESTS:
+        without = added(spark, texts, tuple(t for t in secrets.TESTS if t != test))
+        changed[test] = {i for i, _, _ in without - every} & set(structured)
+        assert changed[test] == {i for i, (t, _, _) in structured.items() if t == test}, (test, changed)
+    assert all(changed.values())
 
 
 def test_random_strings_pass_the_battery_at_its_rate():
