@@ -41,6 +41,7 @@ RECORDS_DDL = "archive string, status string, start bigint, end bigint, reason s
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n[!-9;-~]+:")  # and the first header
 NO_ID = "none"
+READ_BYTES = 64 << 20  # of archives in a reading task
 
 
 def urn(page_id: int | None) -> str:
@@ -48,8 +49,9 @@ def urn(page_id: int | None) -> str:
 
 
 def page_of(name: str | None) -> int | None:
-    value = name[len("<urn:page:") : -1] if name else NO_ID
-    return None if value == NO_ID else int(value)
+    """The page of an id that urn() made; None for others, as foreign archives have them."""
+    found = re.fullmatch(r"<urn:page:(-?\d{1,19})>", name or "")
+    return int(found[1]) if found and -(1 << 63) <= int(found[1]) < 1 << 63 else None
 
 
 def record(kind: str, page_id: int | None, url: str | None, payload: bytes, sha1: bytes, size: int, refers: int | None) -> bytes:
@@ -355,19 +357,24 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     """pages(page_id, url, html) -> manifest(path, bytes, records) of the archives, which are written when this returns."""
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    thin = pages.filter(f"payload_bytes >= {DEDUP_BYTES} and page_id is not null").select("page_id", "digest").distinct()
-    heads = thin.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = thin.join(heads, "digest").filter("page_id <> refers_to")
+    thin = pages.filter(f"payload_bytes >= {DEDUP_BYTES} and page_id is not null").select("page_id", "digest").distinct().withColumn("h", F.xxhash64("digest"))
+    heads = c.cut(thin.groupBy("h", "digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1"), "op4-heads")
+    again = c.join_counted(thin, heads, ["h", "digest"], "n", ["refers_to"], ["page_id"]).filter("page_id <> refers_to").drop("h")
     records = pages.join(again, ["page_id", "digest"], "left")
     records = records.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
     made = records.select("page_id", "url", "payload", "digest", "payload_bytes", "refers_to").mapInArrow(written(folder, archive_bytes), "path string, bytes bigint, records bigint")
     return c.cut(made, "op4-manifest")
 
 
+def archive_parts(manifest: DataFrame) -> int:
+    """Tasks that read the archives: by the archives' bytes, not by the manifest's."""
+    return c.parts_by(manifest.agg(F.sum("bytes")).first()[0], READ_BYTES, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     folder = f"{c.shared_dir(spark)}/warc/{uuid.uuid4().hex}"
     manifest = write_archives(c.table(spark, sf_dir, "pages"), folder)
-    read = read_archives(manifest.repartition(c.parts_for(manifest), "path"))
+    read = read_archives(manifest.repartition(archive_parts(manifest), "path"))
     return digests(read, whole=True)
 
 

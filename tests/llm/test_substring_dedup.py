@@ -59,3 +59,15 @@ def test_hostile(spark):
     assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in rows if r.doc_id is not None)
     assert all(r.n_removed == 0 for r in rows if r.doc_id is None)
     assert s.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_parts_follow_the_text_whatever_the_input_is():
+    assert common.parts_by(None, s.PART_BYTES, s.LEAST_PARTS) == common.parts_by(1 << 20, s.PART_BYTES, s.LEAST_PARTS) == s.LEAST_PARTS
+    for size in (1 << 40, 100 << 40):  # a part never grows
+        assert size / common.parts_by(size, s.PART_BYTES, s.LEAST_PARTS) <= s.PART_BYTES
+
+
+def test_an_input_without_statistics(spark):
+    texts = ["a b c d e f g h i j k l m n", "x a b c d e f g h i j k l m n y"]
+    rdd = spark.sparkContext.parallelize(list(enumerate(texts)), 2)
+    assert run(spark.createDataFrame(rdd, "doc_id long, text string")) == brute(dict(enumerate(texts)))

@@ -168,3 +168,9 @@ def test_time_is_linear(tmp_path):
         big = pack(warc.record("response", 1, "u", page, hashlib.sha1(page).digest(), len(page), None))
         assert seconds(lambda: salvage(tmp_path, big)) < 20
         assert salvage(tmp_path, big) == ([1], [])
+
+
+def test_foreign_ids_and_tasks_by_archive_bytes(spark):
+    assert [warc.page_of(x) for x in (warc.urn(5), warc.urn(None), None, "<urn:uuid:7c1d>", "<urn:page:x>", "<urn:page:99999999999999999999>")] == [5] + [None] * 5
+    manifest = spark.createDataFrame([(f"p{i}", 8 << 30, 9) for i in range(100)], "path string, bytes long, records long")
+    assert warc.archive_parts(manifest) == 100 * (8 << 30) // warc.READ_BYTES
