@@ -248,7 +248,7 @@ def sort_buckets(batches):
 def repeated_strings(strings: DataFrame) -> DataFrame:
     """sketch, sid and the spans of window starts that stand in a smaller document, of strings(sketch, sid, bytes, first, often), a written table."""
     buckets = c.cut(strings.groupBy("sketch").agg(F.count("*").alias("size")).filter("size > 1"), "op13-buckets")
-    several = c.join_counted(strings, buckets, ["sketch"], "size", ["size"])
+    several = c.cut(c.join_counted(strings, buckets, ["sketch"], "size", ["size"], ["sid"]), "op13-several")
     parts = c.parts_for(strings, 16 << 20)
     dealt = several.filter(F.col("size") <= BUCKET).select("sketch", "sid", "bytes", "first").repartition(parts, "sketch").sortWithinPartitions("sketch")
     found = dealt.mapInArrow(sort_buckets, SORTED_DDL)
@@ -287,20 +287,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(c.quoted(id_col)).cast("long").alias("doc_id"), F.col(c.quoted(text_col)).cast("binary").alias("text"))
     parts = c.parts_by(docs.agg(F.sum(F.octet_length("text"))).first()[0], PART_BYTES, LEAST_PARTS)
     known = docs.filter(f"doc_id is not null and octet_length(text) >= {WINDOW}").withColumn("t", F.xxhash64("text"))
-    shared = exchanged(known.mapInArrow(send_sketches(parts), PARTS_DDL), smallest=False)
+    shared = c.cut(exchanged(known.mapInArrow(send_sketches(parts), PARTS_DDL), smallest=False), "op13-shared")
     runs = c.cut(known.join(shared, "doc_id").mapInArrow(shared_runs, RUNS_DDL), "op13-runs")
+    c.drop(shared)
     strings = runs.groupBy("sketch", "sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("often"), F.first("bytes", ignorenulls=True).alias("bytes"))
     strings = c.cut(strings, "op13-strings")
     found = repeated_strings(strings)
     verdict = strings.select("sketch", "sid", "first", "often").join(found, ["sketch", "sid"], "left").filter("often > 1 or spans is not null")
     verdict = c.cut(verdict, "op13-verdicts")
+    c.drop(strings)
     placed = runs.select("doc_id", "t", "sketch", "sid", "start", "windows")
     placed = c.join_counted(placed, verdict, ["sketch", "sid"], "often", ["first", "spans"], ["doc_id", "start"])
     moved = F.transform("spans", lambda x: F.struct((x["at"] + F.col("start")).alias("at"), x["n"].alias("n")))
     whole = F.array(F.struct(F.col("start").alias("at"), F.col("windows").alias("n")))
     placed = placed.select("doc_id", "t", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(moved).alias("found")).filter("found is not null")
     gone = placed.groupBy("doc_id", "t").agg(F.flatten(F.collect_list("found")).alias("found"))
-    gone = gone.select(F.col("doc_id").alias("of"), "t", "found")
+    gone = c.cut(gone.select(F.col("doc_id").alias("of"), "t", "found"), "op13-spans")
+    c.drop(runs, verdict)
     joined = docs.join(gone, (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("t")), "left")
     return joined.select("doc_id", "text", "found").mapInArrow(cut_bytes, KEPT_DDL)
 
