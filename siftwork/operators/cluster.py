@@ -8,20 +8,32 @@ item, the smallest id among equals. Items without captured_at or fingerprint tak
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
 from .components import connected_components
 
-HASH_BITS = 64
+#: Bits of a fingerprint; the block size for which bands are chosen; blocks of so few fingerprints are compared directly.
+HASH_BITS, BLOCK, SMALL = 64, 100_000, 256
 
 
 def time_blocks(items: DataFrame, window: int, by: str = "project_id") -> DataFrame:
-    """items with captured_at and block (from 0 within each project)."""
-    w = Window.partitionBy(by).orderBy("captured_at", "image_id")
-    gap = F.col("captured_at") - F.lag("captured_at").over(w)
-    timed = items.filter("captured_at is not null")
-    return timed.withColumn("__new", F.when(gap > window, 1).otherwise(0)).withColumn("block", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    """items with captured_at and block (from 0 within each project). A project's items lie in as many tasks as ranges of time."""
+    columns = items.columns
+    at = [F.asc("captured_at"), F.asc("image_id")]
+    w = order.in_range(by, at)
+    rows = order.in_ranges(items.filter("captured_at is not null"), by, at)
+    rows = rows.withColumn("__new", F.when(F.col("captured_at") - F.lag("captured_at").over(w) > window, 1).otherwise(0))
+    rows = rows.withColumn("__block", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    held = {"__inner": F.sum("__new"), "__from": F.min("captured_at"), "__to": F.max("captured_at")}
+    opens = F.when(F.col("__from") - F.lag("__to").over(order.each_range(by)) > window, 1).otherwise(0)
+    # a range begins with the blocks of the ranges before it, and one more if a gap lies in front of it
+    rows = order.with_neighbours(rows, by, held, {"__blocks": F.coalesce(F.sum("__inner").over(order.earlier(by)), F.lit(0)), "__opens": opens}, {"__opened": F.sum("__opens").over(order.each_range(by).rowsBetween(Window.unboundedPreceding, 0))})
+    return rows.select(*[x for x in columns if x != "block"], F.expr("__block + coalesce(__blocks + __opened, 0)").alias("block"))
 
 
 def representatives(groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,22 +45,45 @@ def hamming(a: F.Column, b: F.Column) -> F.Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def bands_for(threshold: int, bits: int = HASH_BITS) -> tuple[int, list[tuple[int, int]]]:
+    """(e, bands): fingerprints within the threshold differ in e bits at most in one of threshold // (e + 1) + 1 bands. Of the possible e that
+    one is taken that costs least in a block of BLOCK rows: keys sent for a row, and the part of all pairs that meet."""
+
+    def plan(e: int) -> tuple[float, int, list[tuple[int, int]]]:
+        n = min(threshold // (e + 1) + 1, bits)
+        cuts = [bits * i // n for i in range(n + 1)]
+        bands = list(zip(cuts, cuts[1:]))
+        keys = [sum(math.comb(hi - lo, k) for k in range(e + 1)) for lo, hi in bands]
+        return sum(keys) / BLOCK + sum(k / 2 ** (hi - lo) for k, (lo, hi) in zip(keys, bands)), e, bands
+
+    return min(plan(e) for e in range(3))[1:]
+
+
 def similar_pairs(blocks: DataFrame, threshold: int, by: str = "project_id") -> DataFrame:
-    """a < b, distance of pairs of one block within the threshold. Two fingerprints that differ in at most `threshold` bits agree in one
-    of threshold + 1 bands, so blocks are split by band: no pair is lost and no block is compared all with all. Equal
-    fingerprints in a block are one row each for their smallest id; the copies are linked to it."""
+    """a < b, distance of pairs of one block within the threshold, by multi-index hashing: a row's keys in each band are sent along with their
+    neighbours of up to e bits, the other side's keys alone, and a pair is made in the first band that it agrees in, so once. A block of SMALL
+    fingerprints at most is one key. Equal fingerprints in a block are one row each for their smallest id; the copies are linked to it."""
     known = blocks.filter("hash is not null").select(by, "block", "image_id", "hash")
     heads = known.groupBy(by, "block", "hash").agg(F.min("image_id").alias("head"))
+    small = F.col("n") <= SMALL
+    sizes = heads.groupBy(by, "block").agg(F.count("*").alias("n"))
+    sized = heads.join(sizes.select(F.col(by).alias("__by"), F.col("block").alias("__block"), "n"), F.col(by).eqNullSafe(F.col("__by")) & (F.col("block") == F.col("__block"))).drop("__by", "__block")
     copies = known.join(heads, [by, "block", "hash"]).filter("image_id <> head").select(F.col("head").alias("a"), F.col("image_id").alias("b"), F.lit(0).alias("distance"))
-    n = min(threshold + 1, HASH_BITS)
-    cuts = [HASH_BITS * i // n for i in range(n + 1)]
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("hash"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("key")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
-    rows = heads.select(by, "block", F.col("head").alias("image_id"), "hash", F.explode(bands).alias("x")).select(by, "block", "image_id", "hash", "x.band", "x.key")
-    a = rows.select(by, "block", "band", "key", F.col("image_id").alias("a"), F.col("hash").alias("ha"))
-    b = rows.select(by, "block", "band", "key", F.col("image_id").alias("b"), F.col("hash").alias("hb"))
+    e, bands = bands_for(threshold)
+    mask = lambda lo, hi: (1 << (hi - lo)) - 1 if hi - lo < 64 else -1
+    part = lambda x, lo, hi: F.shiftrightunsigned(x, lo).bitwiseAND(F.lit(mask(lo, hi)).cast("bigint"))
+    key = lambda near: F.array(*[F.struct(F.lit(i).alias("band"), near(part(F.col("hash"), lo, hi), hi - lo).alias("keys")) for i, (lo, hi) in enumerate(bands)])
+    flips = lambda width: F.array(*[F.lit(sum(1 << b for b in bits)).cast("bigint") for k in range(e + 1) for bits in itertools.combinations(range(width), k)])
+    whole = F.struct(F.lit(-1).alias("band"), F.array(F.lit(0).cast("bigint")).alias("keys"))
+    around = key(lambda x, width: F.transform(flips(width), lambda m: m.bitwiseXOR(x)))
+    sent = sized.select(by, "block", "head", "hash", F.explode(F.when(small, F.array(whole)).otherwise(around)).alias("x")).select(by, "block", F.col("head").alias("a"), F.col("hash").alias("ha"), "x.band", F.explode("x.keys").alias("key"))
+    own = F.when(small, F.array(whole)).otherwise(key(lambda x, _: F.array(x)))
+    held = sized.select(by, "block", "head", "hash", "n", F.explode(own).alias("x")).select(by, "block", "n", F.col("head").alias("b"), F.col("hash").alias("hb"), "x.band", F.col("x.keys")[0].alias("key"))
+    apart = F.col("ha").bitwiseXOR(F.col("hb"))
+    first = F.coalesce(*[F.when(F.bit_count(part(apart, lo, hi)) <= e, F.lit(i)) for i, (lo, hi) in enumerate(bands)])
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in (by, "block", "band", "key")]
-    pairs = a.alias("l").join(b.alias("r"), [*same, F.col("a") < F.col("b"), hamming(F.col("ha"), F.col("hb")) <= threshold])
-    return pairs.select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("distance")).distinct().unionByName(copies)
+    pairs = sent.alias("l").join(held.alias("r"), [*same, F.col("a") < F.col("b"), F.bit_count(apart) <= threshold, (first == F.col("l.band")) | small])
+    return pairs.select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("distance")).unionByName(copies)
 
 
 def group_labels(items: DataFrame, window: int, threshold: int) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from siftwork.plans.lineage import cut
 
+from .order import ordinal_in
+
 
 def preselection_size(multiple: float, count: int, candidates: int) -> int:
     """min(ceil(max(1.5, multiple) * count), candidates); 0 if count or candidates is none."""
@@ -33,12 +35,12 @@ def clean_selection_rows(picks: DataFrame, count: int) -> DataFrame:
 
 def delivery_rank(items: DataFrame, by: str = "project_id", id_col: str = "image_id") -> DataFrame:
     """rank by captured_at descending, nulls last, then id."""
-    return items.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc_nulls_last("captured_at"), id_col)))
+    return ordinal_in(items, by, [F.desc_nulls_last("captured_at"), F.asc(id_col)])
 
 
 def browse_rank(items: DataFrame, by: str = "project_id") -> DataFrame:
     """rank by captured_at descending, nulls last, then file_path."""
-    return items.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc_nulls_last("captured_at"), "file_path", "image_id")))
+    return ordinal_in(items, by, [F.desc_nulls_last("captured_at"), F.asc("file_path"), F.asc("image_id")])
 
 
 #: Rounds of the farthest-point choice between two lineage cuts.
