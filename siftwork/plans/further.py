@@ -11,6 +11,7 @@ from siftwork.functions import color, scalar, text
 from siftwork.operators import commands, models, projects, replies, scope, select, tagging, tournament
 from siftwork.plans.catalogue import query
 from siftwork.sources import catalog as c
+from siftwork.sources import containers
 from siftwork.streaming import sessions, store
 
 c.VIEWS["recipes"] = """recipes AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 20 THEN p_partkey % 20 + 1 END AS parent_id, 'r' || CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_partkey > 20 AND p_partkey % 7 = 0 THEN 5 END AS deleted_at FROM part)"""
@@ -330,3 +331,20 @@ def task_counters(spark: SparkSession, sf: str) -> DataFrame:
 def image_tag_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Each image's tags, with how many images carry them."""
     return tagging.tags_of_images(c.tags(spark, sf).select("tag_id", "name"), c.image_tags(spark, sf)).select("image_id", "tag_id", "name", "n_images")
+
+
+@query("SELECT image_id, CASE WHEN image_id % 7 <> 0 THEN captured_at // 1000000 END AS captured_at FROM items", "items")
+def exif_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Capture times walked out of the bytes of JPEG and TIFF files, of both byte orders, some with a segment in front, some cut off."""
+    text = F.date_format(F.timestamp_micros("captured_at"), "yyyy:MM:dd HH:mm:ss").cast("binary")
+    i = F.col("image_id")
+    bare = lambda x: F.unhex(F.lit(x.replace(" ", "")))
+    little = bare("49492A0008000000 0100 6987 0400 01000000 1A000000 00000000 0100 0390 0200 14000000 2C000000 00000000")
+    big = bare("4D4D002A00000008 0001 8769 0004 00000001 0000001A 00000000 0001 9003 0002 00000014 0000002C 00000000")
+    tiff = F.concat(F.when(i % 2 == 0, little).otherwise(big), text, bare("00"))
+    front = F.when(i % 3 == 0, bare("FFE0 0010 4A46494600 010200000100010000")).otherwise(bare(""))
+    jpeg = F.concat(bare("FFD8"), front, bare("FFE1 0048 457869660000"), tiff, bare("FFDA0002FFD9"))
+    whole = F.when(i % 5 == 0, tiff).otherwise(jpeg)
+    content = F.when(i % 7 == 0, F.expr("substring(whole, 1, 60)")).otherwise(F.col("whole"))
+    files = c.items(spark, sf).select("image_id", whole.alias("whole")).select("image_id", content.alias("content"))
+    return containers.capture_times(files, ["image_id"]).select("image_id", "captured_at")
