@@ -93,6 +93,30 @@ def rescan_totals(actions: DataFrame) -> DataFrame:
     return actions.agg(n("insert", "insert_raw").alias("added"), n("upgrade").alias("upgraded"), n("prune").alias("removed"), (n("match", "backfill", "keep", "insert", "insert_raw")).alias("total"))
 
 
+def apply_rescan(images: DataFrame, actions: DataFrame, scan: DataFrame, project_id: int, now: int) -> DataFrame:
+    """images(id, project_id, file_path, file_name, kind, captured_at and others) of one project after the actions. A backfilled row gets its time; an
+    upgraded one keeps id, tags and recipe and becomes the raw file, without the cached preview of the JPEG; new rows get ids behind the
+    largest, in order of their path; pruned rows go (without_images() clears what hung on them). Columns that scan lacks are null in new rows."""
+    seen = scan.select("file_path", *[F.col(x).alias(f"__{x}") for x in ("kind", "captured_at", "file_size") if x in scan.columns])
+    todo = actions.select("file_path", F.col("id").alias("__id"), "action", F.col("name").alias("__name")).join(seen, "file_path", "left").withColumnRenamed("file_path", "__path")
+    old = images.join(todo.filter("action in ('backfill', 'upgrade', 'prune')"), F.col("id") == F.col("__id"), "left").filter("action is null or action <> 'prune'")
+    upgraded = F.coalesce(F.col("action") == "upgrade", F.lit(False))
+    timed = F.coalesce(F.col("action") == "backfill", F.lit(False)) | upgraded
+    raw = {"file_path": F.col("__path"), "file_name": F.col("__name"), "kind": F.col("__kind"), "preview_cache_path": F.lit(None), "file_size": F.col("__file_size") if "file_size" in scan.columns else F.lit(None)}
+    changed = {x: F.when(upgraded, v.cast(images.schema[x].dataType)).otherwise(F.col(x)) for x, v in raw.items() if x in images.columns}
+    changed["captured_at"] = F.when(timed, F.coalesce("__captured_at", "captured_at")).otherwise(F.col("captured_at"))
+    kept = old.select(*[changed.get(x, F.col(x)).alias(x) for x in images.columns])
+    top = images.agg(F.max("id")).first()[0] or 0
+    new = global_ordinal(todo.filter("action in ('insert', 'insert_raw')"), [F.asc("__path")], "__n")
+    own = {**raw, "id": F.col("__n") + top, "project_id": F.lit(project_id), "imported_at": F.lit(now), "captured_at": F.col("__captured_at")}
+    return kept.unionByName(new.select(*[own.get(x, F.lit(None)).cast(images.schema[x].dataType).alias(x) for x in images.columns]))
+
+
+def without_images(table: DataFrame, actions: DataFrame) -> DataFrame:
+    """A table by image_id (tags, evaluations) without the rows of pruned images."""
+    return table.join(actions.filter("action = 'prune'").select(F.col("id").alias("image_id")), "image_id", "left_anti").select(*table.columns)
+
+
 # ---- evaluations ----------------------------------------------------------------
 
 EVALUATION = "struct<assessment: string, unusable: boolean, content: string>"
@@ -150,6 +174,22 @@ def rename_version(recipes: DataFrame, recipe_id: int, name: str) -> DataFrame:
     return recipes.withColumn("name", F.when(F.col("id") == recipe_id, F.lit(name)).otherwise(F.col("name")))
 
 
+PARAMS = ("highlights", "shadows", "wb_shift_r", "wb_shift_b", "contrast", "saturation", "blacks", "whites")  # fixed values
+
+
+def create_version(recipes: DataFrame, preset_id: int, name: str | None, params: dict[str, float], now: int) -> tuple[DataFrame, int]:
+    """recipes with a version of the preset, and its id, behind the largest; parameters that aren't given are 0. A version can't be derived from a
+    version: that isn't found, like an id that doesn't exist."""
+    if _recipe(recipes, preset_id).parent_id is not None:
+        raise ProjectError("not_found")
+    if set(params) - set(PARAMS):
+        raise ValueError(f"parameters {sorted(set(params) - set(PARAMS))}")
+    new_id = recipes.agg(F.max("id")).first()[0] + 1
+    own = {"id": new_id, "parent_id": preset_id, "name": name, "is_system": False, "created_at": now, **{x: float(params.get(x, 0)) for x in PARAMS}}
+    row = recipes.sparkSession.range(1).select(*[F.lit(own.get(f.name)).cast(f.dataType).alias(f.name) for f in recipes.schema.fields])
+    return recipes.unionByName(row), new_id
+
+
 def delete_version(recipes: DataFrame, recipe_id: int, now: int) -> DataFrame:
     if _recipe(recipes, recipe_id).parent_id is None:
         raise ProjectError("preset_protected")

@@ -497,6 +497,25 @@ def rescan(spark: SparkSession, sf: str) -> DataFrame:
     return projects.rescan_actions(scan, cat, raw_aware=False, support_raw=True).select("file_path", "id", "action")
 
 
+@query(
+    r"""s AS (SELECT DISTINCT file_path FROM items WHERE image_id % 3 <> 0 AND file_path NOT LIKE '%.txt'),
+cat AS (SELECT file_path, min(image_id) AS id, CASE WHEN min(image_id) % 4 <> 0 THEN 1 END AS captured_at FROM items WHERE image_id % 2 = 0 AND file_path NOT LIKE '%.txt' GROUP BY 1),
+new AS (SELECT s.file_path, regexp_extract(s.file_path, '([^/]*)$', 1) AS base, s.file_path LIKE '%.DNG' AND regexp_replace(s.file_path, '\.[^./]+$', '') IN (SELECT regexp_replace(file_path, '\.[^./]+$', '') FROM cat WHERE file_path NOT LIKE '%.DNG') AS twin
+        FROM s WHERE file_path NOT IN (SELECT file_path FROM cat))
+SELECT id, file_path, regexp_extract(file_path, '([^/]*)$', 1) AS file_name, coalesce(captured_at, 7) AS captured_at FROM cat JOIN s USING (file_path)
+UNION ALL SELECT (SELECT max(id) FROM cat) + row_number() OVER (ORDER BY file_path), file_path, CASE WHEN twin THEN regexp_replace(base, '(\.[^.]+)$', '_raw\1') ELSE base END, 7 FROM new""",
+    "items",
+)
+def rescanned(spark: SparkSession, sf: str) -> DataFrame:
+    """D3: the table after a rescan's actions."""
+    e = c.items(spark, sf).filter("file_path not like '%.txt'").withColumn("kind", c.media_kind(F.col("file_path")))
+    scan = e.filter("image_id % 3 <> 0").select("file_path", "kind", F.lit(7).cast("long").alias("captured_at"), F.lit(True).alias("emitted")).distinct()
+    cat = e.filter("image_id % 2 = 0").groupBy("file_path", "kind").agg(F.min("image_id").alias("id")).withColumn("captured_at", F.when(F.col("id") % 4 != 0, 1).cast("long"))
+    images = cat.withColumns({"project_id": F.lit(1).cast("long"), "file_name": c.file_name(F.col("file_path"))})
+    actions = projects.rescan_actions(scan, cat, raw_aware=False, support_raw=True)
+    return projects.apply_rescan(images, actions, scan, 1, 0).select("id", "file_path", "file_name", "captured_at")
+
+
 @query(
     """e AS (SELECT image_id, bool_or(unusable) AS unusable FROM evaluations GROUP BY 1)
 SELECT image_id, unusable, image_id % 2 = 0 AS renewed FROM (SELECT image_id, CASE WHEN image_id % 2 = 0 THEN NOT unusable ELSE unusable END AS unusable FROM e)""",

@@ -405,3 +405,29 @@ def test_runs():
     assert runs.Run(plan(), stages([], "dedup")).advance() == "failed"
     optional = runs.Run(plan(), stages([], "style"))
     assert optional.advance() == "review" and optional.states["style"] == "skipped"
+
+
+def test_a_rescan_is_applied(spark):
+    images = spark.createDataFrame([(1, 1, "a/x.jpg", "x.jpg", 10, 0, 5, "jpeg", "/c/1", None), (2, 1, "y.jpg", "y.jpg", 10, 0, None, "jpeg", None, 3), (4, 1, "z.jpg", "z.jpg", 10, 0, None, "jpeg", None, None)], catalog.SCHEMAS["images"])
+    scan = spark.createDataFrame([("a/x.dng", "raw", 9, True, 77), ("z.jpg", "jpeg", 8, True, 10), ("n.jpg", "jpeg", None, True, 11), ("b.jpg", "jpeg", 6, True, 12)], "file_path string, kind string, captured_at long, emitted boolean, file_size long")
+    actions = projects.rescan_actions(scan, images, raw_aware=True, support_raw=True)
+    done = projects.apply_rescan(images, actions, scan, 1, 99)
+    assert done.columns == images.columns
+    assert rows(done, "id", "file_path", "file_name", "kind", "captured_at", "recipe_id", "preview_cache_path", "file_size") == [
+        (1, "a/x.dng", "x.dng", "raw", 9, 5, None, 77), (4, "z.jpg", "z.jpg", "jpeg", 8, None, None, 10), (5, "b.jpg", "b.jpg", "jpeg", 6, None, None, 12), (6, "n.jpg", "n.jpg", "jpeg", None, None, None, 11)]
+    assert rows(done.filter("id > 4"), "imported_at", "project_id") == [(99, 1), (99, 1)]
+    tags = spark.createDataFrame([(1, 7), (2, 7)], "image_id long, tag_id long")
+    assert rows(projects.without_images(tags, actions), "image_id") == [(1,)]
+    again = projects.rescan_actions(scan, done, raw_aware=True, support_raw=True)
+    assert again.filter("action not in ('match', 'keep')").count() == 0
+
+
+def test_versions_are_created(spark):
+    recipes = spark.createDataFrame([(1, None, "Origin"), (3, None, "Rome 1960")], "id long, parent_id long, name string").withColumns({"is_system": F.lit(True), "contrast": F.lit(20.0), "deleted_at": F.lit(None).cast("long")})
+    more, new = projects.create_version(recipes, 3, None, {"contrast": 12}, 5)
+    assert new == 4 and rows(more.filter("id = 4"), "parent_id", "name", "is_system", "contrast", "deleted_at") == [(3, None, False, 12.0, None)]
+    for bad in (4, 9):
+        with pytest.raises(projects.ProjectError):
+            projects.create_version(more, bad, "n", {}, 5)
+    with pytest.raises(ValueError):
+        projects.create_version(recipes, 3, "n", {"grain": 1}, 5)
