@@ -235,9 +235,9 @@ def send_windows(parts: int):
             for part, texts in c.grouped(batch):
                 full = False
                 for doc_id, text, runs in zip(part.column("doc_id").to_pylist(), texts, part.column("runs").to_pylist()):
-                    w = c.word_hashes(text.split())
-                    for a, b in np.frombuffer(runs, "<i4").reshape(-1, 2):
-                        h, g = window_hashes(w[a : b + WINDOW - 1])
+                    words = text.split()
+                    for a, b in np.frombuffer(runs, "<i4").reshape(-1, 2).tolist():
+                        h, g = window_hashes(c.word_hashes(words[a : b + WINDOW - 1]))
                         full |= group.add(h, g, np.full(len(h), doc_id), 0)
                     group.docs += 1
                 if full or group.docs > SEND_DOCS - c.GROUP_DOCS:
@@ -251,9 +251,10 @@ def removed_words(words: list[bytes], runs: bytes, found: list[bytes] | None) ->
     """Which words a found window covers."""
     delta = np.zeros(len(words) + 1, np.int64)
     if found:
-        gone, w = np.frombuffer(b"".join(found), "<u8"), c.word_hashes(words)
-        for a, b in np.frombuffer(runs, "<i4").reshape(-1, 2):
-            at = a + np.flatnonzero(np.isin(window_hashes(w[a : b + WINDOW - 1])[0], gone))
+        gone = np.frombuffer(b"".join(found), "<u8")
+        for a, b in np.frombuffer(runs, "<i4").reshape(-1, 2).tolist():
+            h = c.ngram_hashes(c.word_hashes(words[a : b + WINDOW - 1]), WINDOW)
+            at = a + np.flatnonzero(np.isin(h, gone))
             np.add.at(delta, at, 1)
             np.add.at(delta, at + WINDOW, -1)
     return np.cumsum(delta)[: len(words)] > 0
