@@ -12,7 +12,7 @@ from siftwork.operators import commands, models, projects, replies, scope, selec
 from siftwork.plans.catalogue import query
 from siftwork.sources import catalog as c
 from siftwork.sources import containers
-from siftwork.streaming import sessions, store
+from siftwork.streaming import queue, sessions, store
 
 c.VIEWS["recipes"] = """recipes AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 20 THEN p_partkey % 20 + 1 END AS parent_id, 'r' || CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_partkey > 20 AND p_partkey % 7 = 0 THEN 5 END AS deleted_at FROM part)"""
 
@@ -222,6 +222,50 @@ def in_flight(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.drop_in_flight(e, "user_id", "ts").select("user_id", "event_id")
 
 
+REQUESTS = """WITH e AS (SELECT user_id % 3 AS queue_id, event_id AS seq, user_id AS image_id, CASE WHEN event_type IN ('error', 'purchase') THEN 'finish' WHEN event_type = 'signup' THEN 'looked' ELSE 'request' END AS kind, CASE WHEN event_type = 'error' THEN 'error ' || CAST(event_id AS VARCHAR) END AS error FROM events),
+d AS (SELECT *, coalesce(kind <> lag(kind) OVER (PARTITION BY image_id ORDER BY seq), kind = 'request') AS taken FROM e WHERE kind <> 'looked'),
+f AS (SELECT queue_id, seq, image_id, kind, error, taken FROM d UNION ALL SELECT queue_id, seq, image_id, kind, error, false FROM e WHERE kind = 'looked'),
+book AS (SELECT queue_id, seq, image_id, kind, error, taken, CAST(count(*) FILTER (taken AND kind = 'request') OVER w AS BIGINT) AS ticket, CAST(count(*) FILTER (taken AND kind = 'finish') OVER w AS BIGINT) AS generation,
+  CAST(count(*) FILTER (taken AND error IS NOT NULL) OVER w AS BIGINT) AS failed FROM f WINDOW w AS (PARTITION BY queue_id ORDER BY seq))"""
+
+
+def _ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors and purchases as completions, views and clicks as requests for the user, in three queues."""
+    kind = F.when(F.col("event_type").isin("error", "purchase"), "finish").when(F.col("event_type") == "signup", "looked").otherwise("request")
+    error = F.when(F.col("event_type") == "error", F.concat(F.lit("error "), F.col("event_id").cast("string")))
+    events = c.table(spark, sf, "events")
+    return queue.ledger(events.select((F.col("user_id") % 3).alias("queue_id"), F.col("event_id").alias("seq"), F.col("user_id").alias("image_id"), kind.alias("kind"), error.alias("error")))
+
+
+@query(REQUESTS + " SELECT queue_id, seq, taken, ticket, generation, failed, ticket - generation AS pending FROM book")
+def evaluation_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """ST11, ST15: which requests are taken, which completions release, and the counters behind each."""
+    return _ledger(spark, sf).select("queue_id", "seq", "taken", "ticket", "generation", "failed", "pending")
+
+
+@query(
+    REQUESTS
+    + """, l AS (SELECT queue_id, max(ticket) - max(generation) AS pending, max(failed) AS failed, max(generation) AS generation FROM book GROUP BY 1),
+x AS (SELECT queue_id, image_id, error FROM book WHERE taken AND error IS NOT NULL QUALIFY row_number() OVER (PARTITION BY queue_id ORDER BY seq DESC) = 1)
+SELECT queue_id, greatest(pending - 1, 0) AS queued, pending > 0 AS processing, failed, generation, image_id AS failed_image, error FROM l LEFT JOIN x USING (queue_id)"""
+)
+def evaluation_status(spark: SparkSession, sf: str) -> DataFrame:
+    """A13, ST15: each queue's state and its latest failure."""
+    book = _ledger(spark, sf)
+    latest = queue.news(book, spark.createDataFrame([], "queue_id long, generation long")).select("queue_id", "failed_image", "error")
+    return queue.status(book).join(latest, "queue_id", "left")
+
+
+@query(
+    REQUESTS
+    + """, p AS (SELECT queue_id, image_id, ticket, kind FROM book WHERE taken QUALIFY row_number() OVER (PARTITION BY queue_id, image_id ORDER BY seq DESC) = 1)
+SELECT queue_id, row_number() OVER (PARTITION BY queue_id ORDER BY ticket) AS position, image_id FROM p WHERE kind = 'request'"""
+)
+def evaluation_waiting(spark: SparkSession, sf: str) -> DataFrame:
+    """ST15: what is in flight, first come first."""
+    return queue.waiting(_ledger(spark, sf))
+
+
 @query(
     """r AS (SELECT o_custkey AS chat_id, CAST(o_orderkey AS VARCHAR) AS run_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'active' ELSE 'waiting' END AS status, o_orderkey % 97 AS updated_at FROM orders),
 a AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY updated_at DESC, run_id DESC) AS k FROM r WHERE status <> 'done')

@@ -21,8 +21,9 @@ Step = Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]
 FORGET_MS = 7 * 86_400_000
 
 
-def stateful(events: DataFrame, key: str, step: Step, schema: str, state: str, order: list[str]) -> DataFrame:
-    """Runs the step for each key, on a stream with state (dropped after FORGET_MS without rows) and in batch with all rows at once."""
+def stateful(events: DataFrame, key: str, step: Step, schema: str, state: str, order: list[str], forget: int | None = FORGET_MS) -> DataFrame:
+    """Runs the step for each key, on a stream with state (dropped after `forget` milliseconds without rows, or kept) and in batch with all
+    rows at once."""
     if not events.isStreaming:
         return events.groupBy(key).applyInPandas(lambda pdf: step(pdf.sort_values(order, kind="stable"), None)[0], schema)
 
@@ -33,12 +34,14 @@ def stateful(events: DataFrame, key: str, step: Step, schema: str, state: str, o
         pdf = pd.concat(list(frames)).sort_values(order, kind="stable")
         out, new = step(pdf, held.get if held.exists else None)
         held.update(new)
-        held.setTimeoutDuration(FORGET_MS)
+        if forget is not None:
+            held.setTimeoutDuration(forget)
         yield out
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return events.groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy(key).applyInPandasWithState(run, schema, state, "append", timeout)
 
 
 def drop_stale(events: DataFrame, key: str = "chat_id", keep_kinds: tuple[str, ...] = ("cancelled",)) -> DataFrame:

@@ -22,8 +22,10 @@ def test_stale_in_batch_and_stream(spark, tmp_path):
     for part in ("seq <= 3", "seq > 3"):
         df.filter(part).coalesce(1).write.mode("append").parquet(str(src))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # with a timeout Spark goes on making batches without data
     q = s.drop_stale(stream).writeStream.format("memory").queryName("fresh").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(60)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = rows(spark.table("fresh"), "chat_id", "seq")
     assert {x for x in got if x[0] == 2} == {(2, 6)} and (1, 4) in got and (1, 2) in got
 
