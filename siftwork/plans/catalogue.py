@@ -124,6 +124,24 @@ def export_collisions(spark: SparkSession, sf: str) -> DataFrame:
     return export.resolve_collisions(export.target_names(rows, False, ["tag_id"]), ["tag_id"]).select("image_id", "tag_id", "target")
 
 
+@query(
+    """named AS (SELECT image_id, CASE WHEN lower(file_path) LIKE '%.dng' THEN regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^./]+$', '') || '.jpg' ELSE regexp_extract(file_path, '([^/]*)$', 1) END AS base,
+  CASE WHEN captured_at IS NULL THEN 'no time' END AS reason FROM items),
+k AS (SELECT *, count(*) OVER (PARTITION BY base) + CASE WHEN reason IS NULL THEN count(*) FILTER (reason IS NULL) OVER (PARTITION BY base ORDER BY image_id) END AS k FROM named)
+SELECT image_id, reason, regexp_extract(base, '^(.*)\\.', 1) || '_' || CAST(k AS VARCHAR) || regexp_extract(base, '(\\.[^.]*)$', 1) AS target FROM k""",
+    "items",
+)
+def export_again(spark: SparkSession, sf: str) -> DataFrame:
+    """All items exported to the folder that an export of all has filled; those without a time fail and leave their names to the next."""
+    items = c.items(spark, sf)
+    images = items.select(F.col("image_id").alias("id"), "file_path", c.media_kind(F.col("file_path")).alias("kind"), F.lit(None).cast("long").alias("recipe_id"))
+    entries = items.select(F.col("image_id").alias("ordinal"), "image_id")
+    first = export.batch(entries, images)
+    failed = items.filter("captured_at is null").select("image_id", F.lit("no time").alias("__reason"))
+    tried = export.planned(entries, images).join(failed, "image_id", "left").withColumn("reason", F.coalesce("reason", "__reason"))
+    return export.settled(tried, first).select("image_id", "reason", "target")
+
+
 @query(
     """SELECT i.image_id, i.file_path, e.image_id IS NOT NULL AS evaluated, e.unusable, CASE WHEN g.is_system THEN [] ELSE [g.name] END AS tags, CASE WHEN g.is_system THEN [g.name] ELSE [] END AS system_tags
 FROM items i LEFT JOIN (SELECT image_id, bool_or(unusable) AS unusable FROM evaluations GROUP BY 1) e USING (image_id) JOIN image_tags t USING (image_id) JOIN tags g USING (tag_id)""",

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
+import os
+import uuid
 from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwork.operators import scope
 from siftwork.operators.order import global_ordinal
+from siftwork.plans.lineage import cut
 
 from .catalog import file_name, media_kind, stem_key
 
@@ -30,11 +34,15 @@ def target_names(rows: DataFrame, ordered: bool, by: list[str]) -> DataFrame:
 SUFFIX = "_([2-9]|[1-9][0-9]+)"  # as a collision makes it
 
 
-def resolve_collisions(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows(by, ordinal, target): one folder for each `by`, filled in order. A name that is taken gets the first free of _2, _3... before
+def resolve_collisions(rows: DataFrame, by: list[str], taken: DataFrame | None = None) -> DataFrame:
+    """rows(by, ordinal, target): one folder for each `by`, filled in order; taken(by, target): what lies in the folders before, and keeps its name. A name that is taken gets the first free of _2, _3... before
     its extension. Names can only meet if one is another of the folder with such a suffix: a family. Where a family has one name, its
     places in order give the suffixes; where it has several, it is gone through in order, a group as large as the files of that family
     in one folder."""
+    columns = rows.columns
+    if taken is not None:  # as if it were written first
+        first = F.lit(-(2**31)).cast(rows.schema["ordinal"].dataType)
+        rows = rows.unionByName(taken.select(*by, "target").distinct().withColumns({"ordinal": first, "__kept": F.lit(True)}), True)
     ext = F.regexp_extract("target", r"[^.](\.[^.]*)$", 1)
     named = rows.withColumn("__ext", ext).withColumn("__stem", F.expr("left(target, char_length(target) - char_length(__ext))"))
     names = named.groupBy(*by, "__stem", "__ext").agg(F.lit(True).alias("__there"))
@@ -53,21 +61,22 @@ def resolve_collisions(rows: DataFrame, by: list[str]) -> DataFrame:
     alone = alone.withColumn("target", F.when(F.col("__k") > 1, F.concat("__stem", F.lit("_"), F.col("__k").cast("string"), "__ext")).otherwise(F.col("target")))
     several = named.filter("not __one")
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal", kind="stable")
-        taken, following, out = set(), {}, []
-        for stem, ext in zip(pdf["__stem"], pdf["__ext"]):
+    def fill(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ordinal")
+        held, following, out = set(), {}, []
+        for stem, ext in zip(table["__stem"].to_pylist(), table["__ext"].to_pylist()):
             name, k = stem + ext, following.get(stem, 2)
-            while name in taken:
+            while name in held:
                 name, k = f"{stem}_{k}{ext}", k + 1
             if name != stem + ext:
                 following[stem] = k
-            taken.add(name)
+            held.add(name)
             out.append(name)
-        return pdf.assign(target=out)
+        return table.set_column(table.schema.get_field_index("target"), "target", pa.array(out, pa.string()))
 
-    filled = several.groupBy(*family).applyInPandas(fill, several.schema)
-    return alone.select(*rows.columns).unionByName(filled.select(*rows.columns))
+    filled = several.groupBy(*family).applyInArrow(fill, several.schema)
+    out = alone.select(*rows.columns).unionByName(filled.select(*rows.columns))
+    return out if taken is None else out.filter("__kept is null").select(*columns)
 
 
 def left_out(entries: DataFrame, tags: DataFrame, image_tags: DataFrame, include_reject: bool = False, include_dup: bool = False, scope_tag: int | None = None) -> DataFrame:
@@ -76,43 +85,57 @@ def left_out(entries: DataFrame, tags: DataFrame, image_tags: DataFrame, include
     return scope.exclude(entries, tags, image_tags, names, scope_tag) if names else entries
 
 
-def batch(entries: DataFrame, images: DataFrame, ordered: bool = False, present: DataFrame | None = None) -> DataFrame:
-    """entries(ordinal, image_id) of one folder as a manifest: image_id, ordinal (from 1, without gaps), file_path, target, route, reason. Ids
-    without an image are left out. present(file_path): files that are there; another's reason is source_missing, it takes a number but no name."""
+MANIFEST = ["image_id", "ordinal", "file_path", "target", "route", "reason"]
+
+
+def planned(entries: DataFrame, images: DataFrame, ordered: bool = False, present: DataFrame | None = None) -> DataFrame:
+    """MANIFEST of entries(ordinal, image_id) of one folder before names that meet are told apart: the ordinal counts from 1 without gaps, also what
+    is skipped. Ids without an image are left out. present(file_path): files that are there; another's reason is source_missing."""
     known = entries.join(images.select(F.col("id").alias("image_id"), "file_path", "kind", "recipe_id"), "image_id")
     rows = global_ordinal(known.withColumnRenamed("ordinal", "__old"), [F.asc("__old"), F.asc("image_id")]).withColumn("__folder", F.lit(0))
     named = target_names(rows, ordered, ["__folder"])
+    reason = F.lit(None).cast("string")
     if present is not None:
         named = named.join(present.select("file_path").distinct().withColumn("__there", F.lit(True)), "file_path", "left")
-        named = named.withColumn("reason", F.when(F.col("__there").isNull(), F.lit("source_missing")))
-    else:
-        named = named.withColumn("reason", F.lit(None).cast("string"))
-    named = named.withColumn("route", F.when(F.col("reason").isNull(), write_route(F.col("kind"), F.col("recipe_id"))))
-    columns = ["image_id", "ordinal", "file_path", "target", "route", "reason"]
-    written = resolve_collisions(named.filter("reason is null").select("__folder", *columns), ["__folder"]).select(*columns)
-    return written.unionByName(named.filter("reason is not null").withColumn("target", F.lit(None).cast("string")).select(*columns))
+        reason = F.when(F.col("__there").isNull(), F.lit("source_missing"))
+    named = named.withColumn("reason", reason)
+    return named.withColumn("route", F.when(F.col("reason").isNull(), write_route(F.col("kind"), F.col("recipe_id")))).select(*MANIFEST)
+
+
+def settled(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """A planned manifest, with the reasons of what has failed, under its final names: one that is skipped or failed takes a number but no
+    name. taken(target): what lies in the folder."""
+    folder = F.lit(0).alias("__folder")
+    there = None if taken is None else taken.select(folder, "target")
+    written = resolve_collisions(rows.filter("reason is null").select(folder, *MANIFEST), ["__folder"], there).select(*MANIFEST)
+    return written.unionByName(rows.filter("reason is not null").withColumn("target", F.lit(None).cast("string")).select(*MANIFEST))
+
+
+def batch(entries: DataFrame, images: DataFrame, ordered: bool = False, present: DataFrame | None = None, taken: DataFrame | None = None) -> DataFrame:
+    """The manifest of entries(ordinal, image_id) of one folder, if every write succeeds."""
+    return settled(planned(entries, images, ordered, present), taken)
 
 
-def export_tag(tag_id: int, tags: DataFrame, image_tags: DataFrame, images: DataFrame, include_reject: bool = False, include_dup: bool = False, present: DataFrame | None = None) -> DataFrame:
+def export_tag(tag_id: int, tags: DataFrame, image_tags: DataFrame, images: DataFrame, include_reject: bool = False, include_dup: bool = False, present: DataFrame | None = None, taken: DataFrame | None = None) -> DataFrame:
     """The manifest of one tag, in its order; numbered if the tag is ordered. Exporting the reject or duplicate tag itself keeps its rows."""
     found = tags.filter(F.col("tag_id") == tag_id).select("is_ordered").limit(1).collect()
     if not found:
         raise scope.ScopeError("tag_not_found", str(tag_id))
     entries = scope.in_tag_order(image_tags.filter(F.col("tag_id") == tag_id), found[0].is_ordered).select("ordinal", "image_id")
-    return batch(left_out(entries, tags, image_tags, include_reject, include_dup, tag_id), images, found[0].is_ordered, present)
+    return batch(left_out(entries, tags, image_tags, include_reject, include_dup, tag_id), images, found[0].is_ordered, present, taken)
 
 
-def export_images(ids: DataFrame, tags: DataFrame, image_tags: DataFrame, images: DataFrame, include_reject: bool = False, include_dup: bool = False, present: DataFrame | None = None) -> DataFrame:
+def export_images(ids: DataFrame, tags: DataFrame, image_tags: DataFrame, images: DataFrame, include_reject: bool = False, include_dup: bool = False, present: DataFrame | None = None, taken: DataFrame | None = None) -> DataFrame:
     """The manifest of ids(ordinal, image_id), under their own names in the order given."""
-    return batch(left_out(ids.select("ordinal", "image_id"), tags, image_tags, include_reject, include_dup), images, False, present)
+    return batch(left_out(ids.select("ordinal", "image_id"), tags, image_tags, include_reject, include_dup), images, False, present, taken)
 
 
-def export_image(image_id: int, images: DataFrame, present: DataFrame | None = None) -> DataFrame:
+def export_image(image_id: int, images: DataFrame, present: DataFrame | None = None, taken: DataFrame | None = None) -> DataFrame:
     """The manifest of one image; no exclusion. An image that isn't there is an error."""
     one = images.filter(F.col("id") == image_id).select(F.lit(1).cast("long").alias("ordinal"), F.col("id").alias("image_id"))
     if one.isEmpty():
         raise scope.ScopeError("image_not_found", str(image_id))
-    return batch(one, images, False, present)
+    return batch(one, images, False, present, taken)
 
 
 def outcome(manifest: DataFrame) -> DataFrame:
@@ -144,6 +167,77 @@ def write_batch(rows: DataFrame, write: Callable[[dict], None]) -> DataFrame:
     return rows.mapInArrow(run, "image_id bigint, exported boolean, reason string")
 
 
+def in_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """target: all names in a shared folder, hidden ones and folders too, none if it isn't there. A listing is one task, which holds a
+    few thousand names at a time."""
+
+    def run(batches):
+        for _ in batches:
+            with contextlib.suppress(FileNotFoundError), os.scandir(folder) as names:
+                for some in itertools.batched((x.name for x in names), 4096):
+                    yield pa.RecordBatch.from_pydict({"target": pa.array(some, pa.string())})
+
+    return spark.range(1).coalesce(1).mapInArrow(run, "target string")
+
+
+def write_folder(rows: DataFrame, folder: str, write: Callable[[dict, str], None], staging: str = ".staging") -> DataFrame:
+    """Writes a planned manifest to a shared folder and returns it as it was settled.
+
+    First each row is written by the injected writer to a name of its task attempt in a staging folder, and what came of it is a row of a table, so
+    that an attempt that is lost leaves nothing but a file nobody names. Then names are given to what was written, in order, beside what lies in the
+    folder: a failed row's name goes to the next. Last the files are moved; one that is moved again by a repeated task is left alone, and no
+    file is overwritten: a name that another took meanwhile makes the reason target_exists. A folder that can't be made is an io_error."""
+    waiting = os.path.join(folder, staging)
+    try:
+        os.makedirs(waiting, exist_ok=True)
+    except OSError as e:
+        raise scope.ScopeError("io_error", str(e)) from e
+    added = pa.schema([("__staged", pa.string()), ("__failed", pa.string())])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*MANIFEST).schema)
+
+    def stage(batches):
+        for some in batches:
+            staged, failed = [], []
+            for row in some.to_pylist():
+                path, reason = os.path.join(waiting, f"{row['image_id']}-{uuid.uuid4().hex}"), None
+                try:
+                    write(row, path)
+                except Exception as e:  # the writer is the caller's; its failure is the row's result
+                    reason = str(e) or type(e).__name__
+                staged.append(path)
+                failed.append(reason)
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(staged, pa.string()), pa.array(failed, pa.string())], schema=pa.schema([*some.schema, *added]))
+
+    tried = cut(rows.filter("reason is null").select(*MANIFEST).mapInArrow(stage, f"{fields}, __staged string, __failed string"), "staged")
+    outcomes = tried.withColumn("reason", F.col("__failed")).select(*MANIFEST).unionByName(rows.filter("reason is not null").select(*MANIFEST))
+    taken = in_folder(rows.sparkSession, folder).filter(F.col("target") != staging)
+    named = cut(settled(outcomes, taken).join(tried.filter("__failed is null").select("ordinal", "__staged"), "ordinal", "left").select(*MANIFEST, "__staged"), "named")
+
+    def move(batches):
+        for some in batches:
+            reasons = []
+            for row in some.to_pylist():
+                reason = row["reason"]
+                if reason is None:
+                    path, target = row["__staged"], os.path.join(folder, row["target"])
+                    try:
+                        os.link(path, target)
+                    except FileExistsError:
+                        if not (os.path.exists(path) and os.path.samefile(path, target)):
+                            reason = "target_exists"
+                    except FileNotFoundError:  # moved by an earlier attempt of this task
+                        reason = None if os.path.exists(target) else "staged_lost"
+                    if reason is None:
+                        with contextlib.suppress(FileNotFoundError):
+                            os.remove(path)
+                reasons.append(reason)
+            some = some.select(MANIFEST)
+            yield some.set_column(some.schema.get_field_index("reason"), "reason", pa.array(reasons, pa.string()))
+
+    moved = cut(named.mapInArrow(move, fields), "moved")
+    return moved.withColumn("target", F.when(F.col("reason").isNull(), F.col("target")))
+
+
 def listing(images: DataFrame, evaluations: DataFrame, image_tags: DataFrame, tags: DataFrame) -> DataFrame:
     """Per image: evaluated, unusable (null if it isn't), its tags and engine tags by name."""
     named = image_tags.join(tags.select("tag_id", "name", "is_system"), "tag_id")
