@@ -37,8 +37,8 @@ SUFFIX = "_([2-9]|[1-9][0-9]+)"  # as a collision makes it
 def resolve_collisions(rows: DataFrame, by: list[str], taken: DataFrame | None = None) -> DataFrame:
     """rows(by, ordinal, target): one folder for each `by`, filled in order; taken(by, target): what lies in the folders before, and keeps its name. A name that is taken gets the first free of _2, _3... before
     its extension. Names can only meet if one is another of the folder with such a suffix: a family. Where a family has one name, its
-    places in order give the suffixes; where it has several, it is gone through in order, a group as large as the files of that family
-    in one folder."""
+    places in order give the suffixes; where it has several, it is gone through in order, which holds the names of one family in
+    one folder."""
     columns = rows.columns
     if taken is not None:  # as if it were written first
         first = F.lit(-(2**31)).cast(rows.schema["ordinal"].dataType)
@@ -61,20 +61,24 @@ def resolve_collisions(rows: DataFrame, by: list[str], taken: DataFrame | None =
     alone = alone.withColumn("target", F.when(F.col("__k") > 1, F.concat("__stem", F.lit("_"), F.col("__k").cast("string"), "__ext")).otherwise(F.col("target")))
     several = named.filter("not __one")
 
-    def fill(table: pa.Table) -> pa.Table:
-        table = table.sort_by("ordinal")
-        held, following, out = set(), {}, []
-        for stem, ext in zip(table["__stem"].to_pylist(), table["__ext"].to_pylist()):
-            name, k = stem + ext, following.get(stem, 2)
-            while name in held:
-                name, k = f"{stem}_{k}{ext}", k + 1
-            if name != stem + ext:
-                following[stem] = k
-            held.add(name)
-            out.append(name)
-        return table.set_column(table.schema.get_field_index("target"), "target", pa.array(out, pa.string()))
-
-    filled = several.groupBy(*family).applyInArrow(fill, several.schema)
+    def fill(batches):
+        this, held, following = None, set(), {}
+        for some in batches:
+            out = []
+            for stem, *key in zip(*[some[name].to_pylist() for name in ("__stem", *family)]):
+                if key != this:
+                    this, held, following = key, set(), {}
+                ext = key[-1]
+                name, k = stem + ext, following.get(stem, 2)
+                while name in held:
+                    name, k = f"{stem}_{k}{ext}", k + 1
+                if name != stem + ext:
+                    following[stem] = k
+                held.add(name)
+                out.append(name)
+            yield some.set_column(some.schema.get_field_index("target"), "target", pa.array(out, pa.string()))
+
+    filled = several.repartition(*family).sortWithinPartitions(*family, "ordinal").mapInArrow(fill, several.schema)
     out = alone.select(*rows.columns).unionByName(filled.select(*rows.columns))
     return out if taken is None else out.filter("__kept is null").select(*columns)
 
