@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from siftwork.plans.lineage import cut
 
+from . import bracket, scope, tagging, tournament
 from . import curate as cur
-from . import scope, tagging, tournament
 from .order import global_ordinal
 
 
@@ -103,8 +103,8 @@ def pick(project_id: int, ids: DataFrame, images: DataFrame, tags: DataFrame, im
     if gate is not None and not gate(cost):
         return Outcome(tags, image_tags, "declined", cost=cost)
     several = clusters.members.filter("size >= 2")
-    first = cut(tournament.top_k_in_groups(several, compare, 1, ["cluster"]), "champions")
-    if cancelled() or not first.filter("image_id is null").isEmpty():
+    first = bracket.top_k(several, compare, 1, ["cluster"], cancelled=cancelled)
+    if first is None or cancelled() or not first.filter("image_id is null").isEmpty():
         return Outcome(tags, image_tags, "cancelled", cost=cost)
     made = first.agg(F.coalesce(F.sum("comparisons"), F.lit(0)).alias("n")).first().n
     single = clusters.members.filter("size = 1").select("image_id")
@@ -113,8 +113,8 @@ def pick(project_id: int, ids: DataFrame, images: DataFrame, tags: DataFrame, im
         ranked = global_ordinal(champions, cur.seats()).select("ordinal", "image_id")
     else:
         seated = global_ordinal(champions, cur.seats(), "seat").withColumn("final", F.lit(1))
-        final = cut(tournament.top_k_in_groups(seated, compare, count, ["final"]), "final")
-        if cancelled() or not final.filter("image_id is null").isEmpty():
+        final = bracket.top_k(seated, compare, count, ["final"], cancelled=cancelled)
+        if final is None or cancelled() or not final.filter("image_id is null").isEmpty():
             return Outcome(tags, image_tags, "cancelled", cost=cost)
         made += final.first().comparisons
         ranked = final.select(F.col("rank").alias("ordinal"), "image_id")

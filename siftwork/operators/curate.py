@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from siftwork.plans.lineage import cut
 
-from . import cluster, projects, select, tournament
+from . import bracket, cluster, projects, select, tournament
 
 Evaluate = Callable[[int], dict | None]  # image id -> assessment, unusable, content; None: failed
 Select = Callable[[list[dict], int], tuple[list, str] | None]  # numbered candidates, n -> 1-based picks and caption
@@ -78,9 +78,9 @@ def choose_winners(items: DataFrame, window: int, threshold: int, compare: tourn
     if gate is not None and not gate({"groups": n.groups, "comparisons": n.comparisons, "candidates": n.candidates}):
         found.outcome = "declined"
         return found
-    won = cut(tournament.eliminated(members.filter("size >= 2"), compare, ["cluster"]), "elimination")
-    found.fallbacks = won.filter("failed").count()
-    if cancelled():
+    won = bracket.eliminated(members.filter("size >= 2"), compare, ["cluster"], cancelled=cancelled)
+    found.fallbacks = won.filter("failed").count() if won is not None else 0
+    if won is None or cancelled():
         found.outcome = "cancelled"
         return found
     found.members = cut(members.join(won.select("cluster", F.col("winner").alias("won")), "cluster", "left").withColumn("winner", F.coalesce("won", "fallback")).drop("won", "fallback"), "winners")

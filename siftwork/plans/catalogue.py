@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions import color, scalar
-from siftwork.operators import cluster, navigate, projects, scope, select, tagging, tournament
+from siftwork.operators import bracket, cluster, navigate, projects, scope, select, tagging, tournament
 from siftwork.sources import catalog as c
 from siftwork.sources import export
 
@@ -434,12 +434,12 @@ def curate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT project_id, block, component, arg_max(image_id, ((image_id * 7919) % 1009, -image_id)) AS winner, count(*) - 1 AS comparisons FROM labelled GROUP BY project_id, block, component HAVING count(*) >= 2", "shots blocks labelled", recursive=True)
 def tournament_winners(spark: SparkSession, sf: str) -> DataFrame:
-    """Single elimination in each group by an injected comparator, here a total order."""
+    """Single elimination in each group by an injected comparator, here a total order, in rounds of a table."""
     labels = cluster.group_labels(c.shots(spark, sf), SHOT_WINDOW, SHOT_BITS).withColumn("score", (F.col("image_id") * 7919) % 1009)
     keys = ["project_id", "block", "component"]
     several = labels.join(labels.groupBy(*keys).count().filter("count >= 2").drop("count"), keys, "left_semi")
     rows = several.select(*keys, "image_id", "score", F.col("image_id").alias("fallback"))
-    return tournament.eliminated(rows, lambda a, b: a["score"] >= b["score"], keys).drop("failed")
+    return bracket.eliminated(rows, lambda a, b: a["score"] >= b["score"], keys).drop("failed")
 
 
 @query("SELECT project_id, image_id, rank FROM (SELECT project_id, image_id, row_number() OVER (PARTITION BY project_id ORDER BY (image_id * 7919) % 1009 DESC, image_id) AS rank FROM items) WHERE rank <= 5", "items")
@@ -461,8 +461,8 @@ def pick(spark: SparkSession, sf: str) -> DataFrame:
     labels = cluster.group_labels(c.shots(spark, sf), SHOT_WINDOW, SHOT_BITS).withColumn("score", (F.col("image_id") * 7919) % 1009)
     better = lambda a, b: (a["score"], -a["image_id"]) > (b["score"], -b["image_id"])
     keys = ["project_id", "block", "component"]
-    champions = tournament.top_k_in_groups(labels.select(*keys, "image_id", "score"), better, 1, keys).select("project_id", "image_id")
-    best = tournament.top_k_in_groups(champions.withColumn("score", (F.col("image_id") * 7919) % 1009), better, 5, ["project_id"]).select("image_id", F.lit(True).alias("selected"))
+    champions = bracket.top_k(labels.select(*keys, "image_id", "score"), better, 1, keys).select("project_id", "image_id")
+    best = bracket.top_k(champions.withColumn("score", (F.col("image_id") * 7919) % 1009), better, 5, ["project_id"]).select("image_id", F.lit(True).alias("selected"))
     return labels.join(best, "image_id", "left").select("project_id", "image_id", F.coalesce("selected", F.lit(False)).alias("selected"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,20 @@ def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, for tables that belong together."""
+    return f"{shared_dir(spark)}/cut/{name}-{uuid.uuid4().hex}"
+
+
+def finished_or_written(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at the path if an earlier run finished it, else make()'s rows, written there. What a write that broke off left is replaced."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target):
+        with without_leftovers(spark):
+            make().write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Delete tables that cut() wrote, once nothing reads them any more; what cut() didn't write is left alone."""
     for df in tables:
