@@ -4,8 +4,8 @@ Members take seats 0, 1, 2... in their group. A node of level l and place p stan
 round and lets an odd last one through; a match is a node with both sides taken. A round plays `step` levels: each task takes subtrees of 2 ** step seats, never
 a group. When a winner leaves, its path holds one match for each level; these depend on each other and are played again in one task.
 
-Rounds are written to a folder. A run that names the folder of an earlier one reads what that finished and pays for no comparison twice; the folder
-belongs to one input, comparator and step.
+Rounds are written to a folder. A run that names the folder of an earlier one reads what that finished and pays for no comparison of a finished round twice; the
+folder belongs to one input, comparator and step.
 
 Defined cases: a group of one wins without a comparison; nulls in `by` are a key of their own; equal ids sit in any order; an empty table gives an
 empty result. A failed comparison fails its group, which takes no part in later rounds; comparisons are those made, so a failed group can have more of them
