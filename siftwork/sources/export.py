@@ -32,34 +32,74 @@ def target_names(rows: DataFrame, ordered: bool, by: list[str]) -> DataFrame:
 
 
 SUFFIX = "_([2-9]|[1-9][0-9]+)"  # as a collision makes it
+#: A name is heavy if this part of all rows extends it; so there are HEAVY of them at most.
+HEAVY = 10_000
+
+
+def _extended(named: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(met, heavy) of named(by, __stem, __ext): the names that are there and that another one extends by one suffix, and the names, there or not,
+    that so many rows extend that a join should not send these to one task."""
+    parent = F.regexp_replace("__stem", f"{SUFFIX}$", "")
+    own, up = F.struct(F.col("__stem").alias("__name"), F.lit(0).alias("__n")), F.struct(parent.alias("__name"), F.lit(1).alias("__n"))
+    each = named.select(*by, "__ext", F.explode(F.when(F.col("__stem").rlike(f"{SUFFIX}$"), F.array(own, up)).otherwise(F.array(own))).alias("x")).select(*by, F.col("x.__name").alias("__stem"), "__ext", "x.__n")
+    known = each.groupBy(*by, "__stem", "__ext").agg(F.sum("__n").alias("__n"), (F.min("__n") == 0).alias("__there")).filter("__n > 0")
+    known = cut(known.filter(F.col("__there") | (F.col("__n") * HEAVY >= named.count())), "names-met")
+    return known.filter("__there"), known.filter(F.col("__n") * HEAVY >= named.count())
+
+
+def _found(rows: DataFrame, table: DataFrame, heavy: DataFrame, by: list[str], value: str, spread: list[str]) -> DataFrame:
+    """rows(by, __up, __ext) with the value of the table(by, __stem, __ext, value) for the name __up, or null. Rows of a heavy name are
+    dealt over all tasks by `spread`."""
+    keys = [*by, "__stem", "__ext"]
+    to = lambda side: [F.col(k).alias(f"__{side}{i}") for i, k in enumerate(keys)]
+    at = lambda side, up: [F.col(k if k != "__stem" else up).eqNullSafe(F.col(f"__{side}{i}")) if k != "__stem" else F.col(up) == F.col(f"__{side}{i}") for i, k in enumerate(keys)]
+    few = heavy.select(*keys).join(table.select(*keys, value), keys, "left").select(*to("h"), F.col(value).alias("__few"), F.lit(True).alias("__heavy"))
+    rest = table.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").select(*to("l"), F.col(value).alias("__rest"), F.lit(True).alias("__light"))
+    dealt = rows.join(F.broadcast(few), at("h", "__up"), "left").withColumn("__own", F.col("__heavy").isNull() & F.col("__up").isNotNull())
+    dealt = dealt.withColumn("__at", F.when(F.col("__own"), F.col("__up")).otherwise(F.xxhash64(*spread).cast("string")))
+    done = dealt.join(rest, [*at("l", "__at"), F.col("__own") == F.col("__light")], "left")
+    return done.select(*rows.columns, F.coalesce("__few", "__rest").alias(value))
+
+
+def _roots(met: DataFrame, heavy: DataFrame, by: list[str]) -> DataFrame:
+    """met with the root of each name: the first in its line of names without their last suffixes, as far as these are there."""
+    tail = F.regexp_extract("__stem", f"((?:{SUFFIX})*)$", 1)
+    depth = F.when(F.length(tail) > 0, F.size(F.split(tail, "_")) - 1).otherwise(0)
+    there = met.select(*by, "__stem", "__ext", F.lit(True).alias("__seen"))
+    up = met.select(*by, F.col("__stem").alias("__name"), "__ext", F.explode(F.sequence(F.lit(0), depth)).alias("__level"), depth.alias("__depth"))
+    up = up.withColumn("__up", F.expr(f"regexp_replace(__name, concat('(?:{SUFFIX}){{', __level, '}}$'), '')"))
+    seen = _found(up, there, heavy, by, "__seen", ["__name", "__level"])
+    gap = seen.groupBy(*by, "__name", "__ext").agg(F.coalesce(F.min(F.when(F.col("__seen").isNull(), F.col("__level"))), F.max("__depth") + 1).alias("__gap"))
+    root = F.expr(f"regexp_replace(__name, concat('(?:{SUFFIX}){{', __gap - 1, '}}$'), '')")
+    return cut(gap.select(*by, F.col("__name").alias("__stem"), "__ext", root.alias("__root")), "names-roots")
 
 
 def resolve_collisions(rows: DataFrame, by: list[str], taken: DataFrame | None = None) -> DataFrame:
     """rows(by, ordinal, target): one folder for each `by`, filled in order; taken(by, target): what lies in the folders before, and keeps its name. A name that is taken gets the first free of _2, _3... before
     its extension. Names can only meet if one is another of the folder with such a suffix: a family. Where a family has one name, its
     places in order give the suffixes; where it has several, it is gone through in order, which holds the names of one family in
-    one folder."""
+    one folder. The rows are written first and dealt out twice: to find the root of the name that theirs extends, and by family; where no name extends
+    another, by family alone."""
     columns = rows.columns
     if taken is not None:  # as if it were written first
         first = F.lit(-(2**31)).cast(rows.schema["ordinal"].dataType)
         rows = rows.unionByName(taken.select(*by, "target").distinct().withColumns({"ordinal": first, "__kept": F.lit(True)}), True)
     ext = F.regexp_extract("target", r"[^.](\.[^.]*)$", 1)
-    named = rows.withColumn("__ext", ext).withColumn("__stem", F.expr("left(target, char_length(target) - char_length(__ext))"))
-    names = named.groupBy(*by, "__stem", "__ext").agg(F.lit(True).alias("__there"))
-    depth = F.length(F.regexp_extract("__stem", f"((?:{SUFFIX})*)$", 1))
-    depth = F.when(depth > 0, F.size(F.split(F.regexp_extract("__stem", f"((?:{SUFFIX})*)$", 1), "_")) - 1).otherwise(0)
-    up = names.select(*by, F.col("__stem").alias("__own"), "__ext", F.explode(F.sequence(F.lit(0), depth)).alias("__level"))
-    up = up.withColumn("__stem", F.expr(f"regexp_replace(__own, concat('(?:{SUFFIX}){{', __level, '}}$'), '')"))
-    seen = up.join(names, [*by, "__stem", "__ext"], "left").groupBy(*by, "__own", "__ext").agg(F.sort_array(F.collect_list(F.struct("__level", "__stem", "__there"))).alias("__up"))
-    gap = F.expr("coalesce(get(filter(__up, x -> x.__there is null), 0).__level, size(__up))")  # levels below it are there
-    roots = seen.select(*by, F.col("__own").alias("__stem"), "__ext", F.get("__up", gap - 1).getField("__stem").alias("__root"))
-    several_names = roots.groupBy(*by, "__root", "__ext").agg((F.count("*") == 1).alias("__one"))
+    named = cut(rows.withColumn("__ext", ext).withColumn("__stem", F.expr("left(target, char_length(target) - char_length(__ext))")), "names")
+    met, heavy = _extended(named, by)
     family = [*by, "__root", "__ext"]
-    named = named.join(roots.join(several_names, family), [*by, "__stem", "__ext"])
-    place = F.row_number().over(Window.partitionBy(*by, "target").orderBy("ordinal"))
-    alone = named.filter("__one").withColumn("__k", place)
+    plain = met.isEmpty()
+    if plain:
+        named = named.withColumn("__root", F.col("__stem"))
+    else:
+        up = named.withColumn("__up", F.when(F.col("__stem").rlike(f"{SUFFIX}$"), F.regexp_replace("__stem", f"{SUFFIX}$", "")))
+        named = _found(up, _roots(met, heavy, by), heavy, by, "__root", ["target", "ordinal"]).drop("__up").withColumn("__root", F.coalesce("__root", "__stem"))
+    whole = Window.partitionBy(*family)
+    named = named.repartition(*family).withColumn("__k", F.row_number().over(whole.orderBy("ordinal")))
+    alone = named if plain else named.withColumn("__one", F.min("target").over(whole) == F.max("target").over(whole))
+    several = None if plain else alone.filter("not __one")
+    alone = alone if plain else alone.filter("__one")
     alone = alone.withColumn("target", F.when(F.col("__k") > 1, F.concat("__stem", F.lit("_"), F.col("__k").cast("string"), "__ext")).otherwise(F.col("target")))
-    several = named.filter("not __one")
 
     def fill(batches):
         this, held, following = None, set(), {}
@@ -78,8 +118,10 @@ def resolve_collisions(rows: DataFrame, by: list[str], taken: DataFrame | None =
                 out.append(name)
             yield some.set_column(some.schema.get_field_index("target"), "target", pa.array(out, pa.string()))
 
-    filled = several.repartition(*family).sortWithinPartitions(*family, "ordinal").mapInArrow(fill, several.schema)
-    out = alone.select(*rows.columns).unionByName(filled.select(*rows.columns))
+    out = alone.select(*rows.columns)
+    if not plain:
+        filled = several.sortWithinPartitions(*family, "ordinal").mapInArrow(fill, several.schema)
+        out = out.unionByName(filled.select(*rows.columns))
     return out if taken is None else out.filter("__kept is null").select(*columns)
 
 

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +70,31 @@ def test_folder_cannot_be_made(spark, tmp_path):
     (tmp_path / "file").write_text("")
     with pytest.raises(scope.ScopeError):
         export.write_folder(plan(spark), str(tmp_path / "file" / "out"), print)
+
+
+@pytest.mark.parametrize("heavy", [10_000, 3])
+def test_chains_of_names_with_and_without_heavy_ones(spark, monkeypatch, heavy):
+    monkeypatch.setattr(export, "HEAVY", heavy)
+    rng = random.Random(heavy)
+    names = [f"IMG{''.join(f'_{rng.choice([1, 2, 3, 12])}' for _ in range(rng.randrange(4)))}{rng.choice(['.jpg', '.JPG', ''])}" for _ in range(300)]
+    there = sorted({*rng.sample(names, 8), "IMG_2_2_2.jpg", "IMG_3_12.JPG"})
+    rows = spark.createDataFrame([(i % 2, i, x) for i, x in enumerate(names)], "tag_id long, ordinal long, target string")
+    taken = spark.createDataFrame([(1, x) for x in there], "tag_id long, target string")
+    want, held = [], {0: set(), 1: set(there)}
+    for i, x in enumerate(names):
+        stem, ext = os.path.splitext(x)
+        k = 2
+        while x in held[i % 2]:
+            x, k = f"{stem}_{k}{ext}", k + 1
+        held[i % 2].add(x)
+        want.append(x)
+    got = export.resolve_collisions(rows, ["tag_id"], taken).collect()
+    assert [r.target for r in sorted(got, key=lambda r: r.ordinal)] == want
+
+
+def test_names_that_extend_no_other_are_dealt_out_once(spark):
+    rows = spark.range(200).selectExpr("0 as tag_id", "id as ordinal", "concat('IMG_', id div 2, '.jpg') as target")
+    done = export.resolve_collisions(rows, ["tag_id"])
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" not in plan and plan.count("Repartition") == 1
+    assert {r.target for r in done.collect()} == {f"IMG_{k}{x}.jpg" for k in range(100) for x in ("", "_2")}
