@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import color, scalar
 from siftwork.operators import bracket, cluster, navigate, projects, scope, select, tagging, tournament
+from siftwork.plans.lineage import cut
 from siftwork.sources import catalog as c
 from siftwork.sources import export
 
@@ -136,9 +137,10 @@ def export_again(spark: SparkSession, sf: str) -> DataFrame:
     items = c.items(spark, sf)
     images = items.select(F.col("image_id").alias("id"), "file_path", c.media_kind(F.col("file_path")).alias("kind"), F.lit(None).cast("long").alias("recipe_id"))
     entries = items.select(F.col("image_id").alias("ordinal"), "image_id")
-    first = export.batch(entries, images)
+    plan = cut(export.planned(entries, images), "plan")  # of both exports
+    first = export.settled(plan)
     failed = items.filter("captured_at is null").select("image_id", F.lit("no time").alias("__reason"))
-    tried = export.planned(entries, images).join(failed, "image_id", "left").withColumn("reason", F.coalesce("reason", "__reason"))
+    tried = plan.join(failed, "image_id", "left").withColumn("reason", F.coalesce("reason", "__reason"))
     return export.settled(tried, first).select("image_id", "reason", "target")
 
 
