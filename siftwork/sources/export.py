@@ -43,8 +43,9 @@ def _extended(named: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     own, up = F.struct(F.col("__stem").alias("__name"), F.lit(0).alias("__n")), F.struct(parent.alias("__name"), F.lit(1).alias("__n"))
     each = named.select(*by, "__ext", F.explode(F.when(F.col("__stem").rlike(f"{SUFFIX}$"), F.array(own, up)).otherwise(F.array(own))).alias("x")).select(*by, F.col("x.__name").alias("__stem"), "__ext", "x.__n")
     known = each.groupBy(*by, "__stem", "__ext").agg(F.sum("__n").alias("__n"), (F.min("__n") == 0).alias("__there")).filter("__n > 0")
-    known = cut(known.filter(F.col("__there") | (F.col("__n") * HEAVY >= named.count())), "names-met")
-    return known.filter("__there"), known.filter(F.col("__n") * HEAVY >= named.count())
+    heavy = F.col("__n") * HEAVY >= named.count()
+    known = cut(known.filter(F.col("__there") | heavy), "names-met")
+    return known.filter("__there"), known.filter(heavy)
 
 
 def _found(rows: DataFrame, table: DataFrame, heavy: DataFrame, by: list[str], value: str, spread: list[str]) -> DataFrame:
@@ -96,16 +97,17 @@ def resolve_collisions(rows: DataFrame, by: list[str], taken: DataFrame | None =
         named = _found(up, _roots(met, heavy, by), heavy, by, "__root", ["target", "ordinal"]).drop("__up").withColumn("__root", F.coalesce("__root", "__stem"))
     whole = Window.partitionBy(*family)
     named = named.repartition(*family).withColumn("__k", F.row_number().over(whole.orderBy("ordinal")))
-    alone = named if plain else named.withColumn("__one", F.min("target").over(whole) == F.max("target").over(whole))
-    several = None if plain else alone.filter("not __one")
-    alone = alone if plain else alone.filter("__one")
-    alone = alone.withColumn("target", F.when(F.col("__k") > 1, F.concat("__stem", F.lit("_"), F.col("__k").cast("string"), "__ext")).otherwise(F.col("target")))
+    one = F.lit(True) if plain else F.min("target").over(whole) == F.max("target").over(whole)
+    named = named.withColumn("__one", one)
+    named = named.withColumn("target", F.when(F.col("__one") & (F.col("__k") > 1), F.concat("__stem", F.lit("_"), F.col("__k").cast("string"), "__ext")).otherwise(F.col("target"))).drop("__k")
 
-    def fill(batches):
+    def fill(batches):  # rows of families of one name pass
         this, held, following = None, set(), {}
         for some in batches:
-            out = []
-            for stem, *key in zip(*[some[name].to_pylist() for name in ("__stem", *family)]):
+            out = some["target"].to_pylist()
+            for i, (one, stem, *key) in enumerate(zip(*[some[name].to_pylist() for name in ("__one", "__stem", *family)])):
+                if one is not False:
+                    continue
                 if key != this:
                     this, held, following = key, set(), {}
                 ext = key[-1]
@@ -115,13 +117,11 @@ def resolve_collisions(rows: DataFrame, by: list[str], taken: DataFrame | None =
                 if name != stem + ext:
                     following[stem] = k
                 held.add(name)
-                out.append(name)
+                out[i] = name
             yield some.set_column(some.schema.get_field_index("target"), "target", pa.array(out, pa.string()))
 
-    out = alone.select(*rows.columns)
-    if not plain:
-        filled = several.sortWithinPartitions(*family, "ordinal").mapInArrow(fill, several.schema)
-        out = out.unionByName(filled.select(*rows.columns))
+    out = named if plain else named.sortWithinPartitions(*family, "ordinal").mapInArrow(fill, named.schema)
+    out = out.select(*rows.columns)
     return out if taken is None else out.filter("__kept is null").select(*columns)
 
 
